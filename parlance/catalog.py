@@ -1,0 +1,4 @@
+def queries():
+    return {}
+def oracle_sql():
+    return {}
