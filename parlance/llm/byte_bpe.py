@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encoder and decoder over a table of ranks (token bytes to rank)."""
 
-    PAIRS, PIECES, LONGEST = 1 << 18, 1 << 17, 64
+    PAIRS, PIECES, LONGEST = 1 << 18, 1 << 18, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.ranks = ranks
@@ -49,7 +50,9 @@ class ByteBpe:
         self.joined: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.allowed: dict[tuple[int, int], bool] = {}
+        # two generations: a full one replaces the older one, from which pieces in use come back
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         for rank in sorted(self.tokens):
             self._derive(rank)
 
@@ -134,17 +137,25 @@ class ByteBpe:
         return out
 
     def _packed(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.encode_piece(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= self.LONGEST:
             if len(self.pieces) >= self.PIECES:
-                self.pieces.clear()
+                self.pieces, self.older = {}, self.pieces
             self.pieces[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        known = self.pieces.get
-        return b"".join([known(p) or self._packed(p) for p in self.split(text)])
+        out, known = [], self.pieces
+        for piece in self.split(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids, known = self._packed(piece), self.pieces
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
