@@ -5,7 +5,8 @@ Writing: of pages with equal payloads (at least ``LEAST_REVISIT`` bytes) the sma
 HTTP message whose body is chunked; a block above ``segment`` bytes is cut into a first record and
 ``continuation`` records that carry the origin's id and their segment number, the last one also the
 total length.  Archives are plain WARC/1.1 files written by Spark's text sink (records end in two
-line breaks, of which the sink writes the last), so any file system that Spark reaches will do.
+line breaks, of which the sink writes the last), so any file system that Spark reaches will do; they are
+compressed with gzip, a file at a time.
 
 Reading: files are read whole (each is bounded by ``FILE_RECORDS`` records), parsed by
 Content-Length, and records in more than one segment are grouped by origin and put in order of
@@ -20,7 +21,9 @@ record of its own.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -114,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
             yield pd.DataFrame({"record": out})
 
     lines = with_roles(pages).mapInPandas(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -154,28 +157,33 @@ def resolved(fields: dict[str, str], block: bytes, n_segments: int, problem: str
     return (page and int(page), n_bytes, digest, kind, refers and int(refers), fields.get("warc-target-uri"), n_segments, problem)
 
 
-def framed(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "n_segments": "int32"})
+def framed(rows: list[tuple], more: str = "") -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in (RESULT + more).split(", ")])
+    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "n_segments": "Int32"})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RESULT; ``problem`` says what is wrong with a record, null if nothing."""
-    part = "origin string, number int, total long, head map<string,string>, block binary"
+    segment = ", origin string, number int, total long, head string, block binary"
+    blank = (None,) * 8
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole records as rows of RESULT, segments as rows of their own columns."""
         for pdf in batches:
             for content in pdf["content"]:
-                found = [(f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f, b) for f, b in parsed(content)]
-                yield pd.DataFrame(found, columns=["origin", "number", "total", "head", "block"]).astype({"number": "int32", "total": "Int64"})
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield framed([resolved(dict(h), b, 1, None) for h, b in zip(pdf["head"], pdf["block"], strict=True)])
+                rows = []
+                for fields, block in parsed(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                    number = int(fields.get("warc-segment-number", 0))
+                    if number:
+                        total = fields.get("warc-segment-total-length")
+                        rows.append((*blank, fields.get("warc-segment-origin-id", fields["warc-record-id"]), number, total and int(total), json.dumps(fields), block))
+                    else:
+                        rows.append((*resolved(fields, block, 1, None), None, None, None, None, None))
+                yield framed(rows, segment).astype({"number": "Int32", "total": "Int64"})
 
     def reassembled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("number")
-        head = dict(pdf["head"].iloc[0])
+        head = json.loads(pdf["head"].iloc[0])
         if head.get("warc-type") == "continuation":
             return framed([])  # its first segment is missing: no page to report on
         block, total = b"".join(pdf["block"]), pdf["total"].dropna()
@@ -186,9 +194,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             problem = "total length differs"
         return framed([resolved(head, block, len(pdf), problem)])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    read = files.mapInPandas(segments, part)
-    return read.where("number = 0").select("head", "block").mapInPandas(whole, RESULT).unionByName(read.where("number > 0").groupBy("origin").applyInPandas(reassembled, RESULT))
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RESULT + segment)
+    parts = read.where("origin is not null").select("origin", "number", "total", "head", "block")
+    return read.where("origin is null").select(*names).unionByName(parts.groupBy("origin").applyInPandas(reassembled, RESULT))
 
 
 def archive_and_read(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
