@@ -75,11 +75,16 @@ class Tokens:
 
 
 def packed_pairs(keys: np.ndarray) -> bytes:
-    return (keys & np.uint64(0xFFFF)).astype("<u2").tobytes() + ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+    """The gaps between the sorted 48-bit keys, in as few bytes each as the widest of them needs."""
+    gaps = np.diff(keys & np.uint64((1 << 48) - 1), prepend=np.uint64(0))
+    width = next(w for w in range(1, 7) if int(gaps.max()) < 1 << (8 * w))
+    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpacked_pairs(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2", n).astype(np.uint64) | (np.frombuffer(data, "<u4", n, 2 * n).astype(np.uint64) << np.uint64(16))
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, : data[0]] = np.frombuffer(data, np.uint8, -1, 1).reshape(-1, n).T
+    return np.cumsum(gaps.reshape(-1).view("<u8"))
 
 
 class SortedCounts:
@@ -232,14 +237,15 @@ def score_documents(docs: DataFrame, held_out=None, block_chars: int = BLOCK_CHA
 
     by_block = laid.groupBy("block")
     asked = by_block.applyInPandas(ask, PART)
-    answered = asked.groupBy("shard").applyInPandas(answer, ANSWER)
-    shared = by_block.cogroup(answered.where(F.col("shard") < shards).groupBy("block")).applyInPandas(spread, PART)
-    stats = shared.groupBy("shard").applyInPandas(summed, ANSWER)
+    # laid out like the text at once, so that both uses read the same exchange
+    answered = asked.groupBy("shard").applyInPandas(answer, ANSWER).repartition(blocks, "block")
+    shared = by_block.cogroup(answered.groupBy("block")).applyInPandas(spread, PART)
+    stats = shared.groupBy("shard").applyInPandas(summed, ANSWER).repartition(blocks, "block")
     answers = answered.unionByName(stats)
     # one row of sums for each of the three kinds of shard, given to every block
-    share = answers.groupBy("shard").agg(F.first("totals").alias("totals")).select(F.floor(F.col("shard") / shards).alias("kind"), F.posexplode("totals"))
+    share = answers.groupBy("shard").agg(F.first("totals").alias("totals")).select(F.coalesce(F.floor(F.col("shard") / shards), F.lit(0)).alias("kind"), F.posexplode("totals"))
     sums = share.groupBy("kind", "pos").agg(F.sum("col").alias("col")).groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda x: x["col"]).alias("totals"))
     numbered = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("kind"))
     empty = F.lit(b"")
-    told = numbered.join(F.broadcast(sums), "kind").select("block", (-1 - F.col("kind")).cast("int").alias("shard"), "totals", empty.alias("counts"), empty.alias("flags"))
+    told = numbered.join(F.broadcast(sums), "kind").select("block", (-1 - F.col("kind")).cast("int").alias("shard"), "totals", empty.alias("counts"), empty.alias("flags")).repartition(blocks, "block")
     return by_block.cogroup(answers.unionByName(told).groupBy("block")).applyInPandas(score, scored)
