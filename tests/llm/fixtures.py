@@ -39,6 +39,7 @@ def documents(seed: int = 1) -> list[tuple]:
     rows += [(200 + k, t, "en", "s2", None) for k, t in enumerate([None, "", " \n\t ", "one", "two words", "A B c\x1cd 　 e", "x" * 3000, "ha " * 3000, "| # $ %\n" * 30, prose(r, 9000)])]
     rows += [(None, "a row without an id and some words", None, None, None), (None, None, None, None, None)]
     rows += [rows[3], rows[3], rows[60]]  # repeated rows
+    rows += [(400, rows[61][1], None, None, 1), (400, prose(r, 90), "en", "s1", 1), (400, None, "en", "s1", 1)]  # one id, several texts
     return rows
 
 
