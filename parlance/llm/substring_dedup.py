@@ -50,7 +50,7 @@ class Windows:
     def counters(self, row: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct counters in order, how often each occurs, and each window's place among them."""
         hashed = (self.first, self.second)[row]
-        wide = ((hashed >> np.uint64(32)) * np.uint64(slices)) & np.uint64((1 << 64) - 1)
+        wide = ((hashed >> np.uint64(32)) * np.uint64(slices))
         bucket = ((wide >> np.uint64(32)) << np.uint64(SLICE_BITS)) | (mixed(hashed, 9) >> np.uint64(64 - SLICE_BITS))
         return np.unique(bucket, return_inverse=True, return_counts=True)
 
@@ -178,9 +178,10 @@ def dedup_substrings(docs: DataFrame, width: int = 35, block_chars: int = BLOCK_
         return out.assign(doc_id=pd.array(out["doc_id"].tolist(), "Int64") if out["doc_id"].isna().any() else out["doc_id"])
 
     by_block = laid.groupBy("block")
-    estimated = by_block.applyInPandas(sketch, PART).groupBy("slice").applyInPandas(merge, ANSWER)
+    # answers are laid out like the text at once, so that both uses read the same exchange
+    estimated = by_block.applyInPandas(sketch, PART).groupBy("slice").applyInPandas(merge, ANSWER).repartition(blocks, "block")
     asked = by_block.cogroup(estimated.groupBy("block")).applyInPandas(candidates, PART)
-    confirmed = asked.groupBy("slice").applyInPandas(confirm, ANSWER)
+    confirmed = asked.groupBy("slice").applyInPandas(confirm, ANSWER).repartition(blocks, "block")
     answers = estimated.unionByName(confirmed).groupBy("block")
     kind = dict(docs.dtypes)["doc_id"]
     return by_block.cogroup(answers).applyInPandas(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
