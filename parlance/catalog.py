@@ -1,4 +1,482 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""The registered queries of the transcript engine and their SQL equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from parlance.functions import text as T
+from parlance.operators import evaluate as E
+from parlance.operators import intervals as I
+from parlance.operators import predicates as P
+from parlance.operators import relations as R
+from parlance.operators import retrieval as V
+from parlance.operators import sequence as S
+from parlance.sources.views import view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query; ``sql`` may use the named views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def segments(spark, d):
+    return view(spark, d, "segments")
+
+
+def table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+OVERLAPS = """, o AS (SELECT s.file_id, s.seg_idx, d.speaker, sum(least(s.end_ms, d.end_ms) - greatest(s.start_ms, d.start_ms)) AS total, min(d.diar_idx) AS first
+  FROM segments s JOIN diar d ON d.file_id = s.file_id AND d.start_ms < s.end_ms AND d.end_ms > s.start_ms GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY total DESC, first) AS k FROM o)"""
+
+
+@query(OVERLAPS + """ SELECT s.file_id, s.seg_idx, s.start_ms, s.end_ms, CASE WHEN b.total / (s.end_ms - s.start_ms) >= 0.5 OR b.total >= 250 THEN b.speaker ELSE 'SPEAKER_UNKNOWN' END AS speaker, CAST(coalesce(b.total, 0) AS BIGINT) AS overlap_ms
+  FROM segments s LEFT JOIN b ON b.file_id = s.file_id AND b.seg_idx = s.seg_idx AND b.k = 1""", "diar")
+def align_speakers(spark, d):
+    return I.align_speakers(segments(spark, d), view(spark, d, "diar")).select("file_id", "seg_idx", "start_ms", "end_ms", "speaker", "overlap_ms")
+
+
+@query("SELECT file_id, speaker, count(*) AS n_segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS talk_ms FROM segments GROUP BY ALL", "segments")
+def talk_time_by_speaker(spark, d):
+    return R.talk_time(segments(spark, d))
+
+
+@query("SELECT file_id, count(DISTINCT speaker) AS num_speakers, count(*) AS n_segments, max(end_ms) AS total_ms FROM segments GROUP BY ALL", "segments")
+def corpus_stats(spark, d):
+    return R.corpus_stats(segments(spark, d))
+
+
+@query(""", n AS (SELECT s.*, end_ms - start_ms AS dur, length(text) AS n, (SELECT count(*) FROM vad v WHERE v.file_id = s.file_id) AS known,
+  (SELECT sum(least(s.end_ms, v.end_ms + 350) - greatest(s.start_ms, greatest(v.start_ms - 350, 0))) FROM vad v WHERE v.file_id = s.file_id AND least(s.end_ms, v.end_ms + 350) > greatest(s.start_ms, greatest(v.start_ms - 350, 0))) AS heard FROM segments s)
+  SELECT file_id, seg_idx, CASE WHEN known > 0 THEN CAST(coalesce(heard, 0) AS BIGINT) END AS speech_overlap_ms FROM n
+  WHERE known = 0 OR coalesce(heard, 0) >= CASE WHEN dur >= 10000 OR n >= 28 THEN greatest(900, 0.12 * dur) WHEN dur >= 4000 OR n >= 14 THEN greatest(350, 0.08 * dur) ELSE 160 END""", "vad")
+def speech_gate(spark, d):
+    return I.speech_gate(segments(spark, d), view(spark, d, "vad")).select("file_id", "seg_idx", "speech_overlap_ms")
+
+
+@query()
+def artifact_filter(spark, d):
+    return P.artifact_filter(segments(spark, d)).select("file_id", "seg_idx", "text")
+
+
+def with_probabilities(spark, d):
+    seg = segments(spark, d).join(view(spark, d, "probs"), ["file_id", "seg_idx"])
+    return seg.withColumn("speech_overlap_ratio", F.col("ratio")).withColumn("speech_overlap_s", F.round(F.col("ratio") * (F.col("end_ms") - F.col("start_ms")) / 1000, 3))
+
+
+@query()
+def low_confidence(spark, d):
+    return P.low_confidence(with_probabilities(spark, d)).select("file_id", "seg_idx", "low_confidence", F.array_join("low_confidence_reasons", "; ").alias("reasons"))
+
+
+@query()
+def confidence_report(spark, d):
+    return E.confidence_report(P.low_confidence(with_probabilities(spark, d)))
+
+
+@query(""" SELECT file_id, count(*) AS n, count(*) FILTER (avg_logprob <= -0.65) AS n_low, round(count(*) FILTER (avg_logprob <= -0.65) / count(*), 4) AS low_rate FROM probs GROUP BY file_id""", "probs")
+def logprob_report(spark, d):
+    return E.confidence_report(view(spark, d, "probs").withColumn("low_confidence", F.col("avg_logprob") <= -0.65))
+
+
+@query()
+def unreliable_turns(spark, d):
+    seg = segments(spark, d).withColumn("speaker", F.when(F.col("seg_idx") % 3 == 0, I.UNKNOWN).otherwise(F.col("speaker")))
+    return P.filter_unreliable(seg).select("file_id", "seg_idx", "speaker")
+
+
+PRESPLIT = """, n AS (SELECT *, greatest(ceil(length(text) / 80.0), ceil((end_ms - start_ms) / 15000.0), 1) AS n FROM segments),
+c AS (SELECT *, CAST(ceil(length(text) / n) AS BIGINT) AS size, unnest(range(CAST(n AS BIGINT))) AS k FROM n),
+p AS (SELECT *, regexp_replace(substring(text, CAST(k * size + 1 AS BIGINT), size), '^[\\s]+|[\\s]+$', '', 'g') AS part FROM c),
+j AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY k) - 1 AS j FROM p WHERE part <> '')
+SELECT file_id, seg_idx, CAST(j AS INT) AS part_idx, speaker, part AS text, round(start_ms + j * ((end_ms - start_ms) / n), 3) AS start_ms, round(start_ms + (j + 1) * ((end_ms - start_ms) / n), 3) AS end_ms FROM j"""
+
+
+@query(PRESPLIT, "segments")
+def presplit_chunks(spark, d):
+    return S.presplit(segments(spark, d))
+
+
+@query(""", o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) AS i FROM segments),
+r AS (SELECT file_id, i, start_ms AS s, end_ms AS e, speaker AS sp, text AS t, i AS head FROM o WHERE i = 1
+  UNION ALL SELECT o.file_id, o.i, CASE WHEN x.fits THEN CASE WHEN length(r.t) <= 1 AND r.e - r.s > 1000 AND o.start_ms - r.e > 500 THEN greatest(r.s, o.start_ms - 350) ELSE r.s END ELSE o.start_ms END,
+    CASE WHEN x.fits THEN greatest(r.e, o.end_ms) ELSE o.end_ms END, o.speaker, CASE WHEN x.fits THEN CASE WHEN r.t = '' THEN o.text WHEN o.text = '' THEN r.t ELSE r.t || ' ' || o.text END ELSE o.text END, CASE WHEN x.fits THEN r.head ELSE o.i END
+  FROM r JOIN o ON o.file_id = r.file_id AND o.i = r.i + 1, LATERAL (SELECT r.sp = o.speaker AND o.start_ms - r.e <= 3000 AND o.end_ms - r.s <= 60000 AND length(r.t) + length(o.text) <= 600 AS fits) x)
+SELECT file_id, arg_max(s, i) AS start_ms, arg_max(e, i) AS end_ms, arg_max(sp, i) AS speaker, arg_max(t, i) AS text FROM r GROUP BY file_id, head""", "segments")
+def merge_turns(spark, d):
+    return S.merge_turns(segments(spark, d), 3_000, 60_000, 600).select("file_id", "start_ms", "end_ms", "speaker", "text")
+
+
+def shifted(spark, d):
+    """Segments that reach into their neighbours."""
+    return segments(spark, d).withColumn("end_ms", F.col("end_ms") + (F.col("seg_idx") * 977) % 3100)
+
+
+SHIFTED = ", t AS (SELECT file_id, seg_idx, speaker, text, start_ms, end_ms + (seg_idx * 977) % 3100 AS end_ms FROM segments), o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) AS i FROM t)"
+
+
+@query(SHIFTED + """, r AS (SELECT file_id, i, seg_idx, start_ms AS s, end_ms AS e, end_ms AS reach, true AS kept FROM o WHERE i = 1
+  UNION ALL SELECT o.file_id, o.i, o.seg_idx, x.s, o.end_ms, CASE WHEN o.end_ms > x.s THEN o.end_ms ELSE r.reach END, o.end_ms > x.s FROM r JOIN o ON o.file_id = r.file_id AND o.i = r.i + 1, LATERAL (SELECT CASE WHEN o.start_ms < r.reach THEN r.reach + 40 ELSE o.start_ms END AS s) x)
+SELECT file_id, seg_idx, s AS start_ms, e AS end_ms FROM r WHERE kept""", "segments")
+def dedupe_boundaries(spark, d):
+    return S.dedupe_boundaries(shifted(spark, d)).select("file_id", "seg_idx", "start_ms", "end_ms")
+
+
+@query(SHIFTED + """, a AS (SELECT *, coalesce(start_ms - lag(end_ms) OVER w <= 300, false) AS before, coalesce(lead(start_ms) OVER w - end_ms <= 300, false) AS after FROM t WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx)),
+b AS (SELECT *, CASE WHEN before THEN start_ms - 60 ELSE start_ms END AS ps, end_ms AS pe FROM a), c AS (SELECT *, lead(ps) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) - 20 AS cap FROM b)
+SELECT file_id, seg_idx, ps AS playback_start_ms, CASE WHEN cap < pe AND cap > ps THEN cap ELSE pe END AS playback_end_ms FROM c""", "segments")
+def neighbor_playback(spark, d):
+    seg = shifted(spark, d).withColumn("playback_start_ms", F.lit(None).cast("long")).withColumn("playback_end_ms", F.lit(None).cast("long"))
+    return S.neighbor_playback(seg).select("file_id", "seg_idx", "playback_start_ms", "playback_end_ms")
+
+
+@query(""", f AS (SELECT file_id, max(end_ms) AS total FROM segments GROUP BY ALL), n AS (SELECT *, unnest(range(CAST(CASE WHEN total <= 30000 THEN 1 ELSE ceil((total - 5000) / 25000.0) END AS BIGINT))) AS k FROM f)
+SELECT file_id, k AS chunk_index, k * 25000 AS chunk_start_ms, k * 25000 + 30000 AS chunk_end_ms FROM n""", "segments")
+def chunk_windows(spark, d):
+    return S.chunk_windows(segments(spark, d).groupBy("file_id").agg(F.max("end_ms").alias("total_ms")))
+
+
+@query(SHIFTED + """, q AS (SELECT file_id, seg_idx % 3 AS text, seg_idx, start_ms, end_ms, row_number() OVER (PARTITION BY file_id, seg_idx % 3 ORDER BY start_ms, end_ms, seg_idx) AS i FROM t),
+r AS (SELECT file_id, text, i, seg_idx, start_ms, end_ms, [end_ms] AS ends, [start_ms] AS starts, true AS kept FROM q WHERE i = 1
+  UNION ALL SELECT q.file_id, q.text, q.i, q.seg_idx, q.start_ms, q.end_ms, CASE WHEN x.ok THEN list_append(r.ends, q.end_ms) ELSE r.ends END, CASE WHEN x.ok THEN list_append(r.starts, q.start_ms) ELSE r.starts END, x.ok
+  FROM r JOIN q ON q.file_id = r.file_id AND q.text = r.text AND q.i = r.i + 1, LATERAL (SELECT len(list_filter(range(1, len(r.ends) + 1), lambda k: least(r.ends[k], q.end_ms) > greatest(r.starts[k], q.start_ms))) = 0 AS ok) x)
+SELECT file_id, seg_idx, start_ms, end_ms FROM r WHERE kept""", "segments")
+def chunk_dedupe(spark, d):
+    return S.chunk_dedupe(shifted(spark, d).withColumn("text", (F.col("seg_idx") % 3).cast("string"))).select("file_id", "seg_idx", "start_ms", "end_ms")
+
+
+MATCH = """, h AS (SELECT file_id, diar_idx AS seg_idx, start_ms, end_ms FROM diar),
+m AS (SELECT r.file_id, r.seg_idx, h.seg_idx AS hyp_idx, h.start_ms AS hs, h.end_ms AS he, least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms) AS ov, row_number() OVER (PARTITION BY r.file_id, r.seg_idx ORDER BY least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms) DESC, h.seg_idx) AS k
+  FROM segments r JOIN h ON h.file_id = r.file_id AND least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms) >= 50),
+x AS (SELECT r.file_id, r.seg_idx, r.start_ms, r.end_ms, hyp_idx, hs, he, ov FROM segments r LEFT JOIN m ON m.file_id = r.file_id AND m.seg_idx = r.seg_idx AND m.k = 1)"""
+
+
+def hypothesis(spark, d):
+    return view(spark, d, "diar").withColumnRenamed("diar_idx", "seg_idx")
+
+
+@query(MATCH + " SELECT file_id, seg_idx, hyp_idx, ov AS overlap_ms FROM x", "diar")
+def match_by_overlap(spark, d):
+    return I.match_by_overlap(segments(spark, d), hypothesis(spark, d)).select("file_id", "seg_idx", "hyp_idx", "overlap_ms")
+
+
+@query(MATCH + """ SELECT file_id, count(*) AS n_ref, count(hyp_idx) AS n_matched, round(count(hyp_idx) / count(*), 4) AS match_rate, round(avg(abs(hs - start_ms)), 4) AS start_mae_ms, round(avg(abs(he - end_ms)), 4) AS end_mae_ms,
+  round(count(*) FILTER (abs(hs - start_ms) <= 500 AND abs(he - end_ms) <= 500) / count(*), 4) AS hit_half, round(count(*) FILTER (abs(hs - start_ms) <= 1000 AND abs(he - end_ms) <= 1000) / count(*), 4) AS hit_one,
+  round(count(*) FILTER (hs <= start_ms + 200 AND he >= end_ms - 200) / count(*), 4) AS coverage, round(avg(CASE WHEN hs IS NULL THEN 0 ELSE greatest(0, start_ms - hs) END), 4) AS prefix_excess_ms, round(avg(CASE WHEN he IS NULL THEN 0 ELSE greatest(0, he - end_ms) END), 4) AS suffix_excess_ms FROM x GROUP BY file_id""", "diar")
+def time_metrics(spark, d):
+    return I.time_metrics(segments(spark, d), hypothesis(spark, d))
+
+
+@query(""" SELECT file_id, seg_idx, CAST(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) AS BIGINT) AS distance, round(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) / greatest(length(substring(text, 1, 200)), 1), 6) AS rate
+  FROM segments WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""", "segments")
+def cer_distance(spark, d):
+    pairs = segments(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("file_id", "seg_idx", F.substring("text", 1, 200).alias("ref"))
+    return E.character_distance(pairs.withColumn("hyp", F.replace("ref", F.lit("e"), F.lit("ae")))).select("file_id", "seg_idx", "distance", "rate")
+
+
+@query()
+def word_error_rates(spark, d):
+    seg = segments(spark, d)
+    return E.error_rates(seg.select(F.concat_ws("-", "file_id", "seg_idx").alias("file_id"), F.col("text").alias("ref"), F.regexp_replace("text", "the ", "that the ").alias("hyp")))
+
+
+@query(""", p AS (SELECT s.file_id, d.speaker AS h, s.speaker AS r, sum(least(s.end_ms, d.end_ms) - greatest(s.start_ms, d.start_ms)) AS o FROM segments s JOIN diar d ON d.file_id = s.file_id AND least(s.end_ms, d.end_ms) > greatest(s.start_ms, d.start_ms) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o DESC, h, r) AS i FROM p),
+g AS (SELECT file_id, i, [h] AS hs, [r] AS rs FROM q WHERE i = 1 UNION ALL SELECT q.file_id, q.i, CASE WHEN x.ok THEN list_append(g.hs, q.h) ELSE g.hs END, CASE WHEN x.ok THEN list_append(g.rs, q.r) ELSE g.rs END
+  FROM g JOIN q ON q.file_id = g.file_id AND q.i = g.i + 1, LATERAL (SELECT NOT list_contains(g.hs, q.h) AND NOT list_contains(g.rs, q.r) AS ok) x),
+z AS (SELECT file_id, arg_max(hs, i) AS hs, arg_max(rs, i) AS rs FROM g GROUP BY file_id), m AS (SELECT file_id, unnest(hs) AS h, unnest(rs) AS r FROM z)
+SELECT d.file_id, d.speaker AS hyp_speaker, coalesce(m.r, d.speaker) AS mapped FROM (SELECT DISTINCT file_id, speaker FROM diar) d LEFT JOIN m ON m.file_id = d.file_id AND m.h = d.speaker""", "diar")
+def speaker_mapping(spark, d):
+    return I.speaker_mapping(segments(spark, d), view(spark, d, "diar")).select("file_id", "hyp_speaker", "mapped")
+
+
+@query()
+def diarization_error(spark, d):
+    return I.diarization_error(segments(spark, d), view(spark, d, "diar"))
+
+
+@query(""", t AS (SELECT *, (end_ms - start_ms) / CAST(1000 AS DOUBLE) AS dur, length(text) AS n FROM segments WHERE (file_id + seg_idx) % 3 > 0), b AS (SELECT file_id, sum(length(text)) AS src FROM segments GROUP BY ALL),
+a AS (SELECT file_id, count(*) AS checked, count(*) FILTER (dur <= 0 OR (n >= 12 AND n / dur > 18) OR (n <= 1 AND dur > 3) OR (n <= 2 AND dur > 4)) AS severe, sum(n) AS chars, sum(greatest(dur, 0)) AS dur FROM t GROUP BY ALL),
+r AS (SELECT b.file_id, coalesce(checked, 0) AS checked, CASE WHEN coalesce(checked, 0) = 0 THEN 'no turns' WHEN src >= 20 AND chars / src < 0.45 THEN 'low coverage' WHEN severe >= 5 AND severe / checked >= 0.3 THEN 'severe turns' WHEN chars >= 80 AND chars / dur > 22 THEN 'too dense' ELSE 'ok' END AS reason FROM b LEFT JOIN a USING (file_id))
+SELECT file_id, checked, reason <> 'ok' AS fallback, reason FROM r""", "segments")
+def fallback_decision(spark, d):
+    seg = segments(spark, d)
+    return R.fallback_decision(seg.where((F.col("file_id") + F.col("seg_idx")) % 3 > 0), seg)
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").where("vec_id is not null and embedding is not null").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+
+
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) x WHERE rank <= 10")
+def dense_topk(spark, d):
+    v = vectors(spark, d)
+    return V.dense_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""WITH l AS (SELECT q.vec_id - q.vec_id % 200 AS query_id, q.vec_id % 200 // 100 AS variant, e.vec_id AS doc_id, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+m AS (SELECT query_id, doc_id, round(max(score * CASE WHEN variant = 0 THEN 1.0 ELSE 0.92 END), 6) AS score FROM l WHERE rank <= 10 GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) x WHERE rank <= 10""")
+def multi_query_merge(spark, d):
+    v = vectors(spark, d)
+    lists = V.dense_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, 10)
+    named = lists.select((F.col("query_id") - F.col("query_id") % 200).alias("query_id"), F.floor(F.col("query_id") % 200 / 100).alias("variant"), "doc_id", "score")
+    return V.multi_query_merge(named, 10).select("query_id", "doc_id", "score", "rank")
+
+
+TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+|[一-鿿]')"
+SPARSE = f"""q AS (SELECT item_id AS query_id, token, count(*) AS q FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS token FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, token, count(*) AS weight FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, CAST(sum(q * weight) AS BIGINT) AS score FROM q JOIN p USING (token) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@query("WITH " + SPARSE + " SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10")
+def sparse_topk(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return V.sparse_topk(q, V.token_postings(table(spark, d, "documents")), 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query("""SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'the apache license') THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END AS score FROM documents) x
+  WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+def substring_search(spark, d):
+    return V.substring_topk(table(spark, d, "documents"), "the apache license", 50)
+
+
+def rank_lists(spark, d, k=20):
+    v = vectors(spark, d)
+    dense = V.dense_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, k)
+    docs = table(spark, d, "documents")
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")).join(dense.select("query_id").distinct(), "query_id", "left_semi")
+    return dense, V.sparse_topk(q, V.token_postings(docs), k)
+
+
+FUSED = f"""WITH dl AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) x WHERE rank <= 20),
+qq AS (SELECT doc_id AS query_id, token, count(*) AS q FROM (SELECT doc_id, unnest({TOKENS.format('substring(text, 1, 60)')}) AS token FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT query_id FROM dl)) GROUP BY ALL),
+pp AS (SELECT doc_id, token, count(*) AS weight FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL),
+sl AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(q * weight) DESC, doc_id) AS rank FROM qq JOIN pp USING (token) GROUP BY query_id, doc_id) x WHERE rank <= 20),
+u AS (SELECT coalesce(dl.query_id, sl.query_id) AS query_id, coalesce(dl.doc_id, sl.doc_id) AS doc_id, dl.rank AS a, sl.rank AS b FROM dl FULL JOIN sl ON dl.query_id = sl.query_id AND dl.doc_id = sl.doc_id),
+f AS (SELECT *, coalesce(CAST(1.0 AS DOUBLE) / (60 + a), 0.0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + b), 0.0) AS score FROM u),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN a IS NULL THEN 1 ELSE 0 END, coalesce(a, b)) AS rank FROM f)"""
+
+
+@query(FUSED + " SELECT query_id, doc_id, round(score, 6) AS score, rank, a AS rank_semantic, b AS rank_keyword FROM g")
+def rrf_search(spark, d):
+    dense, sparse = rank_lists(spark, d)
+    return V.fuse({"semantic": dense, "keyword": sparse}).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "rank_semantic", "rank_keyword")
+
+
+@query(FUSED + " SELECT query_id, doc_id, score, rank FROM (SELECT g.query_id, g.doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY g.query_id ORDER BY g.rank) AS rank FROM g JOIN documents d ON d.doc_id = g.doc_id WHERE d.lang = 'en') x WHERE rank <= 10")
+def filtered_search(spark, d):
+    dense, sparse = rank_lists(spark, d)
+    fused = V.fuse({"semantic": dense, "keyword": sparse}).withColumnRenamed("rank", "fused_rank")
+    found = fused.join(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id")
+    return V.ranked(found, 10, "fused_rank").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH " + SPARSE + """, o AS (SELECT b.item_id, CAST(b.item_id % 2 AS VARCHAR) AS dataset, CASE WHEN length(b.text) > 200 THEN 'long' ELSE 'short' END AS mode, (SELECT min(rank) FROM k JOIN documents d ON d.doc_id = k.doc_id WHERE k.query_id = b.item_id AND k.rank <= 10 AND contains(d.text, b.text)) AS rank FROM benchmark b)
+SELECT dataset, mode, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_5, round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0.0 END), 4) AS mrr FROM o GROUP BY GROUPING SETS ((), (dataset), (mode))""")
+def hit_mrr_report(spark, d):
+    bench = table(spark, d, "benchmark")
+    top = sparse_topk(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
+    hit = top.join(bench.select(F.col("item_id").alias("query_id"), "text"), "query_id").where(F.contains("body", "text")).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    cases = bench.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 2).cast("string").alias("dataset"), F.when(F.length("text") > 200, "long").otherwise("short").alias("mode")).join(hit, "query_id", "left")
+    return E.ranking_report(cases, ["dataset", "mode"])
+
+
+@query()
+def stable_sample(spark, d):
+    return V.sample_stable(table(spark, d, "documents").select("doc_id"), 20)
+
+
+@query(" SELECT file_id, seg_idx, CASE WHEN trim(speaker) = 'user' THEN 'Customer' ELSE speaker END AS speaker, CASE WHEN trim(speaker) = 'user' THEN true END AS manual_speaker_edited, CASE WHEN trim(speaker) = 'user' THEN speaker END AS speaker_original_manual FROM segments", "segments")
+def manual_rename(spark, d):
+    return R.rename_speaker(segments(spark, d), "user", "Customer").select("file_id", "seg_idx", "speaker", "manual_speaker_edited", "speaker_original_manual")
+
+
+@query(" SELECT DISTINCT file_id FROM segments WHERE file_id NOT IN (SELECT file_id FROM diar WHERE diar_idx > 4)", "diar")
+def pending_files(spark, d):
+    return R.pending(segments(spark, d).select("file_id").distinct(), view(spark, d, "diar").where("diar_idx > 4"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def sessionize_events(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts")
+    e = table(spark, d, "events").select("user_id", "ts").withColumn("n", F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 30 MINUTES"), F.lit(True)).cast("int"))
+    return e.withColumn("k", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("user_id", "k").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("n_events")).drop("k")
+
+
+@query(" SELECT file_id, stage, round(sum(s), 3) AS seconds FROM (SELECT file_id, 'asr' AS stage, (end_ms - start_ms) / CAST(1000 AS DOUBLE) AS s FROM segments UNION ALL SELECT file_id, 'alignment', length(text) / CAST(1000 AS DOUBLE) FROM segments) x GROUP BY ALL", "segments")
+def timing_rollup(spark, d):
+    return R.timing_rollup(segments(spark, d).select("file_id", F.create_map(F.lit("asr"), (F.col("end_ms") - F.col("start_ms")) / 1000.0, F.lit("alignment"), F.length("text") / 1000.0).alias("timing")))
+
+
+@query(" SELECT file_id, speaker, string_agg(text, '|' ORDER BY k) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY file_id, speaker ORDER BY start_ms, seg_idx) AS k FROM segments) x WHERE k <= 10 GROUP BY ALL", "segments")
+def first_utterances(spark, d):
+    return R.first_utterances(segments(spark, d)).withColumn("texts", F.array_join("texts", "|"))
+
+
+@query(""" SELECT file_id, speaker, CASE WHEN k <= 26 THEN chr(CAST(k + 64 AS INT)) ELSE 'S' || (k - 26) END AS label FROM (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY min(seg_idx)) AS k FROM segments GROUP BY file_id, speaker) x""", "segments")
+def speaker_labels(spark, d):
+    return R.speaker_labels(segments(spark, d))
+
+
+@query(" SELECT file_id, speaker, first_idx, row_number() OVER (PARTITION BY file_id ORDER BY first_idx) AS place FROM (SELECT file_id, speaker, min(seg_idx) AS first_idx FROM segments GROUP BY ALL) x", "segments")
+def speaker_choices(spark, d):
+    return R.speaker_choices(segments(spark, d))
+
+
+@query(""", l AS (SELECT file_id, seg_idx AS late_idx, start_ms + (seg_idx * 701) % 2500 AS at, lower(text) AS t FROM segments WHERE seg_idx % 2 = 0), p AS (SELECT s.file_id, l.late_idx, s.seg_idx, l.t, row_number() OVER (PARTITION BY s.file_id, l.late_idx ORDER BY abs(s.start_ms - l.at), s.seg_idx) AS k FROM segments s JOIN l ON l.file_id = s.file_id AND abs(s.start_ms - l.at) <= 2000),
+c AS (SELECT file_id, seg_idx, arg_max(t, late_idx) AS t FROM p WHERE k = 1 GROUP BY ALL) SELECT s.file_id, s.seg_idx, coalesce(c.t, s.text) AS text, CASE WHEN c.t IS NOT NULL AND c.t <> s.text THEN 'corrected' ELSE 'asr' END AS phase FROM segments s LEFT JOIN c ON c.file_id = s.file_id AND c.seg_idx = s.seg_idx""", "segments")
+def late_updates(spark, d):
+    seg = segments(spark, d)
+    late = seg.where("seg_idx % 2 = 0").select("file_id", F.col("seg_idx").alias("late_idx"), (F.col("start_ms") + (F.col("seg_idx") * 701) % 2500).alias("start_ms"), F.lower("text").alias("text"))
+    return I.late_updates(seg.withColumn("phase", F.lit("asr")), late).select("file_id", "seg_idx", "text", "phase")
+
+
+@query(" SELECT s.file_id, s.seg_idx, CASE WHEN s.speaker = 'user' THEN 'system' ELSE s.speaker END AS speaker, s.speaker AS speaker_original FROM segments s", "segments")
+def speaker_merge_map(spark, d):
+    seg = segments(spark, d)
+    files = seg.select("file_id").distinct()
+    merges = files.select("file_id", F.explode(F.array(F.struct(F.lit(0).alias("merge_idx"), F.lit("user").alias("from_speaker"), F.lit("assistant").alias("to_speaker")), F.struct(F.lit(1).alias("merge_idx"), F.lit("user").alias("from_speaker"), F.lit("system").alias("to_speaker")))).alias("m")).select("file_id", "m.*")
+    return R.merge_speakers(seg, merges).select("file_id", "seg_idx", "speaker", "speaker_original")
+
+
+@query(" SELECT file_id, seg_idx, text AS text_before_llm, CASE WHEN seg_idx % 3 = 0 AND text <> '' THEN lower(text) ELSE text END AS text, CASE WHEN seg_idx % 3 = 0 THEN 'case' END AS correction_note FROM segments", "segments")
+def correction_apply(spark, d):
+    seg = segments(spark, d)
+    return R.apply_corrections(seg, seg.where("seg_idx % 3 = 0").select("file_id", "seg_idx", F.lower("text").alias("text"), F.lit("case").alias("note"))).select("file_id", "seg_idx", "text_before_llm", "text", "correction_note")
+
+
+@query(" SELECT count(*) AS n_mismatch, count(*) = 0 AS is_fresh FROM segments WHERE seg_idx % 7 = 3 OR seg_idx % 7 = 5", "segments")
+def index_freshness(spark, d):
+    seg = segments(spark, d)
+    return R.index_is_fresh(seg.withColumn("start_ms", F.col("start_ms") + F.when(F.col("seg_idx") % 7 == 3, 51).otherwise(50)), seg.withColumn("text", F.when(F.col("seg_idx") % 7 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+
+
+@query(" SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'new' ELSE 'old' END AS state FROM segments GROUP BY file_id", "segments")
+def upsert_results(spark, d):
+    files = segments(spark, d).select("file_id").distinct()
+    return R.upsert(files.withColumn("state", F.lit("old")), files.where("file_id % 2 = 0").withColumn("state", F.lit("new")), "file_id")
+
+
+@query(""", a AS (SELECT d.file_id, d.diar_idx, sum(least(d.end_ms, v.end_ms) - greatest(d.start_ms, v.start_ms)) AS active FROM diar d JOIN vad v ON v.file_id = d.file_id AND least(d.end_ms, v.end_ms) > greatest(d.start_ms, v.start_ms) GROUP BY ALL)
+SELECT d.file_id, d.diar_idx, CAST(coalesce(active, 0) AS BIGINT) AS active_ms FROM diar d LEFT JOIN a ON a.file_id = d.file_id AND a.diar_idx = d.diar_idx WHERE coalesce(active, 0) >= 250 OR coalesce(active, 0) / (d.end_ms - d.start_ms) >= 0.2""", "diar", "vad")
+def energy_gate(spark, d):
+    return I.energy_gate(view(spark, d, "diar"), view(spark, d, "vad")).select("file_id", "diar_idx", "active_ms")
+
+
+@query(""", o AS (SELECT s.file_id, s.seg_idx, d.speaker, sum(least(s.end_ms, d.end_ms) - greatest(s.start_ms, d.start_ms)) AS t, min(d.diar_idx) AS f FROM vad2 s JOIN diar d ON d.file_id = s.file_id AND least(s.end_ms, d.end_ms) > greatest(s.start_ms, d.start_ms) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY t DESC, f) AS k FROM o),
+n AS (SELECT s.file_id, s.seg_idx, d.speaker, row_number() OVER (PARTITION BY s.file_id, s.seg_idx ORDER BY greatest(s.start_ms - d.end_ms, d.start_ms - s.end_ms), CASE WHEN d.end_ms <= s.start_ms THEN 0 ELSE 1 END) AS k FROM vad2 s JOIN diar d ON d.file_id = s.file_id)
+SELECT s.file_id, s.seg_idx, coalesce(b.speaker, n.speaker, 'SPEAKER_UNKNOWN') AS speaker FROM vad2 s LEFT JOIN b ON b.file_id = s.file_id AND b.seg_idx = s.seg_idx AND b.k = 1 LEFT JOIN n ON n.file_id = s.file_id AND n.seg_idx = s.seg_idx AND n.k = 1""".replace(", o AS", ", vad2 AS (SELECT file_id, vad_idx AS seg_idx, start_ms, end_ms FROM vad), o AS", 1), "diar", "vad")
+def nearest_speaker(spark, d):
+    words = view(spark, d, "vad").withColumnRenamed("vad_idx", "seg_idx").withColumn("speaker", F.lit(None).cast("string"))
+    return I.nearest_speaker(words, view(spark, d, "diar")).select("file_id", "seg_idx", "speaker")
+
+
+@query(""", m AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1500 THEN 0 ELSE 1 END AS n FROM vad), r AS (SELECT *, sum(n) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT file_id, CAST(k AS BIGINT) AS region_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM r GROUP BY file_id, k""", "vad")
+def merge_regions(spark, d):
+    return S.merge_regions(view(spark, d, "vad"))
+
+
+@query(""" SELECT s.file_id, s.seg_idx, CASE WHEN count(v.file_id) > 0 THEN count(v.file_id) ELSE (SELECT count(*) FROM diar d WHERE d.file_id = s.file_id AND least(d.end_ms, s.end_ms) - greatest(d.start_ms, s.start_ms) > 50) END AS n_regions
+FROM segments s LEFT JOIN vad v ON v.file_id = s.file_id AND least(v.end_ms, s.end_ms) - greatest(v.start_ms, s.start_ms) > 50 GROUP BY s.file_id, s.seg_idx, s.start_ms, s.end_ms""", "diar", "vad")
+def region_fallback(spark, d):
+    return I.regions_or_fallback(segments(spark, d), view(spark, d, "vad"), view(spark, d, "diar")).select("file_id", "seg_idx", F.size("regions").cast("long").alias("n_regions"))
+
+
+@query()
+def refined_playback(spark, d):
+    r = I.regions_or_fallback(segments(spark, d), view(spark, d, "vad"), view(spark, d, "diar"))
+    return S.refine_playback(r).select("file_id", "seg_idx", "start_ms", "start_asr_raw_ms", "playback_start_ms", "playback_end_ms")
+
+
+def words(spark, d):
+    """Words of the segments with times in proportion to their length."""
+    seg = segments(spark, d).select("file_id", "seg_idx", "speaker", "start_ms", "end_ms", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    step = (F.col("end_ms") - F.col("start_ms")) / F.size("w")
+    at = seg.select("file_id", "seg_idx", "speaker", F.posexplode("w").alias("i", "word"), F.col("start_ms").alias("s"), step.alias("step"))
+    return at.select("file_id", (F.col("seg_idx") * 100_000 + F.col("i")).alias("word_idx"), "word", "speaker", F.floor(F.col("s") + F.col("i") * F.col("step")).alias("start_ms"), F.floor(F.col("s") + (F.col("i") + 1) * F.col("step")).alias("end_ms"))
+
+
+@query()
+def words_to_turns(spark, d):
+    return S.words_to_turns(words(spark, d)).select("file_id", "start_ms", "end_ms", "speaker", "text")
+
+
+@query()
+def aligned_words(spark, d):
+    return I.align_words(segments(spark, d), words(spark, d), view(spark, d, "diar")).select("file_id", "seg_idx", "start_ms", "end_ms", "speaker")
+
+
+@query()
+def drifted_fragments(spark, d):
+    return S.reattach_fragments(segments(spark, d).withColumn("text", F.when(F.col("seg_idx") % 4 == 0, "ok").otherwise(F.col("text"))).withColumn("speaker", F.lit("a"))).select("file_id", "seg_idx", "start_ms", "text")
+
+
+@query(r""" SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS cleaned FROM documents""")
+def eval_clean_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.eval_clean_en(F.col("text")).alias("cleaned"))
+
+
+@query(r""" SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]?[0-9]+(?:[-_][0-9]+)?'), ',') AS numbers, CAST(len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[0-9]+')) AS INTEGER) AS n_english FROM documents""")
+def number_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.numeric_tokens(F.col("text")), ",").alias("numbers"), F.size(T.english_tokens(F.col("text"))).alias("n_english"))
+
+
+@query(""" SELECT CAST(quality AS VARCHAR) AS label, round(avg(rate), 4) AS mean_rate, round(stddev_pop(rate), 4) AS std_rate, CAST(sum(n) AS BIGINT) AS n FROM (SELECT quality, toxic + doc_id % 7 / CAST(7 AS DOUBLE) AS rate, 1 AS n FROM labels) x GROUP BY ALL""")
+def macro_report(spark, d):
+    rates = table(spark, d, "labels").select(F.col("quality").cast("string").alias("label"), (F.col("toxic") + F.col("doc_id") % 7 / 7).alias("rate"), F.lit(1).alias("n"))
+    return E.macro_report(rates, ["label"], ["n"])
+
+
+@query(""" SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = 'fr'""")
+def structured_list(spark, d):
+    # one query's list in index order: ranks run over the whole corpus by definition
+    return V.in_order(table(spark, d, "documents"), F.col("lang") == "fr").select("doc_id", "rank")
+
+
+@query(""" SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS plain FROM pages""")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "").alias("plain"))
+
+
+@query(""" SELECT file_id, seg_idx, text FROM segments WHERE least(end_ms, 60000) > greatest(start_ms, 20000)""", "segments")
+def time_filter(spark, d):
+    return segments(spark, d).where(P.overlaps_range(20_000, 60_000)).select("file_id", "seg_idx", "text")
+
+
+@query(""" SELECT file_id, string_agg(text, '' ORDER BY start_ms, end_ms, seg_idx) AS text FROM segments GROUP BY file_id""", "segments")
+def joined_text(spark, d):
+    return E.joined_text(segments(spark, d))

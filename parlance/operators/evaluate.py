@@ -1,0 +1,81 @@
+"""Evaluation: edit counts, text, confidence and ranking metrics, reports."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parlance.functions import text as T
+
+
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
+    """(distance, substitutions, insertions, deletions); on equal cost diagonal, insertion, deletion."""
+    n, m = len(ref), len(hyp)
+    cost = np.zeros((n + 1, m + 1), np.int32)
+    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
+    names = {t: i for i, t in enumerate({*ref, *hyp})}
+    b = np.array([names[t] for t in hyp], np.int64)
+    for i in range(1, n + 1):
+        step = np.minimum(cost[i - 1, :-1] + (b != names[ref[i - 1]]), cost[i - 1, 1:] + 1)
+        row = np.concatenate([[i], step])
+        cost[i] = np.minimum.accumulate(row - np.arange(m + 1)) + np.arange(m + 1)
+    s = ins = d = 0
+    i, j = n, m
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+            s += ref[i - 1] != hyp[j - 1]
+            i, j = i - 1, j - 1
+        elif j and cost[i, j] == cost[i, j - 1] + 1:
+            ins, j = ins + 1, j - 1
+        else:
+            d, i = d + 1, i - 1
+    return int(cost[n, m]), int(s), int(ins), int(d)
+
+
+def error_rates(pairs: DataFrame, language: str = "en") -> DataFrame:
+    """``file_id, ref, hyp`` to n_ref, distance, substitutions, insertions, deletions, rate."""
+    clean = T.eval_clean_en if language == "en" else T.eval_clean_zh
+    cut = pairs.select("file_id", *(T.tokens(clean(F.coalesce(c, F.lit(""))), language).alias(c) for c in ("ref", "hyp")))
+    kind = dict(pairs.dtypes)["file_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(len(r), *edit_counts(list(r), list(h))) for r, h in zip(pdf["ref"], pdf["hyp"], strict=True)]
+            out = pd.DataFrame(rows, columns=["n_ref", "distance", "substitutions", "insertions", "deletions"], dtype="int64")
+            out.insert(0, "file_id", pdf["file_id"].to_numpy())
+            yield out.assign(rate=out["distance"] / out["n_ref"].clip(lower=1))
+
+    return cut.mapInPandas(run, f"file_id {kind}, n_ref long, distance long, substitutions long, insertions long, deletions long, rate double")
+
+
+def character_distance(pairs: DataFrame) -> DataFrame:
+    """Edit distance by characters with the built-in function: no Python."""
+    d = F.levenshtein("ref", "hyp")
+    return pairs.withColumn("distance", d.cast("long")).withColumn("rate", F.round(d / F.greatest(F.length("ref"), F.lit(1)), 6))
+
+
+def joined_text(segments: DataFrame, column: str = "text") -> DataFrame:
+    """All text of a file in order, with nothing between segments."""
+    rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_idx", F.coalesce(column, F.lit("")).alias("t"))))
+    return segments.groupBy("file_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), "").alias("text"))
+
+
+def confidence_report(flagged: DataFrame) -> DataFrame:
+    low = F.count_if(F.coalesce("low_confidence", F.lit(False)))
+    return flagged.groupBy("file_id").agg(F.count("*").alias("n"), low.alias("n_low"), F.round(low / F.count("*"), 4).alias("low_rate"))
+
+
+def macro_report(rates: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Mean and population deviation of per-file rates (nulls and NaN left out), sums of counts."""
+    value = lambda c: F.when(~F.isnan(c), F.col(c))
+    return rates.groupBy(*keys).agg(*(F.round(F.avg(value("rate")), 4).alias("mean_rate"), F.round(F.coalesce(F.stddev_pop(value("rate")), F.lit(0.0)), 4).alias("std_rate")), *(F.sum(c).alias(c) for c in counts))
+
+
+def ranking_report(outcomes: DataFrame, slices: list[str]) -> DataFrame:
+    """n, hit@1, hit@5, mrr overall and by each slice, in one pass over grouping sets."""
+    rank = F.col("rank")
+    return outcomes.groupingSets([[], *([s] for s in slices)], *slices).agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce(rank, F.lit(0)) == 1).cast("double")), 4).alias("hit_at_1"), F.round(F.avg(F.coalesce((rank <= 5).cast("double"), F.lit(0.0))), 4).alias("hit_at_5"), F.round(F.avg(F.coalesce(F.when(rank <= 5, 1.0 / rank), F.lit(0.0))), 4).alias("mrr"))

@@ -1,0 +1 @@
+"""Compositions of operators."""
