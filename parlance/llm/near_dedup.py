@@ -11,17 +11,16 @@ Which pairs of a bucket become candidates is settled in rounds, each over the bu
 span several components:
 
 1. every class meets one hub, the smallest hub (least class) of its buckets;
-2. every class meets the hub of each of its buckets;
-3. and 4. the classes outside a bucket's largest component meet ``HUBS`` of that component's
-   classes, chosen by hash, afresh in each round;
-5. they meet every class of another component in their bucket.
+2. the classes outside a bucket's largest component meet ``HUBS`` of that component's classes,
+   chosen by hash;
+3. they meet every class of another component in their bucket.
 
-Rounds 1 to 4 are linear in the bucket and connect large groups of near copies; round 5 leaves no
+Rounds 1 and 2 are linear in the bucket and connect large groups of near copies; round 3 leaves no
 pair across components untried, so no link that a shared bucket shows is lost.  Pairs whose sizes
 rule out the similarity are left out everywhere.
 
-With 64 bands of 7 rows, two documents at a similarity of 0.8 share no bucket once in 3.5 million
-times; at a similarity of 0.3 they do once in 70 times, at 0.2 once in 1,200 times.
+With 48 bands of 6 rows, two documents at a similarity of 0.8 share no bucket once in 2.2 million
+times; at a similarity of 0.3 they do once in 29 times, at 0.2 once in 325 times.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing.  A null id is linked
 with nothing (component null, kept).  Rows that repeat an id are one document: they share its
@@ -44,9 +43,9 @@ from parlance.llm.common import WordHashes, materialize, mixed, rolling
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0xDA942042E4DD58B5
 PERCENT = 80
-BANDS, ROWS = 64, 7
+BANDS, ROWS = 48, 6
 HUBS = 8
-SIGNATURE_SLACK = 0.12  # six standard errors of the estimate from 448 minima of four bits, at 0.8
+SIGNATURE_SLACK = 0.15  # six standard errors of the estimate from 288 minima of four bits, at 0.8
 
 
 def shingle_set(text: str | None, size: int, table: WordHashes) -> np.ndarray:
@@ -61,17 +60,19 @@ def shingle_set(text: str | None, size: int, table: WordHashes) -> np.ndarray:
 def coefficients(bands: int, rows: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     n = bands * rows
-    return rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 2048) -> np.ndarray:
-    """Minima, as 32-bit values, of (a * x + b) mod 2**64 over the folded shingles."""
-    x = (shingles >> np.uint64(32)) ^ (shingles & np.uint64(0xFFFFFFFF))
-    out = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
+def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024) -> np.ndarray:
+    """Minima of (a * x + b) mod 2**32, a odd, over the shingles folded to 32 bits."""
+    x = ((shingles >> np.uint64(32)) ^ shingles).astype(np.uint32)
+    out = np.full(len(a), np.uint32(0xFFFFFFFF))
     with np.errstate(over="ignore"):
         for k in range(0, len(x), step):
-            np.minimum(out, (a[:, None] * x[None, k : k + step] + b[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+            h = a[:, None] * x[None, k : k + step]
+            h += b[:, None]
+            np.minimum(out, h.min(axis=1), out=out)
+    return out
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -172,10 +173,8 @@ def possible(one: str, other: str, percent: int) -> Column:
     return 100 * F.least(one, other) >= percent * F.greatest(one, other)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets share at least ``percent`` of a hundred of their union."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node, shingles of the classes, from the text of each one's smallest id; written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordHashes()
@@ -183,7 +182,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
             sets = [s for s in (shingle_set(t, size, table) for t in pdf["text"]) if len(s)]
             yield pd.DataFrame({"node": np.array([class_of(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").select("text").mapInPandas(run, "node long, shingles array<long>")
+    wanted = classes.select(F.col("rep").alias("doc_id")).distinct()
+    return materialize(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").select("text").mapInPandas(run, "node long, shingles array<long>"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets share at least ``percent`` of a hundred of their union."""
     one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "uv")
     common = F.size(F.array_intersect("s_u", "s_v"))
     return pairs.join(one, "u").join(other, "v").where(100 * common >= percent * (F.size("s_u") + F.size("s_v") - common)).select("u", "v").distinct()
@@ -200,16 +204,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     placed = materialize(placed.join(shared, "bucket"), "buckets")
     classes = materialize(first("signature").join(placed.select("node").distinct(), "node", "left_semi"), "classes")
 
+    sets = full_sets(docs, classes, size)
+
     def similar(pairs: DataFrame) -> DataFrame:
         one, other = (classes.select(F.col("node").alias(c), F.col("signature").alias(f"g_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
         close = pairs.join(one, "u").join(other, "v").where(possible("n_u", "n_v", percent) & (agreement("g_u", "g_v") >= percent / 100 - SIGNATURE_SLACK)).select("u", "v")
-        return materialize(confirmed(materialize(close, "close"), docs, classes, size, percent), "links")
+        return materialize(confirmed(materialize(close, "close"), sets, percent), "links")
 
     # ids that stand for several sets link their classes
     ids = known.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("doc_id", "v")
     linked = known.select("doc_id", "node").distinct().join(ids, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
     links = materialize(linked, "links")
-    for round_ in (1, 2, 3, 4, 5):
+    for round_ in (1, 2, 3):
         component = connected_components(links)
         pairs = candidates(placed, component, round_, percent)
         links = materialize(links.union(similar(pairs)), "links")
@@ -230,21 +236,16 @@ def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: in
         pairs = now.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").select("node", F.col("hub").alias("other"))
     else:
         several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "hub", "node", "n", "component"), "members")
+        members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "node", "n", "component"), "members")
+        body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
+        parted = members.join(body, "bucket")
+        strays = parted.where("component <> body").select("bucket", "node", "n", "component")
+        others = members
         if round_ == 2:
-            of_hub = members.where("node = hub").select("bucket", F.col("component").alias("of_hub"))
-            pairs = members.join(of_hub, "bucket").where("component <> of_hub").select("node", F.col("hub").alias("other"))
-        else:
-            body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
-            parted = members.join(body, "bucket")
-            strays = parted.where("component <> body").select("bucket", "node", "n", "component")
-            if round_ < 5:
-                order = F.xxhash64("node", F.lit(round_))
-                others = parted.where("component = body").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
-            else:
-                others = members
-            others = others.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("of_other"))
-            pairs = strays.join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
+            order = F.xxhash64("node", F.lit(round_))
+            others = parted.where("component = body").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
+        others = others.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("of_other"))
+        pairs = strays.join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
