@@ -13,7 +13,8 @@ span several components:
 1. every class meets one hub, the smallest hub (least class) of its buckets;
 2. the classes outside a bucket's largest component meet ``HUBS`` of that component's classes,
    chosen by hash;
-3. they meet every class of another component in their bucket.
+3. they meet every class of another component in their bucket; signatures are compared in tiles
+   within a task, and only pairs that they allow leave it.
 
 Rounds 1 and 2 are linear in the bucket and connect large groups of near copies; round 3 leaves no
 pair across components untried, so no link that a shared bucket shows is lost.  Pairs whose sizes
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     links = materialize(linked, "links")
     for round_ in (1, 2, 3):
         component = connected_components(links)
-        pairs = candidates(placed, component, round_, percent)
+        pairs = candidates(placed, component, classes, round_, percent)
         links = materialize(links.union(similar(pairs)), "links")
     component = connected_components(links)
     ids_of = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     return found.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: int) -> DataFrame:
+def candidates(placed: DataFrame, component: DataFrame, classes: DataFrame, round_: int, percent: int) -> DataFrame:
     """Pairs (u larger than v) of bucket mates in different components that a round tries."""
     now = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if round_ == 1:
@@ -240,15 +241,50 @@ def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: in
         body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
         parted = members.join(body, "bucket")
         strays = parted.where("component <> body").select("bucket", "node", "n", "component")
-        others = members
-        if round_ == 2:
-            order = F.xxhash64("node", F.lit(round_))
-            others = parted.where("component = body").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
+        if round_ == 3:
+            return compared(strays, members, classes, percent)
+        order = F.xxhash64("node", F.lit(round_))
+        others = parted.where("component = body").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
         others = others.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("of_other"))
         pairs = strays.join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
+def compared(strays: DataFrame, members: DataFrame, classes: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
+    """Pairs (u, v) of strays and members of other components whose signatures allow the similarity.
+
+    A bucket is cut into tiles of about ``tile`` strays by ``tile`` members; a tile is compared in
+    one task by matrix operations on the signatures, and only pairs that pass leave it.
+    """
+    cuts = members.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
+    signed = lambda rows: rows.join(cuts, "bucket").join(classes.select("node", "signature"), "node")
+    own, every = F.pmod(F.xxhash64("node"), F.col("k")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    columns = ["bucket", "node", "n", "component", "signature"]
+    left = materialize(signed(strays).withColumn("row", own).withColumn("column", every).select("row", "column", *columns), "strays")
+    # only members that share a tile row with a stray are needed there
+    rows = left.select("bucket", (F.col("row") + 0).alias("row")).distinct()
+    right = signed(members).withColumn("column", own).join(rows, "bucket").select("row", "column", *columns)
+    least = percent / 100 - SIGNATURE_SLACK
+
+    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        found: list[np.ndarray] = []
+        if len(one) and len(other):
+            matrix = lambda pdf: np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
+            a, b = matrix(one), matrix(other)
+            node, component, n = (other[c].to_numpy() for c in ("node", "component", "n"))
+            for i, (mine, group, size) in enumerate(zip(one["node"], one["component"], one["n"], strict=True)):
+                some = np.flatnonzero((component != group) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+                differ = b[some] ^ a[i]
+                equal = (((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)) / (2 * a.shape[1])
+                close = node[some[(equal - 1 / 16) / (15 / 16) >= least]]
+                found.append(np.stack([np.maximum(close, mine), np.minimum(close, mine)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    key = ["bucket", "row", "column"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "u long, v long").distinct()
+
+
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without an id stay."""
     gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
