@@ -174,5 +174,5 @@ def build_index(segments: DataFrame, path: str, least: int = 4) -> None:
         raise ValueError("nothing to index")
     kept.write.mode("overwrite").parquet(f"{path}/segments")
     hash_vectors(kept).write.mode("overwrite").parquet(f"{path}/vectors")
-    token_postings(kept).write.mode("overwrite").partitionBy().parquet(f"{path}/postings")
+    token_postings(kept).write.mode("overwrite").parquet(f"{path}/postings")
     kept.agg(F.count("*").alias("num_segments"), F.lit(DIM).alias("dim")).write.mode("overwrite").json(f"{path}/manifest")
