@@ -45,7 +45,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BASE = 0xDA942042E4DD58B5
 PERCENT = 80
 BANDS, ROWS = 48, 6
-HUBS = 8
+HUBS = 2
 SIGNATURE_SLACK = 0.15  # six standard errors of the estimate from 288 minima of four bits, at 0.8
 
 
