@@ -13,12 +13,12 @@ span several components:
 1. every class meets one hub, the smallest hub (least class) of its buckets;
 2. the classes outside a bucket's largest component meet ``HUBS`` of that component's classes,
    chosen by hash;
-3. they meet every class of another component in their bucket; signatures are compared in tiles
-   within a task, and only pairs that they allow leave it.
+3. they meet every class of another component in their bucket; full sets are compared in tiles
+   within a task, and a tile gives only the links that join components, fewer than its rows.
 
 Rounds 1 and 2 are linear in the bucket and connect large groups of near copies; round 3 leaves no
 pair across components untried, so no link that a shared bucket shows is lost.  Pairs whose sizes
-rule out the similarity are left out everywhere.
+rule out the similarity are left out everywhere.  Of buckets with the same members one is kept.
 
 With 48 bands of 6 rows, two documents at a similarity of 0.8 share no bucket once in 2.2 million
 times; at a similarity of 0.3 they do once in 29 times, at 0.2 once in 325 times.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from parlance.llm.common import WordHashes, materialize, mixed, rolling
+from parlance.llm.common import WordHashes, materialize, mixed, rolling, starts_of
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0xDA942042E4DD58B5
@@ -201,7 +201,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     known = sketched.where("doc_id is not null and node is not null")
     first = lambda *more: known.groupBy("node").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), *more)).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", *(f"x.{m}" for m in more))
     placed = buckets(first("bands"), bands)
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
+    # buckets with the same members show the same pairs; one of them is enough
+    alike = ["hub", "last", "k", "x", "y"]
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    shared = shared.where("hub <> last").groupBy(*alike).agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
     placed = materialize(placed.join(shared, "bucket"), "buckets")
     classes = materialize(first("signature").join(placed.select("node").distinct(), "node", "left_semi"), "classes")
 
@@ -218,8 +221,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     links = materialize(linked, "links")
     for round_ in (1, 2, 3):
         component = connected_components(links)
-        pairs = candidates(placed, component, classes, round_, percent)
-        links = materialize(links.union(similar(pairs)), "links")
+        if round_ == 3:
+            found = compared(members_of(placed, component), sets, percent)
+        else:
+            found = similar(candidates(placed, component, round_, percent))
+        links = materialize(links.union(found), "links")
     component = connected_components(links)
     ids_of = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids_of = ids_of.groupBy("component").agg(F.min("rep").alias("component_id")).join(ids_of.select("node", "component"), "component").select("node", "component_id")
@@ -230,59 +236,79 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     return found.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def candidates(placed: DataFrame, component: DataFrame, classes: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Pairs (u larger than v) of bucket mates in different components that a round tries."""
-    now = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def in_components(placed: DataFrame, component: DataFrame) -> DataFrame:
+    return placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def members_of(placed: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, node, n, component, stray (outside the bucket's largest component), of the buckets that span components."""
+    now = in_components(placed, component)
+    several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "node", "n", "component"), "members")
+    body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
+    return members.join(body, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"))
+
+
+def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: int) -> DataFrame:
+    """Pairs (u larger than v) of bucket mates in different components that round 1 or 2 tries."""
     if round_ == 1:
-        pairs = now.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").select("node", F.col("hub").alias("other"))
+        pairs = in_components(placed, component).groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").select("node", F.col("hub").alias("other"))
     else:
-        several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "node", "n", "component"), "members")
-        body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
-        parted = members.join(body, "bucket")
-        strays = parted.where("component <> body").select("bucket", "node", "n", "component")
-        if round_ == 3:
-            return compared(strays, members, classes, percent)
+        members = members_of(placed, component)
         order = F.xxhash64("node", F.lit(round_))
-        others = parted.where("component = body").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
+        others = members.where("not stray").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
         others = others.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("of_other"))
-        pairs = strays.join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
+        pairs = members.where("stray").join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
     return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
-def compared(strays: DataFrame, members: DataFrame, classes: DataFrame, percent: int, tile: int = 1024) -> DataFrame:
-    """Pairs (u, v) of strays and members of other components whose signatures allow the similarity.
+def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024, elements: int = 1 << 20) -> DataFrame:
+    """Links (u, v) between strays and members of other components, on full sets.
 
-    A bucket is cut into tiles of about ``tile`` strays by ``tile`` members; a tile is compared in
-    one task by matrix operations on the signatures, and only pairs that pass leave it.
+    A bucket is cut into k by k tiles, k such that a k-th of it has about ``tile`` members and
+    ``elements`` shingles; one task compares the strays of a row of tiles with the members of a
+    column.  A tile gives a link only where it joins two components that its earlier links left
+    apart, so it gives fewer links than it has rows, and the components are those of all links.
     """
-    cuts = members.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
-    signed = lambda rows: rows.join(cuts, "bucket").join(classes.select("node", "signature"), "node")
-    own, every = F.pmod(F.xxhash64("node"), F.col("k")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    columns = ["bucket", "node", "n", "component", "signature"]
-    left = materialize(signed(strays).withColumn("row", own).withColumn("column", every).select("row", "column", *columns), "strays")
-    # only members that share a tile row with a stray are needed there
-    rows = left.select("bucket", (F.col("row") + 0).alias("row")).distinct()
-    right = signed(members).withColumn("column", own).join(rows, "bucket").select("row", "column", *columns)
-    least = percent / 100 - SIGNATURE_SLACK
-
-    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
-        if len(one) and len(other):
-            matrix = lambda pdf: np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-            a, b = matrix(one), matrix(other)
-            node, component, n = (other[c].to_numpy() for c in ("node", "component", "n"))
-            for i, (mine, group, size) in enumerate(zip(one["node"], one["component"], one["n"], strict=True)):
-                some = np.flatnonzero((component != group) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
-                differ = b[some] ^ a[i]
-                equal = (((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)) / (2 * a.shape[1])
-                close = node[some[(equal - 1 / 16) / (15 / 16) >= least]]
-                found.append(np.stack([np.maximum(close, mine), np.minimum(close, mine)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    key = ["bucket", "row", "column"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "u long, v long").distinct()
+    cuts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / elements)).cast("int").alias("k"))
+    cells = materialize(members.join(cuts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")), "cells")
+    rows = cells.where("stray").select("bucket", F.col("own").alias("row")).distinct()
+    answering = cells.join(rows, "bucket").select("bucket", "row", F.col("own").alias("column"), "node", "component", (F.col("stray") & (F.col("row") == F.col("own"))).alias("asks"), F.lit(True).alias("answers"))
+    # a stray is in the tile of its own row and column once, as one that asks and answers
+    asking = cells.where("stray and k > 1").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("column <> own")
+    asking = asking.select("bucket", F.col("own").alias("row"), "column", "node", "component", F.lit(True).alias("asks"), F.lit(False).alias("answers"))
+    placed = answering.union(asking).join(sets, "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["shingles"].map(len).to_numpy()
+        node = pdf["node"].to_numpy()
+        group = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+        right = np.flatnonzero(pdf["answers"].to_numpy())
+        right = right[np.argsort(sizes[right], kind="stable")]
+        found: list[tuple[int, int]] = []
+        if len(right):
+            sets_ = [np.asarray(s, np.int64) for s in pdf["shingles"]]
+            known, ids = np.unique(np.concatenate([sets_[j] for j in right]), return_inverse=True)
+            starts, n = starts_of(sizes[right]), sizes[right]
+            mark = np.zeros(len(known), np.uint8)
+            for i in np.flatnonzero(pdf["asks"].to_numpy()):
+                # sizes that allow the similarity are a run of ``right``
+                lo = np.searchsorted(n, -(-percent * sizes[i] // 100))
+                hi = np.searchsorted(n, sizes[i] * 100 // percent, side="right")
+                if not (group[right[lo:hi]] != group[i]).any():
+                    continue
+                at = np.minimum(np.searchsorted(known, sets_[i]), len(known) - 1)
+                at = at[known[at] == sets_[i]]
+                mark[at] = 1
+                common = np.add.reduceat(mark[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+                mark[at] = 0
+                for j in right[lo:hi][100 * common >= percent * (sizes[i] + n[lo:hi] - common)]:
+                    if group[j] != group[i]:
+                        found.append((max(node[i], node[j]), min(node[i], node[j])))
+                        group[group == group[j]] = group[i]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return placed.groupBy("bucket", "row", "column").applyInPandas(run, "u long, v long").distinct()
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
