@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -175,16 +176,27 @@ def possible(one: str, other: str, percent: int) -> Column:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node, shingles of the classes, from the text of each one's smallest id; written once."""
+    """node, shingles of the classes, from the text of each one's smallest id; written once.
+
+    The join with the wanted ids moves every text, so texts are compressed for it.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            texts = ("" if t is None else t for t in pdf["text"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordHashes()
+        table, unpacker = WordHashes(), zstandard.ZstdDecompressor()
         for pdf in batches:
-            sets = [s for s in (shingle_set(t, size, table) for t in pdf["text"]) if len(s)]
+            texts = (unpacker.decompress(p).decode("utf-8", "surrogatepass") for p in pdf["packed"])
+            sets = [s for s in (shingle_set(t, size, table) for t in texts) if len(s)]
             yield pd.DataFrame({"node": np.array([class_of(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
     wanted = classes.select(F.col("rep").alias("doc_id")).distinct()
-    return materialize(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").select("text").mapInPandas(run, "node long, shingles array<long>"), "sets")
+    packed = docs.where("doc_id is not null").mapInPandas(pack, f"doc_id {dict(docs.dtypes)['doc_id']}, packed binary")
+    return materialize(packed.join(wanted, "doc_id", "left_semi").select("packed").mapInPandas(run, "node long, shingles array<long>"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,9 +214,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     first = lambda *more: known.groupBy("node").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), *more)).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", *(f"x.{m}" for m in more))
     placed = buckets(first("bands"), bands)
     # buckets with the same members show the same pairs; one of them is enough
-    alike = ["hub", "last", "k", "x", "y"]
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    shared = shared.where("hub <> last").groupBy(*alike).agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
+    own = F.xxhash64("node")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.bit_xor(own).alias("x"))
+    shared = shared.where(F.col("x") != F.xxhash64("hub")).groupBy("hub", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
     placed = materialize(placed.join(shared, "bucket"), "buckets")
     classes = materialize(first("signature").join(placed.select("node").distinct(), "node", "left_semi"), "classes")
 
