@@ -157,7 +157,12 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    The fences are joined to the texts (a small side), so neither null nor repeated ids matter.
+    Each text is measured once: the whole rows are written with their counts, inside a struct so that
+    no column of theirs clashes with one of the rules'.  The fences are written too, a row a language
+    and source, so their join to the rows has a known size.  No id is used; null or repeated ones
+    do not matter.
     """
-    numbers = materialize(measured(docs.select("text", "lang", "source")).drop("text"), "quality")
-    return judged(measured(docs), fences(numbers)).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang", "source")
+    rows = materialize(measured(rows).drop("text"), "quality")
+    limits = materialize(fences(rows), "fences")
+    return judged(rows, limits).where("kept").select("row.*")
