@@ -253,12 +253,14 @@ def in_components(placed: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def members_of(placed: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, node, n, component, stray (outside the bucket's largest component), of the buckets that span components."""
+    """bucket, node, n, component, stray (outside the bucket's largest component), and the bucket's numbers of
+    members and elements (sum of n), of the buckets that span components."""
     now = in_components(placed, component)
     several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "node", "n", "component"), "members")
-    body = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"))
-    return members.join(body, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"))
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    whole = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"), F.sum("k").alias("members"), F.sum("e").alias("elements"))
+    return members.join(whole, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"), "members", "elements")
 
 
 def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: int) -> DataFrame:
@@ -282,14 +284,16 @@ def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024
     column.  A tile gives a link only where it joins two components that its earlier links left
     apart, so it gives fewer links than it has rows, and the components are those of all links.
     """
-    cuts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / elements)).cast("int").alias("k"))
-    cells = materialize(members.join(cuts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")), "cells")
-    rows = cells.where("stray").select("bucket", F.col("own").alias("row")).distinct()
-    answering = cells.join(rows, "bucket").select("bucket", "row", F.col("own").alias("column"), "node", "component", (F.col("stray") & (F.col("row") == F.col("own"))).alias("asks"), F.lit(True).alias("answers"))
+    k = F.ceil(F.greatest(F.col("members") / tile, F.col("elements") / elements)).cast("int")
+    cells = materialize(members.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).drop("members", "elements"), "cells")
+    # a bucket of one tile has a stray, or it would not span components
+    small = cells.where("k = 1").select("bucket", F.col("own").alias("row"), F.col("own").alias("column"), "node", "component", F.col("stray").alias("asks"), F.lit(True).alias("answers"))
+    rows = cells.where("stray and k > 1").select("bucket", F.col("own").alias("row")).distinct()
+    answering = cells.where("k > 1").join(rows, "bucket").select("bucket", "row", F.col("own").alias("column"), "node", "component", (F.col("stray") & (F.col("row") == F.col("own"))).alias("asks"), F.lit(True).alias("answers"))
     # a stray is in the tile of its own row and column once, as one that asks and answers
     asking = cells.where("stray and k > 1").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("column <> own")
     asking = asking.select("bucket", F.col("own").alias("row"), "column", "node", "component", F.lit(True).alias("asks"), F.lit(False).alias("answers"))
-    placed = answering.union(asking).join(sets, "node")
+    placed = small.union(answering).union(asking).join(sets, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["shingles"].map(len).to_numpy()
