@@ -24,6 +24,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.common import thrifty
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -157,6 +159,10 @@ class ByteBpe:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty the caches of pieces and pairs."""
+        self.pieces, self.older, self.allowed = {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -178,8 +184,10 @@ def _rows(docs: DataFrame, of_text, columns: str) -> DataFrame:
         for pdf in batches:
             values = list(zip(*map(of_text, pdf.iloc[:, 1]), strict=True)) or [[] for _ in columns.split(",")]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c.split()[0]: list(v) for c, v in zip(columns.split(","), values, strict=True)}})
+        for bpe in _OPEN.values():
+            bpe.forget()
 
-    return docs.mapInPandas(run, f"doc_id {kind}, {columns}")
+    return docs.mapInPandas(thrifty(run), f"doc_id {kind}, {columns}")
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

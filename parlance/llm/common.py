@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +46,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def release() -> None:
+    """Give the memory that this worker no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def thrifty(run: Batches) -> Batches:
+    """``run``, releasing memory at the end of each task.
+
+    Spark keeps a task's Python worker for later tasks, also those of other operators that need
+    further workers; without this each stays as large as it has ever been.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.common import thrifty
+
 Q = 8
 EDITS = 10  # per hundred characters
 SEGMENT, STRIDE, LEAST = 100, 50, 40
@@ -226,7 +228,7 @@ def matcher(shared):
                 part["_segments"] = part["_segments"] + np.array([sum(n for n, _ in f.values()) for f in found], np.int64)
                 yield part
 
-    return run
+    return thrifty(run)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from parlance.llm.common import WordHashes, materialize, mixed, rolling, starts_of
+from parlance.llm.common import WordHashes, materialize, mixed, rolling, starts_of, thrifty
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0xDA942042E4DD58B5
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, node long, bands binary, signature binary")
+    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, n_shingles long, node long, bands binary, signature binary")
 
 
 def bucket_names(bands: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def buckets(classes: DataFrame, bands: int) -> DataFrame:
             if len(pdf):
                 yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), bands), "n": np.repeat(pdf["n"].to_numpy(np.int32), bands), "bucket": np.frombuffer(b"".join(pdf["bands"]), np.int64)})
 
-    return classes.select("node", "n", "bands").mapInPandas(run, "node long, n int, bucket long")
+    return classes.select("node", "n", "bands").mapInPandas(thrifty(run), "node long, n int, bucket long")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -195,8 +195,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"node": np.array([class_of(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
 
     wanted = classes.select(F.col("rep").alias("doc_id")).distinct()
-    packed = docs.where("doc_id is not null").mapInPandas(pack, f"doc_id {dict(docs.dtypes)['doc_id']}, packed binary")
-    return materialize(packed.join(wanted, "doc_id", "left_semi").select("packed").mapInPandas(run, "node long, shingles array<long>"), "sets")
+    packed = docs.where("doc_id is not null").mapInPandas(thrifty(pack), f"doc_id {dict(docs.dtypes)['doc_id']}, packed binary")
+    return materialize(packed.join(wanted, "doc_id", "left_semi").select("packed").mapInPandas(thrifty(run), "node long, shingles array<long>"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
