@@ -11,8 +11,8 @@ Sketches of small groups (under ``LEAST_GROUP`` documents) merge into their lang
 languages' into the corpus's.
 
 A document fails if a base rule fails or a ratio lies beyond its fence, median + ``SPREADS`` times
-the spread from the median to the 95 % quantile (at least ``FLOOR``): far outside what its own
-source usually has.  A hot source is no burden: sketches are summed before the shuffle, and the
+the spread from the median to the 75 % quantile (25 % for a low fence; at least ``LEAST_SPREAD``): far
+outside what its own source usually has.  A quarter of a group may be junk before the spread takes it in.  A hot source is no burden: sketches are summed before the shuffle, and the
 fences join to per-document numbers, not texts.
 
 Nulls: a null text has no words and fails; null language or source form groups of their own.
@@ -29,7 +29,9 @@ SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 7
 LEAST_GROUP = 50
 SPREADS = 6
-#: ratio -> least spread in its own unit
+#: ratio -> least spread in its own unit; small enough that each fence can be reached by a document that passes the base rules
+LEAST_SPREAD = {"word_length": 25, "symbol_share": 15, "dup_line_share": 60, "repeat_share": 50}
+#: the least spreads of the SQL in queries.py, which still has the 95 % and 5 % quantiles
 FLOOR = {"word_length": 150, "symbol_share": 40, "dup_line_share": 100, "repeat_share": 100}
 #: ratios that fail on either side of their fence
 TWO_SIDED = ("word_length",)
@@ -110,11 +112,11 @@ def fences(measured_docs: DataFrame) -> DataFrame:
         step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNotNull(), acc["at"]).when(100 * (acc["seen"] + x["n"]) >= percent * F.col("total"), x["value"]).alias("at"))
         return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")), step)["at"]
 
-    floor = F.element_at(F.create_map(*(y for k, v in FLOOR.items() for y in (F.lit(k), F.lit(v)))), F.col("ratio"))
-    cut = histogram.select("g", "ratio", "total", quantile(50).alias("mid"), quantile(95).alias("up"), quantile(5).alias("down"))
+    floor = F.element_at(F.create_map(*(y for k, v in LEAST_SPREAD.items() for y in (F.lit(k), F.lit(v)))), F.col("ratio"))
+    cut = histogram.select("g", "ratio", "total", quantile(50).alias("mid"), quantile(75).alias("up"), quantile(25).alias("down"))
     cut = cut.select("g", "ratio", "total", (F.col("mid") + SPREADS * F.greatest(F.col("up") - F.col("mid"), floor)).alias("high"), F.when(F.col("ratio").isin(*TWO_SIDED), F.col("mid") - SPREADS * F.greatest(F.col("mid") - F.col("down"), floor)).alias("low"))
-    wide = cut.groupBy("g").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{k}_{side}") for k in FLOOR for side in ("low", "high")))
-    names = [f"{k}_{side}" for k in FLOOR for side in ("low", "high")]
+    wide = cut.groupBy("g").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{k}_{side}") for k in LEAST_SPREAD for side in ("low", "high")))
+    names = [f"{k}_{side}" for k in LEAST_SPREAD for side in ("low", "high")]
     whole = F.struct("total", *names)
     at = lambda level, name: wide.where(F.col("g.level") == level).select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), whole.alias(name))
     groups = measured_docs.groupBy("lang", "source").agg(F.count("*").alias("n_group"))
