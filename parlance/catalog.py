@@ -276,8 +276,9 @@ def rank_lists(spark, d, k=20):
     v = vectors(spark, d)
     dense = V.dense_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, k)
     docs = table(spark, d, "documents")
-    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query")).join(dense.select("query_id").distinct(), "query_id", "left_semi")
-    return dense, V.sparse_topk(q, V.token_postings(docs), k)
+    # whole texts, with or without a dense list; FUSED has the first 60 characters of those with one
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return dense, V.whole_text_topk(q, docs, k)
 
 
 FUSED = f"""WITH dl AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) x WHERE rank <= 20),

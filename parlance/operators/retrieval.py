@@ -6,10 +6,13 @@ are a DataFrame (query_id, ...), so a batch of searches is one job.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +24,9 @@ DIM = 384
 WEIGHTS = {"semantic": 1.0, "keyword": 1.0, "speaker": 1.5, "time": 1.0, "intent": 1.2}
 RRF_K = 60
 VECTOR_BYTES = 64_000_000
+#: whole-text queries of a block, their tokens kept as dense rows, documents scored at once
+TEXT_QUERIES, COMMON_TOKENS, SLICE = 4096, 512, 1000
+NO_ID = -(2**63)
 
 
 def hash_postings(docs: DataFrame, dim: int = DIM) -> DataFrame:
@@ -90,6 +96,71 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranked(out, k, F.col("score").desc(), "doc_id")
 
 
+def whole_text_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``sparse_topk`` for queries as long as documents, which share a token with nearly every one.
+
+    Queries are taken in blocks of ``TEXT_QUERIES`` or ``VECTOR_BYTES`` of text, each broadcast as an inverted
+    index; a task keeps its own best k documents a query, so pairs are not shuffled.  Scores are whole numbers.
+    """
+    spark = queries.sparkSession
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.octet_length("query")).alias("b")).first()
+    blocks = max(1, -(-size["n"] // TEXT_QUERIES), -(-(size["b"] or 0) // VECTOR_BYTES))
+    # null ids sort first, as in sparse_topk; documents with one id count as one
+    tokens = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), T.hash_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    tokens = tokens.groupBy("doc_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    out = None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", T.hash_tokens("query").alias("tokens")).collect()  # one bounded block
+        counts = Counter((token, r["query_id"]) for r in rows if r["query_id"] is not None for token in r["tokens"] or ())
+        if not counts:
+            continue
+        ids, names = sorted({q for _, q in counts}), sorted({t for t, _ in counts})
+        place, number = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(names)}
+        cells = np.array(sorted((number[t], place[q], n) for (t, q), n in counts.items()), np.int64)
+        start = np.searchsorted(cells[:, 0], np.arange(len(names) + 1))
+        common = np.argsort(-np.diff(start), kind="stable")[:COMMON_TOKENS]
+        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), names, start, cells[:, 1].copy(), cells[:, 2].astype(np.float64), common))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, names, start, query, times, common = shared.value
+            known, n = pa.array(names, pa.string()), len(ids)
+            wide, column = np.zeros((len(common), n)), np.full(len(names), -1)
+            column[common] = np.arange(len(common))
+            for i, t in enumerate(common):
+                wide[i, query[start[t] : start[t + 1]]] = times[start[t] : start[t + 1]]
+            best, best_doc = np.zeros((0, n)), np.zeros((0, n), np.int64)
+            for batch in batches:
+                lists = batch.column("tokens")
+                found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                doc = batch.column("doc_id").to_numpy()
+                for low in range(0, len(doc), SLICE):
+                    rows = range(low, min(low + SLICE, len(doc)))
+                    weights, score = np.zeros((len(rows), len(common))), np.zeros((len(rows), n))
+                    for i, row in enumerate(rows):
+                        token, weight = np.unique(found[ends[row] : ends[row + 1]], return_counts=True)
+                        token, weight = token[token >= 0], weight[token >= 0]
+                        is_wide = column[token] >= 0
+                        weights[i, column[token[is_wide]]] = weight[is_wide]
+                        token, weight = token[~is_wide], weight[~is_wide]
+                        if len(token):
+                            long = start[token + 1] - start[token]
+                            at = np.arange(long.sum()) + np.repeat(start[token] - np.concatenate([[0], np.cumsum(long)[:-1]]), long)
+                            score[i] = np.bincount(query[at], times[at] * np.repeat(weight, long), n)
+                    score += weights @ wide
+                    score, of = np.concatenate([best, score]), np.concatenate([best_doc, np.broadcast_to(doc[rows.start : rows.stop, None], score.shape)])
+                    first = np.lexsort((of, -score), axis=0)[:k]
+                    best, best_doc = np.take_along_axis(score, first, 0), np.take_along_axis(of, first, 0)
+            at, of = np.nonzero(best > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(best_doc[at, of]), pa.array(best[at, of].astype(np.int64))], ["query_id", "doc_id", "score"])
+
+        part = tokens.mapInArrow(run, "query_id long, doc_id long, score long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, doc_id long, score long")
+    return ranked(out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), k, F.col("score").desc(), "doc_id")
+
+
 def multi_query_merge(lists: DataFrame, k: int, rest: float = 0.92) -> DataFrame:
     """Best weighted score of a document over a query's variants; the first counts in full."""
     weight = F.when(F.col("variant") == 0, 1.0).otherwise(rest)
