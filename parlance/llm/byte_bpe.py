@@ -24,7 +24,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm.common import thrifty
+from parlance.llm.common import id_again, id_text, thrifty
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -187,7 +187,8 @@ def _rows(docs: DataFrame, of_text, columns: str) -> DataFrame:
         for bpe in _OPEN.values():
             bpe.forget()
 
-    return docs.mapInPandas(thrifty(run), f"doc_id {kind}, {columns}")
+    out = docs.withColumn("doc_id", id_text()).mapInPandas(thrifty(run), f"doc_id string, {columns}")
+    return id_again(out, kind)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

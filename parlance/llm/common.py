@@ -26,26 +26,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/parlance/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """Tables written to the shared folder inside a ``with`` go at its end, but for those kept.
 
+    What is kept goes at the end of the block around it, if there is one.  The tables that go must
+    not be part of a plan that is still to run.
+    """
+
+    open_: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open_.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open_.remove(self)
+        for path in self.paths:
+            discard(self.spark, path)
+        if Scratch.open_:
+            Scratch.open_[-1].paths += self.kept
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark finds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; ``keep``: it outlives the innermost :class:`Scratch`."""
+    path = f"{shared_root(spark)}/parlance/{name}-{uuid.uuid4().hex}"
+    if Scratch.open_:
+        (Scratch.open_[-1].kept if keep else Scratch.open_[-1].paths).append(path)
+    return path
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """The id as a string: pandas would turn whole numbers beside a null into floats and round them."""
+    return F.col(column).cast("string").alias(column)
+
+
+def id_again(df: DataFrame, kind: str, column: str = "doc_id") -> DataFrame:
+    """The id in its own type again."""
+    return df.withColumn(column, F.col(column).cast(kind))
+
+
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -82,18 +128,22 @@ def encoded_words(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word (bytes) to its 64-bit XXH3, remembered for the commonest words in bounded memory."""
+    """Word (bytes) to its 128-bit XXH3, remembered for the commonest words in bounded memory."""
 
     LIMIT = 1 << 17
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_128_digest(word)
         return value
 
+    def both(self, words: list[bytes]) -> np.ndarray:
+        """Two rows: the halves of each word's hash."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8").reshape(-1, 2).T
+
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.both(words)[0].copy()
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -131,12 +181,6 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
             size *= 2
 
 
-def block_count(docs: DataFrame, chars: int, least: int = 1) -> int:
-    """Blocks of about ``chars`` characters each that ``docs`` fill."""
-    total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    return max(least, -(-total // chars))
-
-
 def in_blocks(docs: DataFrame, columns: list, blocks: int) -> DataFrame:
     """``columns`` of ``docs`` laid out by ``block``, a hash of id and text.
 

@@ -1,11 +1,11 @@
 """MinHash near-deduplication.
 
-Texts become sets of word shingles (64-bit hashes).  Documents with the same set form a class at
-once, and only classes go on, so a group of exact copies costs one row.  Each class gets
-``bands * rows`` minima of universal (multiply-add) hashes; classes that share all minima of a band
-meet in a bucket.  Candidate pairs are held against the signatures (four bits of each minimum), then
-confirmed on the full sets.  Confirmed links give components by alternating large-star and
-small-star.
+Texts become sets of word shingles (64-bit hashes).  Documents with the same set (known by 128 bits
+of its digest) form a class at once, and only classes go on, so a group of exact copies costs one
+row.  Each class gets ``bands * rows`` minima of universal (multiply-add) hashes; classes that share
+all minima of a band meet in a bucket.  Candidate pairs are held against the signatures (four bits of
+each minimum) in every round, then confirmed on the full sets.  Confirmed links give components by
+alternating large-star and small-star.
 
 Which pairs of a bucket become candidates is settled in rounds, each over the buckets that still
 span several components:
@@ -13,8 +13,9 @@ span several components:
 1. every class meets one hub, the smallest hub (least class) of its buckets;
 2. the classes outside a bucket's largest component meet ``HUBS`` of that component's classes,
    chosen by hash;
-3. they meet every class of another component in their bucket; full sets are compared in tiles
-   within a task, and a tile gives only the links that join components, fewer than its rows.
+3. they meet every class of another component in their bucket, in tiles: a task compares the
+   signatures of its tile and the full sets of the pairs that pass, and gives only the links that
+   join components, fewer than its rows.
 
 Rounds 1 and 2 are linear in the bucket and connect large groups of near copies; round 3 leaves no
 pair across components untried, so no link that a shared bucket shows is lost.  Pairs whose sizes
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from parlance.llm.common import WordHashes, materialize, mixed, rolling, starts_of, thrifty
+from parlance.llm.common import Scratch, WordHashes, id_again, id_text, materialize, mixed, rolling, starts_of, thrifty
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0xDA942042E4DD58B5
@@ -77,14 +78,13 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024)
     return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """64-bit name of a set, as a signed integer."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+def digest_of(shingles: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (class), bands (64-bit bucket names), signature; null if empty."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """doc_id, n_shingles, digest, bands (64-bit bucket names), signature; the last three null if empty."""
     a, b = coefficients(bands, rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,13 +96,14 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 {
                     "doc_id": pdf["doc_id"],
                     "n_shingles": [len(s) for s in sets],
-                    "node": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"),
+                    "digest": [digest_of(s) if len(s) else None for s in sets],
                     "bands": [None if m is None else bucket_names(m.reshape(bands, rows)).tobytes() for m in found],
                     "signature": [None if m is None else four_bits(m) for m in found],
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(thrifty(run), f"doc_id {kind}, n_shingles long, node long, bands binary, signature binary")
+    out = docs.select(id_text(), "text").mapInPandas(thrifty(run), "doc_id string, n_shingles long, digest binary, bands binary, signature binary")
+    return id_again(out, dict(docs.dtypes)["doc_id"])
 
 
 def bucket_names(bands: np.ndarray) -> np.ndarray:
@@ -117,15 +118,19 @@ def four_bits(minima: np.ndarray) -> bytes:
     return ((low[::2] << 4) | low[1::2]).tobytes()
 
 
+def likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Similarity estimated from rows of signature bytes; one in sixteen unequal minima agrees by chance."""
+    differ = one ^ other
+    equal = ((differ & 15) == 0).mean(axis=-1) / 2 + ((differ >> 4) == 0).mean(axis=-1) / 2
+    return (equal - 1 / 16) / (15 / 16)
+
+
 @F.pandas_udf(DoubleType())
 def agreement(one: pd.Series, other: pd.Series) -> pd.Series:
-    """Similarity estimated from two signatures; one in sixteen unequal minima agrees by chance."""
     if not len(one):
         return pd.Series([], dtype="float64")
-    differ = np.frombuffer(b"".join(one), np.uint8) ^ np.frombuffer(b"".join(other), np.uint8)
-    differ = differ.reshape(len(one), -1)
-    equal = ((differ & 15) == 0).mean(axis=1) / 2 + ((differ >> 4) == 0).mean(axis=1) / 2
-    return pd.Series((equal - 1 / 16) / (15 / 16))
+    rows = (np.frombuffer(b"".join(x), np.uint8).reshape(len(one), -1) for x in (one, other))
+    return pd.Series(likeness(*rows))
 
 
 def buckets(classes: DataFrame, bands: int) -> DataFrame:
@@ -166,8 +171,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if after == before:
             break
         before = after
-    leaves = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return leaves
+    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
 def possible(one: str, other: str, percent: int) -> Column:
@@ -176,9 +180,10 @@ def possible(one: str, other: str, percent: int) -> Column:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node, shingles of the classes, from the text of each one's smallest id; written once.
+    """node, shingles, signature of the classes, from the text of each one's smallest id; written once.
 
-    The join with the wanted ids moves every text, so texts are compressed for it.
+    The join with the wanted ids moves every text, so texts are compressed for it.  A row of the
+    wanted id counts if its set is the class's; rows that repeat id and text give one set a task.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,15 +193,21 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, unpacker = WordHashes(), zstandard.ZstdDecompressor()
+        table, unpacker, last = WordHashes(), zstandard.ZstdDecompressor(), None
         for pdf in batches:
-            texts = (unpacker.decompress(p).decode("utf-8", "surrogatepass") for p in pdf["packed"])
-            sets = [s for s in (shingle_set(t, size, table) for t in texts) if len(s)]
-            yield pd.DataFrame({"node": np.array([class_of(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
+            rows = []
+            for node, digest, signature, packed in zip(pdf["node"], pdf["digest"], pdf["signature"], pdf["packed"], strict=True):
+                if (node, packed) != last:  # copies of a row stand side by side
+                    found = shingle_set(unpacker.decompress(packed).decode("utf-8", "surrogatepass"), size, table)
+                    if digest_of(found) == digest:
+                        rows.append((node, found.view(np.int64), signature))
+                last = node, packed
+            yield pd.DataFrame(rows, columns=["node", "shingles", "signature"]).astype({"node": "int64"})
 
-    wanted = classes.select(F.col("rep").alias("doc_id")).distinct()
-    packed = docs.where("doc_id is not null").mapInPandas(thrifty(pack), f"doc_id {dict(docs.dtypes)['doc_id']}, packed binary")
-    return materialize(packed.join(wanted, "doc_id", "left_semi").select("packed").mapInPandas(thrifty(run), "node long, shingles array<long>"), "sets")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "node", "digest", "signature")
+    packed = id_again(docs.where("doc_id is not null").select(id_text(), "text").mapInPandas(thrifty(pack), "doc_id string, packed binary"), dict(docs.dtypes)["doc_id"])
+    # merged whatever the sizes: a side that is small here is not small everywhere
+    return materialize(packed.join(wanted.hint("merge"), "doc_id").select("node", "digest", "signature", "packed").mapInPandas(thrifty(run), "node long, shingles array<long>, signature binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,40 +220,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession):
+        return materialize(_near_duplicates(docs, size, percent, bands, rows), "near", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     sketched = materialize(sketches(docs, size, bands, rows), "sketches")
-    known = sketched.where("doc_id is not null and node is not null")
-    first = lambda *more: known.groupBy("node").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), *more)).alias("x")).select("node", F.col("x.doc_id").alias("rep"), "x.n", *(f"x.{m}" for m in more))
-    placed = buckets(first("bands"), bands)
+    known = sketched.where("doc_id is not null and digest is not null")
+    first = known.groupBy("digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "bands", "signature")).alias("x"))
+    # numbers of the rows as written; they stay as they are when a task runs again
+    classes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("x.doc_id").alias("rep"), "x.n", "x.bands", "x.signature"), "classes")
+    placed = buckets(classes, bands)
     # buckets with the same members show the same pairs; one of them is enough
     own = F.xxhash64("node")
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.bit_xor(own).alias("x"))
-    shared = shared.where(F.col("x") != F.xxhash64("hub")).groupBy("hub", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.bit_xor(own).alias("x"), F.count("*").alias("k")).where("k > 1")
+    shared = shared.groupBy("hub", "x", "k").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
     placed = materialize(placed.join(shared, "bucket"), "buckets")
-    classes = materialize(first("signature").join(placed.select("node").distinct(), "node", "left_semi"), "classes")
+    met = materialize(classes.drop("bands").join(placed.select("node").distinct(), "node", "left_semi"), "met")
 
-    sets = full_sets(docs, classes, size)
+    sets = full_sets(docs, met, size)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        one, other = (classes.select(F.col("node").alias(c), F.col("signature").alias(f"g_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
+        one, other = (met.select(F.col("node").alias(c), F.col("signature").alias(f"g_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
         close = pairs.join(one, "u").join(other, "v").where(possible("n_u", "n_v", percent) & (agreement("g_u", "g_v") >= percent / 100 - SIGNATURE_SLACK)).select("u", "v")
-        return materialize(confirmed(materialize(close, "close"), sets, percent), "links")
+        return confirmed(materialize(close, "close"), sets, percent)
 
     # ids that stand for several sets link their classes
-    ids = known.select("doc_id", "node").distinct().groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("doc_id", "v")
-    linked = known.select("doc_id", "node").distinct().join(ids, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = materialize(linked, "links")
+    node_of = classes.select("digest", "node")
+    of_id = materialize(known.select("doc_id", "digest").distinct().join(node_of, "digest").select("doc_id", "node"), "ids")
+    several = of_id.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("doc_id", "v")
+    links = materialize(of_id.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v"), "links")
     for round_ in (1, 2, 3):
         component = connected_components(links)
-        if round_ == 3:
-            found = compared(members_of(placed, component), sets, percent)
+        if round_ == 1:
+            found = similar(to_hubs(placed))
+        elif round_ == 2:
+            found = similar(to_bodies(placed, component, percent))
         else:
-            found = similar(candidates(placed, component, round_, percent))
+            found = compared(members_of(placed, component), sets, percent)
         links = materialize(links.union(found), "links")
     component = connected_components(links)
-    ids_of = known.groupBy("node").agg(F.min("doc_id").alias("rep")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids_of = ids_of.groupBy("component").agg(F.min("rep").alias("component_id")).join(ids_of.select("node", "component"), "component").select("node", "component_id")
+    least = classes.select("node", "rep").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = least.groupBy("component").agg(F.min("rep").alias("component_id")).join(least.select("node", "component"), "component").select("node", "component_id")
     # rows of one id share the component of all its sets
-    by_id = known.select("doc_id", "node").join(ids_of, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    by_id = of_id.join(least, "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     found = sketched.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
     component_id = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
@@ -252,37 +273,52 @@ def in_components(placed: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def spanning(placed: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and the buckets that span components.
+
+    A bucket's row has its largest component (``body``), its numbers of members and elements (sum of
+    n), and ``hubs``, ``HUBS`` classes of the body (node, n) chosen by hash.
+    """
+    now = in_components(placed, component).select("bucket", "node", "n", "component")
+    order = F.xxhash64("node", F.lit(2))
+    slots = [F.min(F.when(F.pmod(order, F.lit(HUBS)) == k, F.struct(order.alias("o"), "node", "n"))).alias(f"h{k}") for k in range(HUBS)]
+    parts = now.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"), *slots)
+    largest = F.max(F.struct("k", "component", *(f"h{k}" for k in range(HUBS)))).alias("x")
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("members"), F.sum("e").alias("elements"), largest).where("parts > 1")
+    return now, whole.select("bucket", F.col("x.component").alias("body"), "members", "elements", F.array(*(F.col(f"x.h{k}") for k in range(HUBS))).alias("hubs"))
+
+
 def members_of(placed: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, node, n, component, stray (outside the bucket's largest component), and the bucket's numbers of
-    members and elements (sum of n), of the buckets that span components."""
-    now = in_components(placed, component)
-    several = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    members = materialize(now.join(several, "bucket", "left_semi").select("bucket", "node", "n", "component"), "members")
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
-    whole = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("body"), F.sum("k").alias("members"), F.sum("e").alias("elements"))
-    return members.join(whole, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"), "members", "elements")
-
-
-def candidates(placed: DataFrame, component: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Pairs (u larger than v) of bucket mates in different components that round 1 or 2 tries."""
-    if round_ == 1:
-        pairs = in_components(placed, component).groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub").select("node", F.col("hub").alias("other"))
-    else:
-        members = members_of(placed, component)
-        order = F.xxhash64("node", F.lit(round_))
-        others = members.where("not stray").groupBy("bucket", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("x")).select("bucket", "x.*")
-        others = others.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("of_other"))
-        pairs = members.where("stray").join(others, "bucket").where((F.col("component") != F.col("of_other")) & possible("n", "m", percent)).select("node", "other")
-    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+    """bucket, node, n, component, stray (outside the body), members, elements of the spanning buckets."""
+    now, whole = spanning(placed, component)
+    return now.join(whole, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"), "members", "elements")
+
+
+def as_pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
+def to_hubs(placed: DataFrame) -> DataFrame:
+    """Pairs (u larger than v) of the first round."""
+    return as_pairs(placed.groupBy("node").agg(F.min("hub").alias("other")).where("node <> other"))
+
+
+def to_bodies(placed: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u larger than v) of the second round; the join passes on strays alone."""
+    now, whole = (x.alias(a) for x, a in zip(spanning(placed, component), "mw", strict=True))
+    strays = now.join(whole, (F.col("m.bucket") == F.col("w.bucket")) & (F.col("m.component") != F.col("w.body")))
+    asked = strays.select("m.node", "m.n", F.explode("w.hubs").alias("h")).select("node", "n", F.col("h.node").alias("other"), F.col("h.n").alias("m"))
+    return as_pairs(asked.where(possible("n", "m", percent)))
 
 
 def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024, elements: int = 1 << 20) -> DataFrame:
-    """Links (u, v) between strays and members of other components, on full sets.
+    """Links (u, v) between strays and members of other components.
 
     A bucket is cut into k by k tiles, k such that a k-th of it has about ``tile`` members and
     ``elements`` shingles; one task compares the strays of a row of tiles with the members of a
-    column.  A tile gives a link only where it joins two components that its earlier links left
-    apart, so it gives fewer links than it has rows, and the components are those of all links.
+    column, signatures first, then the full sets of the pairs that pass.  A tile gives a link only
+    where it joins two components that its earlier links left apart, so it gives fewer links than it
+    has rows, and the components are those of all links.
     """
     k = F.ceil(F.greatest(F.col("members") / tile, F.col("elements") / elements)).cast("int")
     cells = materialize(members.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).drop("members", "elements"), "cells")
@@ -303,23 +339,23 @@ def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024
         right = right[np.argsort(sizes[right], kind="stable")]
         found: list[tuple[int, int]] = []
         if len(right):
+            signatures = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
             sets_ = [np.asarray(s, np.int64) for s in pdf["shingles"]]
-            known, ids = np.unique(np.concatenate([sets_[j] for j in right]), return_inverse=True)
-            starts, n = starts_of(sizes[right]), sizes[right]
-            mark = np.zeros(len(known), np.uint8)
+            n, of_right = sizes[right], signatures[right]
             for i in np.flatnonzero(pdf["asks"].to_numpy()):
                 # sizes that allow the similarity are a run of ``right``
                 lo = np.searchsorted(n, -(-percent * sizes[i] // 100))
                 hi = np.searchsorted(n, sizes[i] * 100 // percent, side="right")
-                if not (group[right[lo:hi]] != group[i]).any():
+                rivals = np.flatnonzero(group[right[lo:hi]] != group[i]) + lo
+                if not len(rivals):
                     continue
-                at = np.minimum(np.searchsorted(known, sets_[i]), len(known) - 1)
-                at = at[known[at] == sets_[i]]
-                mark[at] = 1
-                common = np.add.reduceat(mark[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
-                mark[at] = 0
-                for j in right[lo:hi][100 * common >= percent * (sizes[i] + n[lo:hi] - common)]:
-                    if group[j] != group[i]:
+                like = likeness(of_right[rivals], signatures[i])
+                rivals = rivals[like >= percent / 100 - SIGNATURE_SLACK]
+                for j in right[rivals]:
+                    if group[j] == group[i]:  # joined by an earlier link
+                        continue
+                    common = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
                         found.append((max(node[i], node[j]), min(node[i], node[j])))
                         group[group == group[j]] = group[i]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WordHashes, block_count, encoded_words, in_blocks, mixed, packed_flags, rolling, starts_of, unpacked_flags
+from parlance.llm.common import WordHashes, encoded_words, id_again, id_text, in_blocks, mixed, packed_flags, rolling, starts_of, unpacked_flags
 
 BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95)
 BLOCK_CHARS = 6_000_000
@@ -40,11 +40,12 @@ class Windows:
         table = WordHashes()
         self.words = [encoded_words(t) for t in texts]
         self.starts = starts_of(np.array([len(w) for w in self.words], np.int64))
-        values = np.concatenate([np.zeros(0, np.uint64), *(table.of(w) for w in self.words)])
+        one, other = np.concatenate([np.zeros((2, 0), np.uint64), *(table.both(w) for w in self.words)], axis=1)
         ends = np.repeat(self.starts[1:], np.diff(self.starts))
-        self.at = np.flatnonzero(np.arange(len(values)) + width <= ends)
-        self.first = rolling(values, width, BASES[0])[self.at] if len(self.at) else values[:0]
-        self.second = rolling(mixed(values, 77), width, BASES[1])[self.at] if len(self.at) else values[:0]
+        self.at = np.flatnonzero(np.arange(len(one)) + width <= ends)
+        # two independent hashes of each word, so that no clash of one reaches both halves of an identity
+        self.first = rolling(one, width, BASES[0])[self.at] if len(self.at) else one[:0]
+        self.second = rolling(other, width, BASES[1])[self.at] if len(self.at) else other[:0]
         self.first, self.second = mixed(self.first, 1), mixed(self.second, 2)
 
     def counters(self, row: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def dedup_substrings(docs: DataFrame, width: int = 35, block_chars: int = BLOCK_
     blocks = max(1, -(-total // block_chars))
     slices = max(1, -(-(total // 6) * LOAD // (1 << SLICE_BITS)))
     exact_slices = max(1, total // 12_000_000)
-    laid = in_blocks(docs, ["doc_id", "text"], blocks)
+    laid = in_blocks(docs, [id_text(), "text"], blocks)
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
         windows, rows = Windows(pdf["text"], width), []
@@ -174,14 +175,13 @@ def dedup_substrings(docs: DataFrame, width: int = 35, block_chars: int = BLOCK_
             n = int(lost.sum())
             kept = b" ".join([w for w, x in zip(words, lost.tolist(), strict=True) if not x] if n else words)
             rows.append((doc_id, len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"))[: 4 + with_text])
-        out = pd.DataFrame(rows, columns=columns)
-        return out.assign(doc_id=pd.array(out["doc_id"].tolist(), "Int64") if out["doc_id"].isna().any() else out["doc_id"])
+        return pd.DataFrame(rows, columns=columns)
 
     by_block = laid.groupBy("block")
     # answers are laid out like the text at once, so that both uses read the same exchange
-    estimated = by_block.applyInPandas(sketch, PART).groupBy("slice").applyInPandas(merge, ANSWER).repartition(blocks, "block")
+    estimated = by_block.applyInPandas(sketch, PART).repartition(2 * slices, "slice").groupBy("slice").applyInPandas(merge, ANSWER).repartition(blocks, "block")
     asked = by_block.cogroup(estimated.groupBy("block")).applyInPandas(candidates, PART)
-    confirmed = asked.groupBy("slice").applyInPandas(confirm, ANSWER).repartition(blocks, "block")
+    confirmed = asked.repartition(exact_slices, "slice").groupBy("slice").applyInPandas(confirm, ANSWER).repartition(blocks, "block")
     answers = estimated.unionByName(confirmed).groupBy("block")
-    kind = dict(docs.dtypes)["doc_id"]
-    return by_block.cogroup(answers).applyInPandas(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    out = by_block.cogroup(answers).applyInPandas(remove, "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return id_again(out, dict(docs.dtypes)["doc_id"])

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, packed_counts, starts_of, unpacked_counts
+from parlance.llm.common import id_again, id_text, materialize, packed_counts, starts_of, unpacked_counts
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_CHARS = 6_000_000
@@ -97,11 +97,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, bl
     input gives one of the result.
     """
     path = path or public_tokenizers.path(TOKENIZER)
+    total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(8, -(-total // block_chars))
     if shards is None:
-        total = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
         shards = max(8, total // (4 * SHARD_CHARS))
     kind = dict(docs.dtypes)["doc_id"]
-    row = f"block long, shard int, words string, doc_id {kind}, n_bytes long, n_special long, places binary, counts binary, n_distinct long"
+    row = "block long, shard int, words string, doc_id string, n_bytes long, n_special long, places binary, counts binary, n_distinct long"
 
     def block_rows(block: int, ids: list, texts: list[tuple[int, list[str], int]]) -> pd.DataFrame:
         tokens = [w for _, ws, _ in texts for w in ws]
@@ -131,13 +132,13 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, bl
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, held, ids, size = TaskContext.get().partitionId() << 32, [], [], 0
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype(object), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 text = text or ""
                 if held and size + len(text) > block_chars:
                     yield block_rows(block, ids, held)
                     block, held, ids, size = block + 1, [], [], 0
                 held.append((len(text.encode("utf-8")), *pre_tokens(text)))
-                ids.append(None if pd.isna(doc_id) else doc_id)
+                ids.append(doc_id)
                 size += len(text)
         if held:
             yield block_rows(block, ids, held)
@@ -160,8 +161,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, bl
         n_tokens = pd.Series(n_tokens, dtype="int64")
         return pd.DataFrame({"doc_id": docs_of["doc_id"].reset_index(drop=True), "n_bytes": docs_of["n_bytes"].astype("int64").reset_index(drop=True), "n_tokens": n_tokens, "over_limit": n_tokens > limit})
 
-    written = materialize(docs.select("doc_id", "text").mapInPandas(split, row), "pretokens")
+    written = materialize(docs.select(id_text(), "text").mapInPandas(split, row), "pretokens")
     words = written.where("shard is not null").select("shard", "block", "words", "places")
-    answers = words.groupBy("shard").applyInPandas(answer, "block long, n long, places binary, pieces binary")
-    frequencies = written.where("shard is null").select("block", "doc_id", "n_bytes", "n_special", "places", "counts", "n_distinct")
-    return frequencies.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total_up, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    # each exchange has as many partitions as it has shards or blocks, whatever the session's number is
+    answers = words.repartition(shards, "shard").groupBy("shard").applyInPandas(answer, "block long, n long, places binary, pieces binary").repartition(blocks, "block")
+    frequencies = written.where("shard is null").select("block", "doc_id", "n_bytes", "n_special", "places", "counts", "n_distinct").repartition(blocks, "block")
+    out = frequencies.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total_up, "doc_id string, n_bytes long, n_tokens long, over_limit boolean")
+    return id_again(out, kind)
