@@ -26,16 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return root.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="parlance-")
+
+
 class Scratch:
     """Tables written to the shared folder inside a ``with`` go at its end, but for those kept.
 

@@ -41,24 +41,33 @@ def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return materialize(sure.union(exact), "boilerplate")
 
 
-def without_spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """``docs`` with ``text`` free of boilerplate lines, and n_lines, n_removed."""
-    spread = spread_lines(docs, sites)
-    place = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("_place"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)))).alias("line"))
+def stripped(rows: DataFrame, sites: int) -> DataFrame:
+    """``rows`` (struct ``row`` of a document) with ``text`` free of boilerplate lines, n_lines and n_removed.
+
+    Whole rows travel inside the struct, so no column of theirs clashes with one made here.
+    """
+    rows = rows.withColumn("place", F.xxhash64("row.doc_id", "row.text"))
+    spread = spread_lines(rows.select("row.text", "row.source"), sites)
+    held = rows.select("place", F.explode(F.array_distinct(F.transform(F.split("row.text", "\n"), lambda x: F.xxhash64(x)))).alias("line"))
     # only documents that hold boilerplate, with its hashes; distinct per document, so bounded by it
-    hit = place.join(spread, "line").groupBy("_place").agg(F.collect_set("line").alias("_gone"))
-    joined = docs.withColumn("_place", F.xxhash64("doc_id", "text")).join(hit, "_place", "left").drop("_place")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("_gone", F.xxhash64(x))))
-    out = joined.withColumn("_kept", kept)
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size(parts) - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n"))).drop("_gone", "_kept")
+    hit = held.join(spread, "line").groupBy("place").agg(F.collect_set("line").alias("gone"))
+    text = F.col("row.text")
+    parts = F.split(text, "\n")
+    kept = F.when(F.col("gone").isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains("gone", F.xxhash64(x))))
+    out = rows.join(hit, "place", "left").withColumn("kept", kept)
+    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size(parts) - F.size("kept"), F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col("n_removed") == 0, text).otherwise(F.array_join("kept", "\n"))).select("row", "text", "n_lines", "n_removed")
+
+
+def without_spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """doc_id, source, ``text`` free of boilerplate lines, n_lines, n_removed of each document."""
+    return stripped(docs.select(F.struct("doc_id", "source", "text").alias("row")), sites).select("row.doc_id", "row.source", "text", "n_lines", "n_removed")
 
 
 def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """``docs`` without boilerplate lines, with their own columns; n_chars, if there, follows the text."""
-    columns = docs.columns
-    out = without_spread_lines(docs, sites)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    out = stripped(docs.select(F.struct("*").alias("row")), sites)
+    value = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(value["n_chars"])
+    return out.select(*(v.alias(c) for c, v in value.items()))

@@ -7,11 +7,14 @@ It is trained on the driver, once a process, from ``TRAINING`` labelled windows
 generated text with labelled spans in the written forms of each kind, and look-alikes that are no
 personal data); its weights, some 40 KB, go to the workers with the task.
 
-Windows are decoded one by one and reconciled over the whole document: base spans stand; of the
-model's spans that touch none of them, those whose posterior is at least ``CERTAIN`` and that are
-possible values of their kind compete, and the set of disjoint spans with the greatest total
-posterior wins (weighted interval scheduling), whichever windows they came from.  Every possible
-value holds an ``@`` or a digit, so windows without either cannot give a span and are not decoded.
+Windows are decoded one by one and reconciled over the whole document: pieces of one kind that
+windows cut at their edges are joined across them, so a value may be of any length, and a span is
+widened to the run of its kind's characters that it stands in.  Base spans stand; of the model's spans that
+touch none of them, those whose posterior is at least ``CERTAIN`` and that are possible values of
+their kind compete, and the set of disjoint spans with the greatest total posterior wins (weighted
+interval scheduling), whichever windows they came from.  Every possible value holds an ``@`` or a
+digit; decoding starts at the windows that hold either and goes on to the next window wherever a
+piece reaches an edge, so the windows left out cannot give a span.
 
 Nulls: a null text is empty and has no spans.  Offsets are code points, ends exclusive.
 """
@@ -20,13 +23,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parlance.llm.common import id_again, id_text
+
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CERTAIN = 80, 0.9
 TRAINING, EPOCHS, BATCH, HIDDEN, EMBEDDED, SEED = 1600, 6, 32, 24, 12, 7
@@ -356,8 +363,8 @@ def best_disjoint(spans: list[tuple[float, str, int, int]]) -> list[tuple[str, i
     spans = sorted(set(spans), key=lambda x: (x[3], x[2], x[1]))
     ends = [s[3] for s in spans]
     total, take = [0.0], []
-    for weight, _, start, _ in spans:
-        before = int(np.searchsorted(ends[: len(take)], start, "right"))
+    for k, (weight, _, start, _) in enumerate(spans):
+        before = bisect_right(ends, start, 0, k)
         take.append(before if total[before] + weight > total[-1] else -1)
         total.append(max(total[-1], total[before] + weight))
     out, i = [], len(spans)
@@ -370,33 +377,92 @@ def best_disjoint(spans: list[tuple[float, str, int, int]]) -> list[tuple[str, i
     return [(k, s, e) for k, s, e in out[::-1]]
 
 
+def apart_from(base: list[tuple[str, int, int]], rivals: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+    """The rivals that touch no base span."""
+    ordered = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in ordered], []
+    for _, e in ordered:
+        reach.append(max(e, reach[-1]) if reach else e)
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k == 0 or reach[k - 1] <= start
+
+    return [r for r in rivals if free(r[2], r[3])]
+
+
+def widened(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
+    """A value does not begin or end inside a run of its kind's own characters."""
+    if kind == "email":
+        before, after = LOCAL_CHARS.__contains__, lambda c: c.isalnum() or c == "-"
+    else:
+        before = after = lambda c: "0" <= c <= "9"
+    while start and before(text[start - 1]) and (kind == "email" or before(text[start])):
+        start -= 1
+    while end < len(text) and after(text[end]) and after(text[end - 1]):
+        end += 1
+    return start, end
+
+
+def whole_spans(pieces: list[tuple[int, str, int, int, float, bool, bool]]) -> Iterator[tuple[str, int, int, float]]:
+    """Spans of the pieces of a document: (window, kind, start, end, posterior, cut before, cut after).
+
+    Pieces that no edge cuts are spans; those that one does are joined with the pieces of their kind
+    that overlap or touch them in the windows that follow.
+    """
+    for kind in KINDS:
+        mine = sorted(p for p in pieces if p[1] == kind)
+        chain: tuple[int, int, float, int] | None = None  # start, end, posterior times characters, characters
+        cut_after = False
+        for _, _, start, end, sure, before, after in mine:
+            if not before and not after:
+                yield kind, start, end, sure
+            if chain is not None and start <= chain[1] and (before or cut_after):
+                chain = chain[0], max(chain[1], end), chain[2] + sure * (end - start), chain[3] + end - start
+            else:
+                if chain is not None:
+                    yield kind, chain[0], chain[1], chain[2] / chain[3]
+                chain = start, end, sure * (end - start), end - start
+            cut_after = after
+        if chain is not None:
+            yield kind, chain[0], chain[1], chain[2] / chain[3]
+
+
 def model_spans(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """What the model adds to each text's base spans."""
+    half = WINDOW // 2
     todo = [(i, s) for i, text in enumerate(texts) for s in windows_of(text)]
-    rivals: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
-    for k in range(0, len(todo), batch):
-        part = todo[k : k + batch]
+    seen = set(todo)
+    pieces: list[list[tuple[int, str, int, int, float, bool, bool]]] = [[] for _ in texts]
+    while todo:
+        part, todo = todo[:batch], todo[batch:]
         ids = np.full((WINDOW, len(part)), PAD, np.int64)
         for j, (i, s) in enumerate(part):
             ids[: len(c), j] = (c := codes(texts[i][s : s + WINDOW]))
         tag, sure = tagger.decode(ids)
         for j in np.flatnonzero(tag.any(axis=0)).tolist():
             i, s = part[j]
-            for kind, lo, hi, weight in spans_of(tag[:, j], sure[:, j]):
-                value = texts[i][s + lo : s + hi]
-                cut = (lo == 0 and s > 0) or (hi == WINDOW and s + hi < len(texts[i]))  # seen whole by the next window
-                if not cut and weight >= CERTAIN and possible(kind, value):
-                    rivals[i].append((weight, kind, s + lo, s + hi))
+            for kind, lo, hi, weight in spans_of(tag[: len(texts[i]) - s, j], sure[:, j]):
+                before, after = lo == 0 and s > 0, hi == WINDOW and s + hi < len(texts[i])
+                pieces[i].append((s, kind, s + lo, s + hi, weight, before, after))
+                for more in [s - half] * before + [s + half] * after:
+                    if (i, more) not in seen:
+                        seen.add((i, more))
+                        todo.append((i, more))
     out = []
-    for mine, found in zip(base, rivals, strict=True):
-        free = [r for r in found if all(r[3] <= s or r[2] >= e for _, s, e in mine)] if found else []
-        out.append(best_disjoint(free))
+    for text, mine, found in zip(texts, base, pieces, strict=True):
+        rivals = []
+        for kind, start, end, weight in whole_spans(found):
+            start, end = widened(kind, text, start, end)
+            if weight >= CERTAIN and possible(kind, text[start:end]):
+                rivals.append((weight, kind, start, end))
+        out.append(best_disjoint(apart_from(mine, rivals)))
     return out
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, base counts by kind, base_sha256, spans (base and added), n_added."""
-    kind, tagger = dict(docs.dtypes)["doc_id"], trained()
+    tagger = trained()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -412,25 +478,32 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out)
 
     columns = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {columns}, base_sha256 string, spans string, n_added long")
+    out = docs.select(id_text(), "text").mapInPandas(run, f"doc_id string, {columns}, base_sha256 string, spans string, n_added long")
+    return id_again(out, dict(docs.dtypes)["doc_id"])
+
+
+def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each span replaced by its kind in angle brackets; of overlapping ones the first."""
+    parts, at = [], 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            parts += [text[at:s], f"<{kind}>"]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in angle brackets."""
+    """``docs`` with each span of ``text`` masked; all other columns pass as they are, a null text stays null."""
     tagger = trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            originals = batch.column(at).to_pylist()
+            texts = [t or "" for t in originals]
             base = [base_spans(t) for t in texts]
-            out = []
-            for original, text, spans in zip(pdf["text"], texts, map(list.__add__, base, model_spans(texts, base, tagger)), strict=True):
-                parts, at = [], 0
-                for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
-                    if s >= at:
-                        parts += [text[at:s], f"<{kind}>"]
-                    at = max(at, e)
-                out.append(original if original is None else "".join([*parts, text[at:]]))
-            yield pdf.assign(text=out)
-
-    return docs.mapInPandas(run, docs.schema)
+            added = model_spans(texts, base, tagger)
+            out = [None if o is None else mask(o, [*b, *a]) for o, b, a in zip(originals, base, added, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,10 @@ segment number; numbers must run from one without a gap and lengths must add up
 total.  Then the chunked framing is undone and the payload's digest verified.  Whole records skip
 the shuffle.
 
+Records carry the page's id in the field ``WARC-Page-ID`` and revisits the response's in
+``WARC-Refers-To-Page``, beside the standard ``WARC-Refers-To`` with the response's record id.  A record
+whose first segment is missing gives a row without a page that names the record.
+
 Nulls: a null html is an empty payload, a null url an empty target; a null page_id is written as an
 empty id, comes back as null, and never refers nor is referred to.  Repeated ids: each row gives a
 record of its own.
@@ -31,14 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import shared_path
+from parlance.llm.common import id_again, id_text, shared_path
 
 LEAST_REVISIT = 100
 SEGMENT = 32_768
 CHUNK = 8_192
 FILE_RECORDS = 2_000
 CRLF = b"\r\n"
-RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, n_segments int, problem string"
+RESULT = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, n_segments int, problem string"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -66,16 +70,20 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8") + CRLF + block + CRLF  # the sink adds the last line break
 
 
+def record_id(page: str, digest: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}:{copy}')}>"
+
+
 def records(row, segment: int) -> Iterator[bytes]:
     """The records of one page."""
-    page = "" if pd.isna(row.page_id) else str(int(row.page_id))
+    page = row.page_id or ""
     url = (row.url or "").replace("\r", "%0D").replace("\n", "%0A")
-    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{row.copy}')}>"
+    own = record_id(page, row.digest, row.copy)
     common = [("WARC-Record-ID", own), ("WARC-Target-URI", url), ("WARC-Page-ID", page), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{row.digest}")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if not pd.isna(row.refers_to):
+    if row.refers_to is not None:
         block = head + b"X-Payload-Length: %d\r\n\r\n" % row.n_bytes
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", str(int(row.refers_to))), ("Content-Type", "application/http;msgtype=response")], block)
+        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *[("WARC-Refers-To", record_id(row.refers_to, row.digest, 0))] * bool(row.refers_known), ("WARC-Refers-To-Page", row.refers_to), ("Content-Type", "application/http;msgtype=response")], block)
         return
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked((row.html or "").encode("utf-8"))
     pieces = [block[k : k + segment] for k in range(0, len(block), segment)]
@@ -93,19 +101,26 @@ def records(row, segment: int) -> Iterator[bytes]:
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, n_bytes, digest, refers_to, copy``."""
+    """``page_id, url, html, n_bytes, digest, copy, refers_to`` (ids as text), ``refers_known``.
+
+    Ids and digests alone are grouped; the texts join by both, so a frequent payload is spread over
+    its pages.  Rows that repeat an id and payload are told apart by ``copy``; a revisit of such a page
+    names it, but none of its equal records.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.when(payload != "", payload).alias("html"), F.octet_length(payload).cast("long").alias("n_bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    first = sized.where(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = sized.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
-    # rows that repeat an id are told apart by their place in the partition that writes them
-    return joined.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).withColumn("copy", F.monotonically_increasing_id()).drop("first")
+    per = sized.groupBy("digest", "page_id").agg(F.count("*").alias("c"), F.max("n_bytes").alias("n_bytes"))
+    firsts = per.where((F.col("n_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "c")).alias("f"), F.sum("c").alias("n")).where("n > 1")
+    notes = per.join(firsts, "digest", "left").where("c > 1 or f is not null").select(F.col("digest").alias("of"), F.col("page_id").alias("id"), "c", F.col("f.page_id").alias("first"), (F.col("f.c") == 1).alias("refers_known"))
+    joined = sized.join(notes, (F.col("digest") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("id")), "left").drop("of", "id")
+    out = joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    out = out.withColumn("copy", F.when(F.col("c") > 1, F.monotonically_increasing_id() + 1).otherwise(0)).drop("first", "c")
+    return out.withColumn("page_id", id_text("page_id")).withColumn("refers_to", id_text("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
             out, size = [], 0
             for row in pdf.itertuples(index=False):
                 for data in records(row, segment):
@@ -154,12 +169,12 @@ def resolved(fields: dict[str, str], block: bytes, n_segments: int, problem: str
                 digest = found
         except ValueError as error:
             problem = str(error)
-    return (page and int(page), n_bytes, digest, kind, refers and int(refers), fields.get("warc-target-uri"), n_segments, problem)
+    return (page, n_bytes, digest, kind, refers, fields.get("warc-target-uri"), n_segments, problem)
 
 
 def framed(rows: list[tuple], more: str = "") -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in (RESULT + more).split(", ")])
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "n_segments": "Int32"})
+    return out.astype({"payload_bytes": "Int64", "n_segments": "Int32"})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +200,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         pdf = pdf.sort_values("number")
         head = json.loads(pdf["head"].iloc[0])
         if head.get("warc-type") == "continuation":
-            return framed([])  # its first segment is missing: no page to report on
+            return framed([(None, None, None, "continuation", None, None, len(pdf), f"first segment missing: {pdf['origin'].iloc[0]}")])
         block, total = b"".join(pdf["block"]), pdf["total"].dropna()
         problem = None
         if pdf["number"].tolist() != list(range(1, len(pdf) + 1)):
@@ -197,7 +212,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     names = [c.split()[0] for c in RESULT.split(", ")]
     read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RESULT + segment)
     parts = read.where("origin is not null").select("origin", "number", "total", "head", "block")
-    return read.where("origin is null").select(*names).unionByName(parts.groupBy("origin").applyInPandas(reassembled, RESULT))
+    out = read.where("origin is null").select(*names).unionByName(parts.groupBy("origin").applyInPandas(reassembled, RESULT))
+    return id_again(id_again(out, "long", "page_id"), "long", "refers_to")
 
 
 def archive_and_read(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
