@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions import rewriting as Q
 from parlance.functions import text as T
 from parlance.operators import evaluate as E
 from parlance.operators import intervals as I
@@ -89,12 +90,23 @@ def with_probabilities(spark, d):
     return seg.withColumn("speech_overlap_ratio", F.col("ratio")).withColumn("speech_overlap_s", F.round(F.col("ratio") * (F.col("end_ms") - F.col("start_ms")) / 1000, 3))
 
 
-@query()
+REPEATED = """, q AS (SELECT s.*, avg_logprob, no_speech_prob, ratio, (end_ms - start_ms) / CAST(1000 AS DOUBLE) AS dur, round(ratio * (end_ms - start_ms) / 1000, 3) AS over, trim(text) AS tx,
+  list_filter(string_split(regexp_replace(trim(text), '[，,。！？!?、；;：:\\s]+', ' ', 'g'), ' '), lambda x: true) AS tk, regexp_replace(trim(text), '[，,。！？!?、；;：:\\s]+', '', 'g') AS c FROM segments s JOIN probs p ON p.file_id = s.file_id AND p.seg_idx = s.seg_idx),
+w AS (SELECT *, len(list_filter(range(1, len(tk)), lambda i: tk[i] = tk[i + 1] AND regexp_full_match(tk[i], '[一-鿿A-Za-z0-9]{2,6}') AND NOT list_contains(['对', '嗯', '啊', '好', '是', '对对', '嗯嗯', '哈哈'], tk[i]))) > 0
+  OR len(list_filter([2, 3, 4, 5, 6], lambda n: len(list_filter(range(1, length(c) - 2 * n + 2), lambda i: substring(c, i, n) = substring(c, i + n, n) AND NOT list_contains(['对', '嗯', '啊', '好', '是', '对对', '嗯嗯', '哈哈'], substring(c, i, n)))) > 0)) > 0 AS rep FROM q),
+f AS (SELECT *, avg_logprob <= -0.65 AS la, ratio < 0.22 AND dur >= 4 AS lo, dur >= 4 AND over < least(1.2, 0.2 * dur) AS ls FROM w),
+g AS (SELECT *, no_speech_prob >= 0.65 AND (la OR lo OR ls OR rep) AS ns, length(tx) / nullif(dur, 0) > 12 AND no_speech_prob >= 0.5 AND (lo OR ls OR rep) AS de FROM f),
+m AS (SELECT file_id, seg_idx, list_filter([CASE WHEN la THEN 'low avg_logprob=' || format('{:.2f}', avg_logprob) END, CASE WHEN lo THEN 'low speech overlap=' || CAST(round_even(ratio * 100, 0) AS INT) || '%' END,
+  CASE WHEN ls THEN 'short speech support=' || format('{:.1f}', round(over, 1)) || 's/' || format('{:.1f}', round(dur, 1)) || 's' END, CASE WHEN rep THEN 'suspicious repeated phrase' END,
+  CASE WHEN ns THEN 'high no_speech_prob=' || format('{:.2f}', no_speech_prob) END, CASE WHEN de THEN 'dense text with high no_speech_prob' END], lambda x: x IS NOT NULL) AS r FROM g)"""
+
+
+@query(REPEATED + " SELECT file_id, seg_idx, CASE WHEN len(r) > 0 THEN true END AS low_confidence, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') END AS reasons FROM m", "probs")
 def low_confidence(spark, d):
     return P.low_confidence(with_probabilities(spark, d)).select("file_id", "seg_idx", "low_confidence", F.array_join("low_confidence_reasons", "; ").alias("reasons"))
 
 
-@query()
+@query(REPEATED + " SELECT file_id, count(*) AS n, count(*) FILTER (len(r) > 0) AS n_low, round(count(*) FILTER (len(r) > 0) / count(*), 4) AS low_rate FROM m GROUP BY file_id", "probs")
 def confidence_report(spark, d):
     return E.confidence_report(P.low_confidence(with_probabilities(spark, d)))
 
@@ -104,7 +116,12 @@ def logprob_report(spark, d):
     return E.confidence_report(view(spark, d, "probs").withColumn("low_confidence", F.col("avg_logprob") <= -0.65))
 
 
-@query()
+@query(r""", u AS (SELECT file_id, seg_idx, CASE WHEN seg_idx % 3 = 0 THEN 'SPEAKER_UNKNOWN' ELSE speaker END AS speaker, trim(text) AS t, length(trim(text)) AS n, greatest(end_ms - start_ms, 0) / CAST(1000 AS DOUBLE) AS d FROM segments),
+x AS (SELECT *, t = '' OR (d > 8 AND n <= 4) OR (d > 4 AND n <= 8 AND regexp_matches(t, '[^\s\p{L}\p{N}]')) AS noise,
+  n <= 2 OR (d < 1 AND n <= 8) OR (d < 2 AND n <= 14) OR (n < 6 AND d > 2) OR d < 0.5 OR n / nullif(d, 0) > 18 OR (d > 4 AND n <= 8)
+  OR len(list_filter(range(1, n), lambda i: substring(t, i, 1) = substring(t, i + 1, 1) AND NOT regexp_matches(substring(t, i, 1), '[对嗯啊哈\s]'))) > 0
+  OR len(list_filter([4, 5, 6, 7, 8], lambda k: len(list_filter(range(1, n - 2 * k + 2), lambda i: length(trim(substring(t, i, k))) >= 4 AND contains(substring(t, i + k, n), substring(t, i, k)))) > 0)) > 0 AS bad FROM u)
+SELECT file_id, seg_idx, speaker FROM x WHERE NOT (noise OR (contains(upper(speaker), 'UNKNOWN') AND coalesce(bad, true)))""", "segments")
 def unreliable_turns(spark, d):
     seg = segments(spark, d).withColumn("speaker", F.when(F.col("seg_idx") % 3 == 0, I.UNKNOWN).otherwise(F.col("speaker")))
     return P.filter_unreliable(seg).select("file_id", "seg_idx", "speaker")
@@ -112,8 +129,8 @@ def unreliable_turns(spark, d):
 
 PRESPLIT = """, n AS (SELECT *, greatest(ceil(length(text) / 80.0), ceil((end_ms - start_ms) / 15000.0), 1) AS n FROM segments),
 c AS (SELECT *, CAST(ceil(length(text) / n) AS BIGINT) AS size, unnest(range(CAST(n AS BIGINT))) AS k FROM n),
-p AS (SELECT *, regexp_replace(substring(text, CAST(k * size + 1 AS BIGINT), size), '^[\\s]+|[\\s]+$', '', 'g') AS part FROM c),
-j AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY k) - 1 AS j FROM p WHERE part <> '')
+p AS (SELECT *, CASE WHEN n = 1 THEN text ELSE regexp_replace(substring(text, CAST(k * size + 1 AS BIGINT), size), '^[\\s]+|[\\s]+$', '', 'g') END AS part FROM c),
+j AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY k) - 1 AS j FROM p WHERE part <> '' OR n = 1)
 SELECT file_id, seg_idx, CAST(j AS INT) AS part_idx, speaker, part AS text, round(start_ms + j * ((end_ms - start_ms) / n), 3) AS start_ms, round(start_ms + (j + 1) * ((end_ms - start_ms) / n), 3) AS end_ms FROM j"""
 
 
@@ -122,11 +139,17 @@ def presplit_chunks(spark, d):
     return S.presplit(segments(spark, d))
 
 
-@query(""", o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) AS i FROM segments),
+#: two texts as one turn, in SQL: a space only where words would fuse
+JOINED = """CASE WHEN {a} = '' THEN {b} WHEN {b} = '' THEN {a} WHEN regexp_matches(right({a}, 1), '[\\s]') OR regexp_matches(left({b}, 1), '[\\s]') THEN {a} || {b}
+    WHEN regexp_matches(right({a}, 1), '[.?!,;:A-Za-z0-9]') AND regexp_matches(left({b}, 1), '[A-Za-z0-9]') THEN {a} || ' ' || {b} ELSE {a} || {b} END"""
+
+
+@query(f""", o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) AS i FROM segments),
 r AS (SELECT file_id, i, start_ms AS s, end_ms AS e, speaker AS sp, text AS t, i AS head FROM o WHERE i = 1
-  UNION ALL SELECT o.file_id, o.i, CASE WHEN x.fits THEN CASE WHEN length(r.t) <= 1 AND r.e - r.s > 1000 AND o.start_ms - r.e > 500 THEN greatest(r.s, o.start_ms - 350) ELSE r.s END ELSE o.start_ms END,
-    CASE WHEN x.fits THEN greatest(r.e, o.end_ms) ELSE o.end_ms END, o.speaker, CASE WHEN x.fits THEN CASE WHEN r.t = '' THEN o.text WHEN o.text = '' THEN r.t ELSE r.t || ' ' || o.text END ELSE o.text END, CASE WHEN x.fits THEN r.head ELSE o.i END
-  FROM r JOIN o ON o.file_id = r.file_id AND o.i = r.i + 1, LATERAL (SELECT r.sp = o.speaker AND o.start_ms - r.e <= 3000 AND o.end_ms - r.s <= 60000 AND length(r.t) + length(o.text) <= 600 AS fits) x)
+  UNION ALL SELECT o.file_id, o.i, CASE WHEN x.fits THEN CASE WHEN length(trim(r.t)) <= 1 AND r.e - r.s > 1000 AND o.start_ms - r.e > 500 THEN greatest(r.s, o.start_ms - 350) ELSE r.s END ELSE o.start_ms END,
+    o.end_ms, o.speaker, CASE WHEN x.fits THEN x.t ELSE o.text END, CASE WHEN x.fits THEN r.head ELSE o.i END
+  FROM r JOIN o ON o.file_id = r.file_id AND o.i = r.i + 1, LATERAL (SELECT {JOINED.format(a='r.t', b='o.text')} AS t) j,
+    LATERAL (SELECT j.t AS t, r.sp = o.speaker AND o.start_ms - r.e <= 3000 AND o.end_ms - r.s <= 60000 AND length(j.t) <= 600 AS fits) x)
 SELECT file_id, arg_max(s, i) AS start_ms, arg_max(e, i) AS end_ms, arg_max(sp, i) AS speaker, arg_max(t, i) AS text FROM r GROUP BY file_id, head""", "segments")
 def merge_turns(spark, d):
     return S.merge_turns(segments(spark, d), 3_000, 60_000, 600).select("file_id", "start_ms", "end_ms", "speaker", "text")
@@ -148,8 +171,9 @@ def dedupe_boundaries(spark, d):
 
 
 @query(SHIFTED + """, a AS (SELECT *, coalesce(start_ms - lag(end_ms) OVER w <= 300, false) AS before, coalesce(lead(start_ms) OVER w - end_ms <= 300, false) AS after FROM t WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx)),
-b AS (SELECT *, CASE WHEN before THEN start_ms - 60 ELSE start_ms END AS ps, end_ms AS pe FROM a), c AS (SELECT *, lead(ps) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) - 20 AS cap FROM b)
-SELECT file_id, seg_idx, ps AS playback_start_ms, CASE WHEN cap < pe AND cap > ps THEN cap ELSE pe END AS playback_end_ms FROM c""", "segments")
+b AS (SELECT *, CASE WHEN before THEN least(greatest(0, start_ms - 50), greatest(0, start_ms - 60)) ELSE greatest(0, start_ms - 50) END AS ps, end_ms AS pe FROM a),
+c AS (SELECT *, lead(ps) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx) - 20 AS cap FROM b)
+SELECT file_id, seg_idx, ps AS playback_start_ms, CASE WHEN after AND cap > ps THEN least(pe, cap) ELSE pe END AS playback_end_ms FROM c""", "segments")
 def neighbor_playback(spark, d):
     seg = shifted(spark, d).withColumn("playback_start_ms", F.lit(None).cast("long")).withColumn("playback_end_ms", F.lit(None).cast("long"))
     return S.neighbor_playback(seg).select("file_id", "seg_idx", "playback_start_ms", "playback_end_ms")
@@ -185,17 +209,19 @@ def match_by_overlap(spark, d):
     return I.match_by_overlap(segments(spark, d), hypothesis(spark, d)).select("file_id", "seg_idx", "hyp_idx", "overlap_ms")
 
 
-@query(MATCH + """ SELECT file_id, count(*) AS n_ref, count(hyp_idx) AS n_matched, round(count(hyp_idx) / count(*), 4) AS match_rate, round(avg(abs(hs - start_ms)), 4) AS start_mae_ms, round(avg(abs(he - end_ms)), 4) AS end_mae_ms,
-  round(count(*) FILTER (abs(hs - start_ms) <= 500 AND abs(he - end_ms) <= 500) / count(*), 4) AS hit_half, round(count(*) FILTER (abs(hs - start_ms) <= 1000 AND abs(he - end_ms) <= 1000) / count(*), 4) AS hit_one,
-  round(count(*) FILTER (hs <= start_ms + 200 AND he >= end_ms - 200) / count(*), 4) AS coverage, round(avg(CASE WHEN hs IS NULL THEN 0 ELSE greatest(0, start_ms - hs) END), 4) AS prefix_excess_ms, round(avg(CASE WHEN he IS NULL THEN 0 ELSE greatest(0, he - end_ms) END), 4) AS suffix_excess_ms FROM x GROUP BY file_id""", "diar")
+@query(MATCH + """, y AS (SELECT *, greatest(0, start_ms - hs) AS pre, greatest(0, he - end_ms) AS post FROM x)
+SELECT file_id, count(*) AS n_ref, count(hs) AS n_matched, round(count(hs) / count(*), 4) AS match_rate, round(avg(abs(hs - start_ms)), 4) AS start_mae_ms, round(avg(abs(he - end_ms)), 4) AS end_mae_ms,
+  coalesce(round(count(*) FILTER (abs(hs - start_ms) <= 500 AND abs(he - end_ms) <= 500) / nullif(count(hs), 0), 4), 0) AS hit_half,
+  coalesce(round(count(*) FILTER (abs(hs - start_ms) <= 1000 AND abs(he - end_ms) <= 1000) / nullif(count(hs), 0), 4), 0) AS hit_one,
+  coalesce(round(count(*) FILTER (hs <= start_ms + 200 AND he >= end_ms - 200) / nullif(count(hs), 0), 4), 0) AS coverage,
+  round(avg(CASE WHEN hs IS NOT NULL THEN pre END), 4) AS prefix_excess_ms, round(avg(CASE WHEN hs IS NOT NULL THEN post END), 4) AS suffix_excess_ms FROM y GROUP BY file_id""", "diar")
 def time_metrics(spark, d):
     return I.time_metrics(segments(spark, d), hypothesis(spark, d))
 
 
-@query(""" SELECT file_id, seg_idx, CAST(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) AS BIGINT) AS distance, round(levenshtein(substring(text, 1, 200), replace(substring(text, 1, 200), 'e', 'ae')) / greatest(length(substring(text, 1, 200)), 1), 6) AS rate
-  FROM segments WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""", "segments")
+@query()
 def cer_distance(spark, d):
-    # whole texts of all segments; the SQL has the first 200 characters of texts in ASCII
+    # no SQL: DuckDB's levenshtein counts bytes; a brute-force test holds it
     pairs = segments(spark, d).select("file_id", "seg_idx", F.col("text").alias("ref"))
     return E.character_distance(pairs.withColumn("hyp", F.replace("ref", F.lit("e"), F.lit("ae")))).select("file_id", "seg_idx", "distance", "rate")
 
@@ -216,15 +242,46 @@ def speaker_mapping(spark, d):
     return I.speaker_mapping(segments(spark, d), view(spark, d, "diar")).select("file_id", "hyp_speaker", "mapped")
 
 
-@query()
+MARKS = """, p AS (SELECT s.file_id, d.speaker AS h, s.speaker AS r, sum(least(s.end_ms, d.end_ms) - greatest(s.start_ms, d.start_ms)) AS o FROM segments s JOIN diar d ON d.file_id = s.file_id AND least(s.end_ms, d.end_ms) > greatest(s.start_ms, d.start_ms) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o DESC, h, r) AS i FROM p),
+g AS (SELECT file_id, i, [h] AS hs, [r] AS rs, o AS good FROM q WHERE i = 1 UNION ALL SELECT q.file_id, q.i, CASE WHEN x.ok THEN list_append(g.hs, q.h) ELSE g.hs END, CASE WHEN x.ok THEN list_append(g.rs, q.r) ELSE g.rs END, g.good + CASE WHEN x.ok THEN q.o ELSE 0 END
+  FROM g JOIN q ON q.file_id = g.file_id AND q.i = g.i + 1, LATERAL (SELECT NOT list_contains(g.hs, q.h) AND NOT list_contains(g.rs, q.r) AS ok) x),
+z AS (SELECT file_id, arg_max(good, i) AS good FROM g GROUP BY file_id),
+e AS (SELECT file_id, start_ms AS t0, 1 AS r, 0 AS h FROM segments UNION ALL SELECT file_id, end_ms, -1, 0 FROM segments UNION ALL SELECT file_id, start_ms, 0, 1 FROM diar UNION ALL SELECT file_id, end_ms, 0, -1 FROM diar),
+c AS (SELECT file_id, t0, sum(r) AS r, sum(h) AS h FROM e GROUP BY ALL),
+v AS (SELECT file_id, sum(r) OVER w AS r, sum(h) OVER w AS h, lead(t0) OVER w - t0 AS d FROM c WINDOW w AS (PARTITION BY file_id ORDER BY t0)),
+t AS (SELECT file_id, sum(r * d) AS total, sum(greatest(r - h, 0) * d) AS missed, sum(greatest(h - r, 0) * d) AS extra, sum(least(r, h) * d) AS both_ms FROM v WHERE d IS NOT NULL GROUP BY ALL)
+SELECT t.file_id, CAST(total AS BIGINT) AS total_ms, CAST(missed AS BIGINT) AS missed_ms, CAST(extra AS BIGINT) AS false_ms, CAST(greatest(0, both_ms - coalesce(good, 0)) AS BIGINT) AS confused_ms,
+  round((missed + extra + greatest(0, both_ms - coalesce(good, 0))) / greatest(total, 1), 4) AS error_rate FROM t LEFT JOIN z USING (file_id)"""
+
+
+@query(MARKS, "diar")
 def diarization_error(spark, d):
     return I.diarization_error(segments(spark, d), view(spark, d, "diar"))
 
 
-@query(""", t AS (SELECT *, (end_ms - start_ms) / CAST(1000 AS DOUBLE) AS dur, length(text) AS n FROM segments WHERE (file_id + seg_idx) % 3 > 0), b AS (SELECT file_id, sum(length(text)) AS src FROM segments GROUP BY ALL),
-a AS (SELECT file_id, count(*) AS checked, count(*) FILTER (dur <= 0 OR (n >= 12 AND n / dur > 18) OR (n <= 1 AND dur > 3) OR (n <= 2 AND dur > 4)) AS severe, sum(n) AS chars, sum(greatest(dur, 0)) AS dur FROM t GROUP BY ALL),
-r AS (SELECT b.file_id, coalesce(checked, 0) AS checked, CASE WHEN coalesce(checked, 0) = 0 THEN 'no turns' WHEN src >= 20 AND chars / src < 0.45 THEN 'low coverage' WHEN severe >= 5 AND severe / checked >= 0.3 THEN 'severe turns' WHEN chars >= 80 AND chars / dur > 22 THEN 'too dense' ELSE 'ok' END AS reason FROM b LEFT JOIN a USING (file_id))
-SELECT file_id, checked, reason <> 'ok' AS fallback, reason FROM r""", "segments")
+@query()
+def diarization_report(spark, d):
+    # no SQL: the optimal assignment of speakers is no relational operation; a brute-force test holds it
+    return I.diarization_report(segments(spark, d), view(spark, d, "diar"))
+
+
+@query(MATCH.replace("h AS (SELECT file_id, diar_idx AS seg_idx, start_ms, end_ms FROM diar)", "h AS (SELECT file_id, diar_idx AS seg_idx, start_ms, end_ms, speaker FROM diar)").replace("h.seg_idx AS hyp_idx,", "h.seg_idx AS hyp_idx, h.speaker AS hsp, r.speaker AS rsp,") + """, p AS (SELECT file_id, hsp AS h, rsp AS r, sum(ov) AS o FROM m WHERE k = 1 GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o DESC, h, r) AS i FROM p),
+g AS (SELECT file_id, i, [h] AS hs, [r] AS rs FROM q WHERE i = 1 UNION ALL SELECT q.file_id, q.i, CASE WHEN y.ok THEN list_append(g.hs, q.h) ELSE g.hs END, CASE WHEN y.ok THEN list_append(g.rs, q.r) ELSE g.rs END
+  FROM g JOIN q ON q.file_id = g.file_id AND q.i = g.i + 1, LATERAL (SELECT NOT list_contains(g.hs, q.h) AND NOT list_contains(g.rs, q.r) AS ok) y),
+z AS (SELECT file_id, arg_max(hs, i) AS hs, arg_max(rs, i) AS rs FROM g GROUP BY file_id),
+a AS (SELECT m.file_id, round(avg(CASE WHEN coalesce(z.rs[nullif(list_position(z.hs, hsp), 0)], hsp) = rsp THEN 1.0 ELSE 0.0 END), 6) AS acc FROM m LEFT JOIN z USING (file_id) WHERE k = 1 GROUP BY m.file_id)
+SELECT f.file_id, acc AS speaker_turn_accuracy, round(1 - acc, 6) AS speaker_confusion_rate FROM (SELECT DISTINCT file_id FROM segments) f LEFT JOIN a USING (file_id)""", "diar")
+def turn_accuracy(spark, d):
+    return I.turn_accuracy(segments(spark, d), hypothesis(spark, d))
+
+
+@query(""", t AS (SELECT *, greatest(end_ms - start_ms, 0) / CAST(1000 AS DOUBLE) AS d, length(trim(text)) AS n FROM segments WHERE (file_id + seg_idx) % 3 > 0 AND trim(text) <> ''), b AS (SELECT file_id, sum(length(trim(text))) AS src FROM segments GROUP BY ALL),
+a AS (SELECT file_id, count(*) FILTER (d > 0) AS checked, count(*) FILTER (d <= 0 OR (n >= 12 AND n / d > 18) OR (n <= 1 AND d > 3) OR (n <= 2 AND d > 4)) AS severe, sum(n) FILTER (d > 0) AS chars, sum(d) AS dur FROM t GROUP BY ALL),
+r AS (SELECT b.file_id, coalesce(checked, 0) AS checked, CASE WHEN coalesce(checked, 0) = 0 THEN 'no valid word-level turns' WHEN src >= 20 AND chars / src < 0.45 THEN 'low aligned text coverage ' || CAST(round_even(100 * chars / src, 0) AS INT) || '%'
+  WHEN severe >= 5 AND severe / checked >= 0.3 THEN 'many implausible word turns ' || severe || '/' || checked WHEN chars >= 80 AND chars / dur > 22 THEN 'global word timing is too compressed' ELSE 'word-level alignment accepted' END AS reason FROM b LEFT JOIN a USING (file_id))
+SELECT file_id, checked, reason <> 'word-level alignment accepted' AS fallback, reason FROM r""", "segments")
 def fallback_decision(spark, d):
     seg = segments(spark, d)
     return R.fallback_decision(seg.where((F.col("file_id") + F.col("seg_idx")) % 3 > 0), seg)
@@ -276,13 +333,13 @@ def rank_lists(spark, d, k=20):
     v = vectors(spark, d)
     dense = V.dense_topk(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), v, k)
     docs = table(spark, d, "documents")
-    # whole texts, with or without a dense list; FUSED has the first 60 characters of those with one
+    # whole texts, with or without a dense list
     q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return dense, V.whole_text_topk(q, docs, k)
 
 
 FUSED = f"""WITH dl AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) x WHERE rank <= 20),
-qq AS (SELECT doc_id AS query_id, token, count(*) AS q FROM (SELECT doc_id, unnest({TOKENS.format('substring(text, 1, 60)')}) AS token FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT query_id FROM dl)) GROUP BY ALL),
+qq AS (SELECT doc_id AS query_id, token, count(*) AS q FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL),
 pp AS (SELECT doc_id, token, count(*) AS weight FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL),
 sl AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(q * weight) DESC, doc_id) AS rank FROM qq JOIN pp USING (token) GROUP BY query_id, doc_id) x WHERE rank <= 20),
 u AS (SELECT coalesce(dl.query_id, sl.query_id) AS query_id, coalesce(dl.doc_id, sl.doc_id) AS doc_id, dl.rank AS a, sl.rank AS b FROM dl FULL JOIN sl ON dl.query_id = sl.query_id AND dl.doc_id = sl.doc_id),
@@ -437,17 +494,30 @@ def words_to_turns(spark, d):
     return S.words_to_turns(words(spark, d)).select("file_id", "start_ms", "end_ms", "speaker", "text")
 
 
-@query()
+WORDS = """, wl AS (SELECT file_id, seg_idx, speaker, start_ms AS s, end_ms AS e, list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '') AS w FROM segments),
+words AS (SELECT file_id, speaker, CAST(seg_idx AS BIGINT) * 100000 + i AS word_idx, w[i + 1] AS word, CAST(floor(s + i * ((e - s) / len(w))) AS BIGINT) AS start_ms, CAST(floor(s + (i + 1) * ((e - s) / len(w))) AS BIGINT) AS end_ms FROM (SELECT *, unnest(range(len(w))) AS i FROM wl))"""
+
+
+@query(WORDS + """, g AS (SELECT *, start_ms - lag(end_ms) OVER w AS gb, lead(start_ms) OVER w - end_ms AS ga FROM segments WHERE end_ms > start_ms WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx)),
+m AS (SELECT g.file_id, g.seg_idx, w.* EXCLUDE (file_id) FROM g JOIN words w ON w.file_id = g.file_id AND (w.start_ms + w.end_ms) / 2.0 BETWEEN g.start_ms - 300 AND g.end_ms + 300 AND least(w.end_ms, g.end_ms + 300) > greatest(w.start_ms, g.start_ms - 300)
+  WHERE NOT (w.end_ms <= g.start_ms + 50 AND coalesce(g.gb <= 500, false)) AND NOT (w.start_ms >= g.end_ms - 20 AND coalesce(g.ga <= 500, false))),
+t AS (SELECT file_id, seg_idx, arg_min(start_ms, word_idx) AS ws, arg_max(end_ms, word_idx) AS we, sum(length(word)) AS n FROM m GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY file_id, seg_idx ORDER BY d DESC, f) AS k FROM (SELECT file_id, seg_idx, speaker, sum(end_ms - start_ms) AS d, min(word_idx) AS f FROM m WHERE NOT coalesce(contains(upper(speaker), 'UNKNOWN'), true) GROUP BY ALL))
+SELECT s.file_id, s.seg_idx, ws AS start_ms, we AS end_ms, coalesce(v.speaker, 'UNKNOWN') AS speaker FROM segments s JOIN t USING (file_id, seg_idx) LEFT JOIN v ON v.file_id = s.file_id AND v.seg_idx = s.seg_idx AND v.k = 1 WHERE length(s.text) < 8 OR n / length(s.text) >= 0.35""", "segments")
 def aligned_words(spark, d):
     return I.align_words(segments(spark, d), words(spark, d), view(spark, d, "diar")).select("file_id", "seg_idx", "start_ms", "end_ms", "speaker")
 
 
-@query()
+@query(""", t AS (SELECT file_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 4 = 0 THEN 'ok' ELSE text END AS text FROM segments),
+c AS (SELECT *, coalesce(lead(start_ms) OVER w - end_ms BETWEEN 0 AND 8000 AND length(trim(text)) BETWEEN 1 AND 2 AND end_ms - start_ms > 800, false) AS may, row_number() OVER w AS i FROM t WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, end_ms, seg_idx)),
+r AS (SELECT file_id, i, may AS gives FROM c WHERE i = 1 UNION ALL SELECT c.file_id, c.i, c.may AND NOT r.gives FROM r JOIN c ON c.file_id = r.file_id AND c.i = r.i + 1),
+z AS (SELECT c.*, r.gives, coalesce(lag(r.gives) OVER w, false) AS takes, lag(trim(text)) OVER w AS head FROM c JOIN r ON r.file_id = c.file_id AND r.i = c.i WINDOW w AS (PARTITION BY c.file_id ORDER BY c.i))
+SELECT file_id, seg_idx, CASE WHEN takes THEN greatest(0, start_ms - 350) ELSE start_ms END AS start_ms, CASE WHEN takes THEN head || text ELSE text END AS text FROM z WHERE NOT gives""", "segments")
 def drifted_fragments(spark, d):
     return S.reattach_fragments(segments(spark, d).withColumn("text", F.when(F.col("seg_idx") % 4 == 0, "ok").otherwise(F.col("text"))).withColumn("speaker", F.lit("a"))).select("file_id", "seg_idx", "start_ms", "text")
 
 
-@query(r""" SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS cleaned FROM documents""")
+@query(r""" SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '<[^>]+>', '', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS cleaned FROM documents""")
 def eval_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.eval_clean_en(F.col("text")).alias("cleaned"))
 
@@ -482,3 +552,89 @@ def time_filter(spark, d):
 @query(""" SELECT file_id, string_agg(text, '' ORDER BY start_ms, end_ms, seg_idx) AS text FROM segments GROUP BY file_id""", "segments")
 def joined_text(spark, d):
     return E.joined_text(segments(spark, d))
+
+
+@query(""", p AS (SELECT file_id, seg_idx, '/Data//x/../Files/' || (CASE WHEN seg_idx % 2 = 0 THEN upper(speaker) ELSE speaker END) || '.WAV' AS file, text FROM segments)
+SELECT file_id, seg_idx, '/data/files/' || lower(speaker) || '.wav' AS path_key FROM segments""", "segments")
+def path_keys(spark, d):
+    path = F.concat(F.lit("/Data//x/../Files/"), F.when(F.col("seg_idx") % 2 == 0, F.upper("speaker")).otherwise(F.col("speaker")), F.lit(".WAV"))
+    return segments(spark, d).select("file_id", "seg_idx", R.path_key(path).alias("path_key"))
+
+
+@query(""", a AS (SELECT DISTINCT file_id FROM segments) SELECT 'f' || file_id AS file, CASE WHEN file_id % 3 = 0 THEN 'first' WHEN file_id % 2 = 0 THEN 'second' ELSE 'third' END AS state FROM a""", "segments")
+def union_results(spark, d):
+    files = segments(spark, d).select("file_id").distinct().select("file_id", F.concat(F.lit("f"), "file_id").alias("file"))
+    part = lambda condition, name: files.where(condition).select("file", F.lit(name).alias("state"))
+    return R.union_results(part("file_id % 3 = 0", "first"), part("file_id % 2 = 0", "second"), part("true", "third"))
+
+
+@query(""", f AS (SELECT file_id, max(end_ms) AS total FROM segments GROUP BY ALL), i AS (SELECT v.file_id, total, greatest(0, start_ms) AS s, least(end_ms, total) AS e FROM vad v JOIN f USING (file_id)),
+m AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 1500 THEN 0 ELSE 1 END AS n FROM i WHERE e > s), r AS (SELECT *, sum(n) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+g AS (SELECT file_id, k, total, min(s) AS s, max(e) AS e FROM r GROUP BY ALL), w AS (SELECT *, greatest(0, s - 2000) AS lo, least(total, e + 2000) AS hi FROM g),
+c AS (SELECT *, unnest(range(CAST(ceil((hi - lo) / 20000.0) AS BIGINT))) AS c FROM w WHERE hi - lo >= 250)
+SELECT file_id, CAST(k AS BIGINT) AS region_idx, CAST(c AS INT) AS chunk_idx, lo + c * 20000 AS chunk_start_ms, least(hi, lo + (c + 1) * 20000) AS chunk_end_ms, s AS valid_start_ms, e AS valid_end_ms FROM c WHERE least(hi, lo + (c + 1) * 20000) - (lo + c * 20000) >= 250""", "vad")
+def speech_chunks(spark, d):
+    return S.speech_chunks(view(spark, d, "vad"), segments(spark, d).groupBy("file_id").agg(F.max("end_ms").alias("total_ms")))
+
+
+def in_list(table) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "[" + ", ".join(f"{{'k': {quoted(k)}, 'v': {quoted(v)}}}" for k, v in table) + "]"
+
+
+@query(rf""" , q AS (SELECT file_id, seg_idx, text || ' speaker ' || seg_idx AS t FROM segments),
+h AS (SELECT *, list_filter({in_list(Q.ZH_TO_EN)}, lambda e: contains(t, e.k)) AS z, list_filter({in_list(Q.EN_TO_ZH)}, lambda e: contains(lower(t), e.k)) AS n, list_filter({in_list(Q.INTENT_ALIASES)}, lambda e: contains(lower(t), e.k)) AS i FROM q),
+u AS (SELECT file_id, seg_idx, t, list_concat(list_transform(z, lambda e: e.k), list_transform(n, lambda e: e.v)) AS zh, list_concat(list_transform(z, lambda e: e.v), list_transform(n, lambda e: e.k)) AS en, list_transform(i, lambda e: e.v) AS it FROM h),
+o AS (SELECT file_id, seg_idx, list_filter(zh, lambda x, k: list_position(zh, x) = k) AS zh, list_filter(en, lambda x, k: list_position(en, x) = k) AS en, list_filter(it, lambda x, k: list_position(it, x) = k) AS it, 
+  regexp_extract(t, '(?i)speaker[_ ]?([A-Za-z]|[0-9]+)', 1) AS raw FROM u)
+SELECT file_id, seg_idx, array_to_string(zh, ' ') AS zh_terms, array_to_string(en, ' ') AS en_terms, array_to_string(it, ' ') AS intents, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN 'SPEAKER_' || lpad(raw, CAST(greatest(2, length(raw)) AS INT), '0') ELSE upper(raw) END AS speaker FROM o""", "segments")
+def query_rewrite(spark, d):
+    queries = segments(spark, d).select("file_id", "seg_idx", F.concat("text", F.lit(" speaker "), "seg_idx").alias("query"))
+    out = Q.rewrite_batch(queries)
+    words = lambda a, fa, b, fb: F.array_join(F.array_distinct(F.concat(F.transform(a, lambda e: e[fa]), F.transform(b, lambda e: e[fb]))), " ")
+    zh, en = Q.contained(Q.ZH_TO_EN, F.col("original")), Q.contained(Q.EN_TO_ZH, F.lower("original"))
+    return out.select("file_id", "seg_idx", words(zh, "word", en, "value").alias("zh_terms"), words(zh, "value", en, "word").alias("en_terms"), F.array_join("intent", " ").alias("intents"), "speaker")
+
+
+@query()
+def text_metrics(spark, d):
+    # no SQL: edit operations are counted, not distances alone
+    seg = segments(spark, d)
+    return E.text_metrics(seg, seg.withColumn("text", F.regexp_replace("text", "the ", "that the ")))
+
+
+@query()
+def spoken_rates(spark, d):
+    seg = segments(spark, d)
+    return E.spoken_rates(seg, seg.withColumn("text", F.regexp_replace("text", "the ", "that the ")))
+
+
+@query()
+def file_evaluation(spark, d):
+    seg = segments(spark, d)
+    hyp = I.align_speakers(seg, view(spark, d, "diar")).withColumn("text_before_llm", F.col("text")).withColumn("text", F.regexp_replace("text", "the ", ""))
+    return E.evaluation(seg, hyp, compare_llm=True)
+
+
+def indexed(spark, d):
+    """Segments of the conversations with an id each, as a retrieval corpus."""
+    seg = segments(spark, d)
+    intent = F.when(F.col("seg_idx") % 3 == 0, F.array(F.lit("question"))).otherwise(F.array(F.lit("陈述")))
+    return seg.select((F.col("file_id") * 1000 + F.col("seg_idx")).alias("doc_id"), "file_id", "seg_idx", "text", "speaker", "start_ms", "end_ms", intent.alias("intent"), F.lit("conversations").alias("dataset"))
+
+
+@query()
+def search_batch(spark, d):
+    # no SQL: hashed vectors; held by a brute-force test
+    docs = indexed(spark, d)
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("doc_id") % 200 == 0, "user").alias("speaker"))
+    found = V.search_batch(q, docs, V.token_postings(docs), V.hash_vectors(docs), 10)
+    return found.select("query_id", "doc_id", "score", "rank", "rank_semantic", "rank_keyword", "rank_speaker")
+
+
+@query()
+def self_retrieval(spark, d):
+    docs = indexed(spark, d)
+    cases = V.self_retrieval_cases(docs, 20)
+    hits = V.search_batch(cases.select("query_id", "query"), docs, V.token_postings(docs), V.hash_vectors(docs), 5)
+    return E.ranking_report(V.self_retrieval_outcomes(cases, hits), ["dataset", "mode"])

@@ -1,73 +1,131 @@
-"""Tolerant parsing of model answers and rule-based query rewriting; plain Python, one value at a time."""
+"""Tolerant parsing of model answers; plain Python, one value at a time, and a UDF for tables of them."""
 
 from __future__ import annotations
 
 import ast
 import json
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parlance.functions.rewriting import parse_time_range, rewrite  # noqa: F401
 
 KEYS = ("segments", "corrections", "results", "items")
+INDEX_KEYS, TEXT_KEYS, NOTE_KEYS = ("index", "id"), ("text", "corrected_text", "correction"), ("note", "reason")
+QUOTES = {0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}
+FENCE = re.compile(r"```(?:json|JSON)?\s*(.*?)```", re.DOTALL)
 
 
-def loose_json(text: str):
-    """The first JSON value in a text: fences, smart quotes and trailing commas are forgiven; None if none."""
-    text = re.sub(r"```\w*", "", text.replace("﻿", "")).translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})
-    for at in (m.start() for m in re.finditer(r"[\[{]", text)):
-        depth, quoted, escaped = 0, False, False
-        for end in range(at, len(text)):
-            c = text[end]
-            if quoted:
-                escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth -= 1
-                if depth == 0:
-                    part = re.sub(r",\s*([\]}])", r"\1", text[at : end + 1])
-                    for read in (json.loads, ast.literal_eval):
-                        try:
-                            return read(part)
-                        except (ValueError, SyntaxError):
-                            continue
-                    break
-    return None
+def bare(text: str) -> str:
+    """Without byte-order mark, smart quotes and the fence around it."""
+    text = text.strip().lstrip("\ufeff").translate(QUOTES).strip()
+    text = re.sub(r"^```(?:json|JSON)?\s*", "", text)
+    return re.sub(r"\s*```$", "", text).strip()
+
+
+def balanced(text: str, opening: str, closing: str) -> Iterator[str]:
+    """Outermost bracketed pieces, brackets inside strings aside."""
+    depth, start, quoted, escaped = 0, 0, False, False
+    for at, c in enumerate(text):
+        if quoted:
+            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+        elif c == '"':
+            quoted = True
+        elif c == opening:
+            start = start if depth else at
+            depth += 1
+        elif c == closing and depth:
+            depth -= 1
+            if not depth:
+                yield text[start : at + 1]
+
+
+def candidates(answer: str) -> list[str]:
+    """What may be JSON in an answer: the whole, fenced blocks, objects, arrays; each once."""
+    found = [answer, *FENCE.findall(answer), *balanced(answer, "{", "}"), *balanced(answer, "[", "]")]
+    return list(dict.fromkeys(b for b in map(bare, found) if b))
+
+
+def loose_value(text: str):
+    """Strict JSON, else without trailing commas and a leading ``json:``, else a Python literal; ValueError if none."""
+    mended = re.sub(r"^(?:json|JSON)\s*[:：]\s*", "", re.sub(r",\s*([}\]])", r"\1", text))
+    for read in (json.loads, ast.literal_eval):
+        for form in dict.fromkeys((text, mended)):
+            try:
+                return read(form)
+            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                continue
+    raise ValueError("no value can be read")
 
 
-def corrections(text: str) -> list[tuple[int, str, str | None]]:
-    """(index, text, note) of a model's answer, whichever of the usual shapes it has."""
-    value = loose_json(text)
-    if isinstance(value, dict):
-        named = next((value[k] for k in KEYS if isinstance(value.get(k), list)), None)
-        value = named if named is not None else [{"index": k, "text": v} for k, v in value.items() if str(k).isdigit()]
-    out = []
-    for item in value or []:
-        if isinstance(item, dict) and str(item.get("index", "")).isdigit() and isinstance(item.get("text"), str):
-            out.append((int(item["index"]), item["text"], item.get("note")))
-    return out
-
-
-@dataclass(frozen=True)
-class RewrittenQuery:
-    original: str
-    speaker: str | None = None
-    time_range: tuple[float, float] | None = None
-    semantic: tuple[str, ...] = field(default=())
-
-
-def parse_time_range(query: str) -> tuple[float, float] | None:
-    """``m:s`` to ``m:s`` joined by ~ or 到 (a hyphen is not understood), or the first N minutes or seconds."""
-    if found := re.search(r"(\d+):(\d{1,2})\s*[到`-~]\s*(\d+):(\d{1,2})", query):
-        a, b, c, d = map(int, found.groups())
-        return (60.0 * a + b, 60.0 * c + d) if 60 * c + d > 60 * a + b else None
-    if found := re.search(r"前\s*(\d+)\s*(秒|分钟|分)", query):
-        return 0.0, float(found[1]) * (1 if found[2] == "秒" else 60)
+def loose_json(answer: str | None):
+    """The first value that can be read from an answer, or None."""
+    for piece in candidates(answer or ""):
+        try:
+            return loose_value(piece)
+        except ValueError:
+            continue
     return None
 
 
-def rewrite(query: str) -> RewrittenQuery:
-    found = re.search(r"(?i)speaker[_ ]?([A-Za-z]|\d+)", query)
-    speaker = None if found is None else f"SPEAKER_{found[1].zfill(2)}" if found[1].isdigit() else found[1].upper()
-    return RewrittenQuery(query, speaker, parse_time_range(query), (query,))
+def items_of(value) -> list:
+    """The list of corrections in any of the usual shapes."""
+    if isinstance(value, list):
+        return value
+    if not isinstance(value, dict):
+        return []
+    for key in KEYS:
+        if isinstance(value.get(key), list):
+            return value[key]
+    if value and all(str(k).isdigit() for k in value):
+        return [{"index": int(k), **v} if isinstance(v, dict) else {"index": int(k), "text": v} for k, v in value.items()]
+    return []
+
+
+def first_of(item: dict, keys: tuple[str, ...], default=None):
+    """The value of the first key that is there."""
+    return next((item[k] for k in keys if k in item), default)
+
+
+def corrections(answer: str | None, count: int | None = None) -> list[tuple[int, str, str | None]]:
+    """(index, text, note) of each correction; of several for one index the last.
+
+    The first candidate with a list of corrections counts.  Items without a whole-number index below
+    ``count`` or without text are left out.
+    """
+    listed: list = []
+    for piece in candidates(answer or ""):
+        try:
+            listed = items_of(loose_value(piece))
+        except ValueError:
+            continue
+        if listed:
+            break
+    out: dict[int, tuple[int, str, str | None]] = {}
+    for item in listed:
+        if not isinstance(item, dict):
+            continue
+        index = first_of(item, INDEX_KEYS)
+        index = int(index) if isinstance(index, str) and index.isdigit() else index
+        text = first_of(item, TEXT_KEYS, "")
+        text = "" if text is None else str(text).strip()
+        note = next((item[k] for k in NOTE_KEYS if item.get(k)), None)
+        if isinstance(index, int) and not isinstance(index, bool) and 0 <= index and (count is None or index < count) and text:
+            out[index] = (index, text, None if note is None else str(note))
+    return [out[k] for k in sorted(out)]
+
+
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """Rows (answer_id, index, text, note) of a table of answers (answer_id, answer, count)."""
+    kind = dict(answers.dtypes)["answer_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *c) for i, a, n in zip(pdf["answer_id"], pdf["answer"], pdf["count"], strict=True) for c in corrections(a, None if pd.isna(n) else int(n))]
+            yield pd.DataFrame(rows, columns=["answer_id", "index", "text", "note"])
+
+    text = answers.select(F.col("answer_id").cast("string").alias("answer_id"), "answer", "count").mapInPandas(run, "answer_id string, index int, text string, note string")
+    return text.withColumn("answer_id", F.col("answer_id").cast(kind))

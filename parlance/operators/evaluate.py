@@ -6,50 +6,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
-    """(distance, substitutions, insertions, deletions); on equal cost diagonal, insertion, deletion."""
+    """(distance, substitutions, insertions, deletions); on equal cost diagonal, insertion, deletion.
+
+    Two rows of numbers are held, whatever the lengths: the distance and the insertions on the way; deletions
+    and substitutions follow from both and the place.
+    """
     n, m = len(ref), len(hyp)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
     names = {t: i for i, t in enumerate({*ref, *hyp})}
-    b = np.array([names[t] for t in hyp], np.int64)
+    b, place = np.array([names[t] for t in hyp], np.int64), np.arange(m + 1)
+    cost, inserted = place.copy(), place.copy()
     for i in range(1, n + 1):
-        step = np.minimum(cost[i - 1, :-1] + (b != names[ref[i - 1]]), cost[i - 1, 1:] + 1)
-        row = np.concatenate([[i], step])
-        cost[i] = np.minimum.accumulate(row - np.arange(m + 1)) + np.arange(m + 1)
-    s = ins = d = 0
-    i, j = n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            s += ref[i - 1] != hyp[j - 1]
-            i, j = i - 1, j - 1
-        elif j and cost[i, j] == cost[i, j - 1] + 1:
-            ins, j = ins + 1, j - 1
-        else:
-            d, i = d + 1, i - 1
-    return int(cost[n, m]), int(s), int(ins), int(d)
+        diagonal = np.concatenate([[n + m + 1], cost[:-1] + (b != names[ref[i - 1]])])
+        cheapest = np.minimum(diagonal, cost + 1)
+        row = np.minimum.accumulate(cheapest - place) + place
+        kept = np.where(diagonal == row, np.concatenate([[0], inserted[:-1]]), inserted)
+        by_insertion = (diagonal != row) & (np.concatenate([[n + m + 1], row[:-1] + 1]) == row)
+        # an insertion follows the last cell of its row that is none
+        source = np.maximum.accumulate(np.where(by_insertion, 0, place))
+        cost, inserted = row, kept[source] + place - source
+    distance, ins = int(cost[m]), int(inserted[m])
+    deleted = ins - (m - n)
+    return distance, distance - ins - deleted, ins, deleted
 
 
 def error_rates(pairs: DataFrame, language: str = "en") -> DataFrame:
-    """``file_id, ref, hyp`` to n_ref, distance, substitutions, insertions, deletions, rate."""
+    """``file_id, ref, hyp`` to n_ref, n_hyp, distance, substitutions, insertions, deletions, rate."""
     clean = T.eval_clean_en if language == "en" else T.eval_clean_zh
-    cut = pairs.select("file_id", *(T.tokens(clean(F.coalesce(c, F.lit(""))), language).alias(c) for c in ("ref", "hyp")))
-    kind = dict(pairs.dtypes)["file_id"]
+    cut = pairs.select(F.col("file_id").cast("string").alias("file_id"), *(T.tokens(clean(F.coalesce(c, F.lit(""))), language).alias(c) for c in ("ref", "hyp")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(len(r), *edit_counts(list(r), list(h))) for r, h in zip(pdf["ref"], pdf["hyp"], strict=True)]
-            out = pd.DataFrame(rows, columns=["n_ref", "distance", "substitutions", "insertions", "deletions"], dtype="int64")
+            rows = [(len(r), len(h), *edit_counts(list(r), list(h))) for r, h in zip(pdf["ref"], pdf["hyp"], strict=True)]
+            out = pd.DataFrame(rows, columns=["n_ref", "n_hyp", "distance", "substitutions", "insertions", "deletions"], dtype="int64")
             out.insert(0, "file_id", pdf["file_id"].to_numpy())
             yield out.assign(rate=out["distance"] / out["n_ref"].clip(lower=1))
 
-    return cut.mapInPandas(run, f"file_id {kind}, n_ref long, distance long, substitutions long, insertions long, deletions long, rate double")
+    out = cut.mapInPandas(run, "file_id string, n_ref long, n_hyp long, distance long, substitutions long, insertions long, deletions long, rate double")
+    return out.withColumn("file_id", F.col("file_id").cast(dict(pairs.dtypes)["file_id"]))
+
+
+def chosen_text(columns: list[str], mode: str = "final") -> Column:
+    """A segment's text: the final one, or for ``pre_llm`` that before correction, as far as it is kept."""
+    names = [c for c in (("text_before_llm", "text_original_asr", "text") if mode == "pre_llm" else ("text",)) if c in columns]
+    return F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in names), F.lit(""))
+
+
+def cleaned_text(segments: DataFrame, language: str, mode: str = "final") -> DataFrame:
+    """file_id, text: the cleaned texts of a file in order, with nothing between them."""
+    clean = T.eval_clean_en if language == "en" else T.eval_clean_zh
+    return joined_text(segments.withColumn("_clean", clean(chosen_text(segments.columns, mode))), "_clean")
+
+
+def text_metrics(ref: DataFrame, hyp: DataFrame, language: str = "en", mode: str = "final") -> DataFrame:
+    """Error counts and rate (words for en, characters for zh) of each file's whole text; a file on one side alone counts."""
+    one = cleaned_text(ref, language).select("file_id", F.col("text").alias("ref"))
+    other = cleaned_text(hyp, language, mode).select("file_id", F.col("text").alias("hyp"))
+    return error_rates(one.join(other, "file_id", "full"), language)
+
+
+def llm_delta(final: DataFrame, before: DataFrame) -> DataFrame:
+    """What correction changed in the metrics of each file: final minus before."""
+    names = ("rate", "insertions", "deletions", "substitutions")
+    old = before.select("file_id", *(F.col(c).alias(f"_{c}") for c in names))
+    return final.join(old, "file_id").select("file_id", *((F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in names))
+
+
+def spoken_rates(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Per file: wer and cer of its texts joined by spaces, as they stand, and their characters.
+
+    Both empty: 0; one of them empty: 1.  The hypothesis' ``llm_text`` counts where there is one.
+    """
+    spoken = T.strip(F.coalesce("text", F.lit("")))
+    corrected = F.coalesce(F.nullif(T.strip("llm_text"), F.lit("")), spoken) if "llm_text" in hyp.columns else spoken
+
+    def whole(d: DataFrame, text: Column, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("start_ms", "seg_idx", text.alias("t"))))
+        parts = F.filter(F.transform(rows, lambda x: x["t"]), lambda t: t != "")
+        return d.groupBy("file_id").agg(F.array_join(parts, " ").alias(name))
+
+    both = whole(ref, spoken, "ref").join(whole(hyp, corrected, "hyp"), "file_id", "full").na.fill("", ["ref", "hyp"])
+
+    @F.pandas_udf("double")
+    def word_rate(one: pd.Series, other: pd.Series) -> pd.Series:
+        rates = []
+        for a, b in zip(one, other, strict=True):
+            x, y = a.split(), b.split()
+            rates.append(float(bool(y)) if not x else edit_counts(x, y)[0] / len(x))
+        return pd.Series(rates, dtype="float64")
+
+    neither, only = (F.col("ref") == "") & (F.col("hyp") == ""), (F.col("ref") == "") | (F.col("hyp") == "")
+    rate = lambda value: F.round(F.when(neither, 0.0).when(only, 1.0).otherwise(value), 4)
+    characters = F.levenshtein("ref", "hyp") / F.greatest(F.length("ref"), F.lit(1))
+    return both.select("file_id", rate(word_rate("ref", "hyp")).alias("wer"), rate(characters).alias("cer"), F.length("ref").alias("ref_chars"), F.length("hyp").alias("hyp_chars"))
 
 
 def character_distance(pairs: DataFrame) -> DataFrame:
@@ -76,6 +131,62 @@ def macro_report(rates: DataFrame, keys: list[str], counts: list[str]) -> DataFr
 
 
 def ranking_report(outcomes: DataFrame, slices: list[str]) -> DataFrame:
-    """n, hit@1, hit@5, mrr overall and by each slice, in one pass over grouping sets."""
+    """n, hit@1, hit@5, mrr (and mean latency, if there is a column latency_ms) overall and by each slice, in one
+    pass over grouping sets."""
     rank = F.col("rank")
-    return outcomes.groupingSets([[], *([s] for s in slices)], *slices).agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce(rank, F.lit(0)) == 1).cast("double")), 4).alias("hit_at_1"), F.round(F.avg(F.coalesce((rank <= 5).cast("double"), F.lit(0.0))), 4).alias("hit_at_5"), F.round(F.avg(F.coalesce(F.when(rank <= 5, 1.0 / rank), F.lit(0.0))), 4).alias("mrr"))
+    share = lambda condition: F.round(F.avg(F.coalesce(condition.cast("double"), F.lit(0.0))), 4)
+    measures = [F.count("*").alias("n"), share(rank == 1).alias("hit_at_1"), share(rank <= 5).alias("hit_at_5"), F.round(F.avg(F.coalesce(F.when(rank <= 5, 1.0 / rank), F.lit(0.0))), 4).alias("mrr")]
+    if "latency_ms" in outcomes.columns:
+        measures.append(F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"))
+    return outcomes.groupingSets([[], *([s] for s in slices)], *slices).agg(*measures)
+
+
+def evaluation(ref: DataFrame, hyp: DataFrame, language: str = "en", compare_llm: bool = False, text_only: bool = False, duration_ms: int | None = None) -> DataFrame:
+    """One row a file with all measures: text, time, confidence and speakers; those that need times are null for plain transcripts.
+
+    One job over all files: every measure is an aggregate keyed by file.
+    """
+    from parlance.operators import intervals as I
+
+    out = text_metrics(ref, hyp, language)
+    if compare_llm:
+        out = out.join(llm_delta(out, text_metrics(ref, hyp, language, "pre_llm")), "file_id", "left")
+    flagged = hyp if "low_confidence" in hyp.columns else hyp.withColumn("low_confidence", F.lit(None).cast("boolean"))
+    out = out.join(confidence_report(flagged), "file_id", "left")
+    timed = I.time_metrics(ref, hyp).drop("n_ref")
+    speakers = I.diarization_report(ref, hyp, duration_ms=duration_ms).select("file_id", "der", "jer").join(I.turn_accuracy(ref, hyp), "file_id", "full")
+    for part in (timed, speakers):
+        if text_only:
+            part = part.select("file_id", *(F.lit(None).cast(t).alias(c) for c, t in part.dtypes if c != "file_id"))
+        out = out.join(part, "file_id", "left")
+    return out.withColumn("reference_type", F.lit("plain_transcript" if text_only else "timed_segments"))
+
+
+RATES = ("rate", "start_mae_ms", "end_mae_ms", "hit_half", "hit_one", "coverage", "prefix_excess_ms", "suffix_excess_ms", "low_rate", "der", "jer", "speaker_turn_accuracy", "speaker_confusion_rate")
+COUNTS = ("insertions", "deletions", "substitutions")
+DELTAS = ("rate_delta", "insertions_delta", "deletions_delta", "substitutions_delta")
+
+
+def overall(files: DataFrame) -> DataFrame:
+    """One row: number of files, means of rates (null and NaN left out), sums of counts; of deltas likewise."""
+    mean = lambda c: F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)))
+    there = set(files.columns)
+    means = [mean(c).alias(c) for c in (*RATES, DELTAS[0]) if c in there]
+    return files.agg(F.count("*").alias("files"), *means, *(F.sum(c).alias(c) for c in (*COUNTS, *DELTAS[1:]) if c in there))
+
+
+def report_json(frames: dict[str, DataFrame], path: str) -> None:
+    """Each table of a report as JSON below ``path``; the tables are results of aggregates, or a row a case."""
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def markdown_table(frame: DataFrame, limit: int = 1000) -> str:
+    """A small table (at most ``limit`` rows: a report is read by people) in Markdown."""
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    rows = [[cell(v) for v in row] for row in frame.limit(limit).collect()]
+    return "\n".join(f"| {' | '.join(r)} |" for r in [frame.columns, ["---"] * len(frame.columns), *rows]) + "\n"
+
+
+def report_markdown(title: str, sections: dict[str, DataFrame]) -> str:
+    return f"# {title}\n\n" + "\n".join(f"## {name}\n\n{markdown_table(frame)}" for name, frame in sections.items())

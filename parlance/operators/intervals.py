@@ -65,22 +65,48 @@ def speech_gate(segments: DataFrame, regions: DataFrame, pad: int = 350) -> Data
     return out.where(F.col("gated").isNull() | ((dur > 0) & (F.col("speech_overlap_ms") >= need))).withColumn("speech_overlap_ratio", F.round(F.col("speech_overlap_ms") / F.when(dur > 0, dur), 3)).drop("gated")
 
 
+def best_match(ref: DataFrame, hyp: DataFrame, least: int, *more: str) -> DataFrame:
+    """file_id, seg_idx, m: the hypothesis of greatest overlap with a reference segment (the first wins), with further columns."""
+    pairs = overlap_join(ref.select("file_id", "seg_idx", "start_ms", "end_ms"), hyp).where(F.col("overlap") >= least)
+    return pairs.groupBy("file_id", "seg_idx").agg(F.max_by(F.struct("r_seg_idx", "r_start_ms", "r_end_ms", "overlap", *more), F.struct("overlap", -F.col("r_seg_idx"))).alias("m"))
+
+
 def match_by_overlap(ref: DataFrame, hyp: DataFrame, least: int = 50) -> DataFrame:
     """Each reference segment with the one hypothesis of greatest overlap (first wins), if any."""
-    pairs = overlap_join(ref, hyp).where(F.col("overlap") >= least)
-    best = pairs.groupBy("file_id", "seg_idx").agg(F.max_by(F.struct("r_seg_idx", "r_start_ms", "r_end_ms", "overlap"), F.struct("overlap", -F.col("r_seg_idx"))).alias("m"))
+    best = best_match(ref, hyp, least)
     return ref.join(best, ["file_id", "seg_idx"], "left").select(*ref.columns, F.col("m.r_seg_idx").alias("hyp_idx"), F.col("m.r_start_ms").alias("hyp_start_ms"), F.col("m.r_end_ms").alias("hyp_end_ms"), F.col("m.overlap").alias("overlap_ms"))
 
 
-def time_metrics(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Per file: match rate, boundary errors, hits within half a second and a second, coverage."""
-    m = match_by_overlap(ref, hyp)
-    ds, de = F.abs(F.col("hyp_start_ms") - F.col("start_ms")), F.abs(F.col("hyp_end_ms") - F.col("end_ms"))
-    n = F.greatest(F.count("*"), F.lit(1))
-    hit = lambda t: F.round(F.count_if((ds <= t) & (de <= t)) / n, 4)
-    covers = (F.col("hyp_start_ms") <= F.col("start_ms") + 200) & (F.col("hyp_end_ms") >= F.col("end_ms") - 200)
-    return m.groupBy("file_id").agg(F.count("*").alias("n_ref"), F.count("hyp_idx").alias("n_matched"), F.round(F.count("hyp_idx") / n, 4).alias("match_rate"), F.round(F.avg(ds), 4).alias("start_mae_ms"), F.round(F.avg(de), 4).alias("end_mae_ms"), hit(500).alias("hit_half"), hit(1000).alias("hit_one"), F.round(F.count_if(covers) / n, 4).alias("coverage"),
-        F.round(F.avg(F.greatest(F.lit(0), F.col("start_ms") - F.col("hyp_start_ms"))), 4).alias("prefix_excess_ms"), F.round(F.avg(F.greatest(F.lit(0), F.col("hyp_end_ms") - F.col("end_ms"))), 4).alias("suffix_excess_ms"))
+def time_metrics(ref: DataFrame, hyp: DataFrame, least: int = 50, tolerance: int = 200) -> DataFrame:
+    """Per file of ``ref``: match rate over its segments; of the matches, boundary errors, hits within half
+    a second and a second at both ends, coverage, and speech before and after.
+
+    The hypothesis' playback bounds count where it has them.  A file without a match has rates of 0 and no errors.
+    """
+    for name in ("start", "end"):
+        played = f"playback_{name}_ms"
+        if played not in hyp.columns:
+            hyp = hyp.withColumn(played, F.lit(None).cast("long"))
+    best = best_match(ref, hyp, least, "r_playback_start_ms", "r_playback_end_ms")
+    m = ref.join(best, ["file_id", "seg_idx"], "left").withColumn("hs", F.coalesce("m.r_playback_start_ms", "m.r_start_ms")).withColumn("he", F.coalesce("m.r_playback_end_ms", "m.r_end_ms"))
+    ds, de = F.abs(F.col("hs") - F.col("start_ms")), F.abs(F.col("he") - F.col("end_ms"))
+    n, matched = F.greatest(F.count("*"), F.lit(1)), F.count("hs")
+    of_matches = lambda condition: F.coalesce(F.round(F.count_if(condition) / F.when(matched > 0, matched), 4), F.lit(0.0))
+    covers = (F.col("hs") <= F.col("start_ms") + tolerance) & (F.col("he") >= F.col("end_ms") - tolerance)
+    # greatest() skips nulls, so segments without a match are left out by hand
+    excess = lambda x: F.round(F.avg(F.when(F.col("hs").isNotNull(), F.greatest(F.lit(0), x))), 4)
+    return m.groupBy("file_id").agg(
+        F.count("*").alias("n_ref"),
+        matched.alias("n_matched"),
+        F.round(matched / n, 4).alias("match_rate"),
+        F.round(F.avg(ds), 4).alias("start_mae_ms"),
+        F.round(F.avg(de), 4).alias("end_mae_ms"),
+        of_matches((ds <= 500) & (de <= 500)).alias("hit_half"),
+        of_matches((ds <= 1000) & (de <= 1000)).alias("hit_one"),
+        of_matches(covers).alias("coverage"),
+        excess(F.col("start_ms") - F.col("hs")).alias("prefix_excess_ms"),
+        excess(F.col("he") - F.col("end_ms")).alias("suffix_excess_ms"),
+    )
 
 
 def energy_gate(diar: DataFrame, activity: DataFrame, least: int = 250, ratio: float = 0.2) -> DataFrame:
@@ -168,13 +194,140 @@ def speaker_overlaps(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     return overlap_join(ref, hyp).groupBy("file_id", F.col("r_speaker").alias("hyp_speaker"), F.col("speaker").alias("ref_speaker")).agg(F.sum("overlap").alias("overlap_ms"))
 
 
-def speaker_mapping(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Greedy bijection by overlap; speakers left over map to themselves.
+def greedy_pairs(overlaps: DataFrame) -> DataFrame:
+    """file_id, hyp_speaker, mapped: pairs taken one to one, greatest overlap first (ties by name).
 
-    Native fold over a file's few speaker pairs, greatest overlap first.
+    Native fold over a file's few speaker pairs.
     """
-    pairs = speaker_overlaps(ref, hyp).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap_ms")).alias("o"), "hyp_speaker", "ref_speaker"))).alias("pairs"))
+    pairs = overlaps.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap_ms")).alias("o"), "hyp_speaker", "ref_speaker"))).alias("pairs"))
     empty = F.array().cast("array<struct<hyp_speaker:string,ref_speaker:string>>")
     free = lambda acc, x: ~F.exists(acc, lambda a: (a["hyp_speaker"] == x["hyp_speaker"]) | (a["ref_speaker"] == x["ref_speaker"]))
-    chosen = pairs.select("file_id", F.explode(F.aggregate("pairs", empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(F.struct(x["hyp_speaker"].alias("hyp_speaker"), x["ref_speaker"].alias("ref_speaker"))))).otherwise(acc))).alias("c")).select("file_id", "c.hyp_speaker", F.col("c.ref_speaker").alias("mapped"))
+    add = lambda acc, x: F.concat(acc, F.array(F.struct(x["hyp_speaker"].alias("hyp_speaker"), x["ref_speaker"].alias("ref_speaker"))))
+    chosen = F.aggregate("pairs", empty, lambda acc, x: F.when(free(acc, x), add(acc, x)).otherwise(acc))
+    return pairs.select("file_id", F.explode(chosen).alias("c")).select("file_id", "c.hyp_speaker", F.col("c.ref_speaker").alias("mapped"))
+
+
+def speaker_mapping(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """Greedy bijection by overlap; speakers left over map to themselves."""
+    chosen = greedy_pairs(speaker_overlaps(ref, hyp))
     return hyp.select("file_id", F.col("speaker").alias("hyp_speaker")).distinct().join(chosen, ["file_id", "hyp_speaker"], "left").withColumn("mapped", F.coalesce("mapped", "hyp_speaker"))
+
+
+def speaker_spans(segments: DataFrame) -> DataFrame:
+    """A speaker's segments of a file, those that touch or overlap as one: file_id, speaker, start_ms, end_ms."""
+    w = W.partitionBy("file_id", "speaker").orderBy("start_ms", "end_ms")
+    reach = F.max("end_ms").over(w.rowsBetween(W.unboundedPreceding, -1))
+    named = segments.where("end_ms > start_ms").select("file_id", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"), "start_ms", "end_ms")
+    marked = named.withColumn("_new", F.coalesce(F.col("start_ms") > reach, F.lit(True)).cast("int"))
+    runs = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("file_id", "speaker", "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
+
+
+def without_zones(spans: DataFrame, zones: DataFrame) -> DataFrame:
+    """What is left of the spans outside the zones (disjoint ones of each file)."""
+    keyed = spans.withColumn("seg_idx", F.row_number().over(W.partitionBy("file_id").orderBy("start_ms", "end_ms", "speaker")))
+    met = overlap_join(keyed, zones).groupBy("file_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start_ms").alias("s"), F.col("r_end_ms").alias("e")))).alias("z"))
+    both = keyed.join(met, ["file_id", "seg_idx"], "left").withColumn("z", F.coalesce("z", F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    begins = F.concat(F.array("start_ms"), F.transform("z", lambda x: x["e"]))
+    ends = F.concat(F.transform("z", lambda x: x["s"]), F.array("end_ms"))
+    parts = both.select("file_id", "speaker", F.explode(F.arrays_zip(begins.alias("s"), ends.alias("e"))).alias("p"))
+    return parts.select("file_id", "speaker", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms")).where("end_ms > start_ms")
+
+
+def best_assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a one-to-one assignment of greatest total gain, by shortest augmenting paths."""
+    if not gain or not gain[0]:
+        return []
+    if len(gain) > len(gain[0]):
+        return [(i, j) for j, i in best_assignment([list(c) for c in zip(*gain, strict=True)])]
+    n, m = len(gain), len(gain[0])
+    row_price, column_price, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at] = True
+            row, step, nearest = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cost = -gain[row - 1][j - 1] - row_price[row] - column_price[j]
+                    if cost < least[j]:
+                        least[j], back[j] = cost, at
+                    if least[j] < step:
+                        step, nearest = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    row_price[owner[j]] += step
+                    column_price[j] -= step
+                else:
+                    least[j] -= step
+            at = nearest
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    return sorted((owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j])
+
+
+def diarization_report(ref: DataFrame, hyp: DataFrame, collar_ms: int = 250, duration_ms: int | None = None) -> DataFrame:
+    """Per file: total, missed, false and confused speech, error rate and Jaccard error rate.
+
+    Half the collar on either side of each reference boundary is left out, on both sides.  Speakers are
+    mapped one to one by the assignment of greatest common time, computed per file over its speaker
+    pairs.  The Jaccard rate is the mean over reference speakers of one minus common time over united
+    time with the speaker mapped to them (one if there is none).  Without reference speech both rates are null.
+    """
+    from parlance.operators.sequence import merge_regions
+
+    crop = lambda d: d if duration_ms is None else d.withColumn("end_ms", F.least("end_ms", F.lit(duration_ms)))
+    r, h = speaker_spans(crop(ref)), speaker_spans(crop(hyp))
+    if collar_ms:
+        half = collar_ms // 2
+        edges = crop(ref).where("end_ms > start_ms").select("file_id", F.explode(F.array("start_ms", "end_ms")).alias("at"))
+        zones = merge_regions(edges.select("file_id", (F.col("at") - half).alias("start_ms"), (F.col("at") + half).alias("end_ms")), gap=0)
+        r, h = without_zones(r, zones), without_zones(h, zones)
+    marks = lambda d, side: d.select("file_id", F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("step")))).alias("m"), F.lit(side).alias("side"))
+    step = lambda side: F.sum(F.when(F.col("side") == side, F.col("m.step")).otherwise(0)).alias(side)
+    cuts = marks(r, "r").unionByName(marks(h, "h")).groupBy("file_id", "m.at").agg(step("r"), step("h"))
+    w = W.partitionBy("file_id").orderBy("at")
+    run = cuts.select("file_id", F.sum("r").over(w).alias("r"), F.sum("h").over(w).alias("h"), (F.lead("at").over(w) - F.col("at")).alias("d")).where("d is not null")
+    part = lambda x, name: F.sum(x * F.col("d")).alias(name)
+    both = run.groupBy("file_id").agg(part(F.col("r"), "total_ms"), part(F.greatest(F.col("r") - F.col("h"), F.lit(0)), "missed_ms"), part(F.greatest(F.col("h") - F.col("r"), F.lit(0)), "false_ms"), part(F.least("r", "h"), "both_ms"))
+    time_of = lambda d, name: d.groupBy("file_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(name))
+    shared = speaker_overlaps(r, h)
+    facts = time_of(r, "a").select("file_id", F.lit("r").alias("side"), F.col("speaker").alias("ref_speaker"), F.lit(None).cast("string").alias("hyp_speaker"), F.col("a").alias("ms"))
+    facts = facts.unionByName(time_of(h, "a").select("file_id", F.lit("h").alias("side"), F.lit(None).cast("string").alias("ref_speaker"), F.col("speaker").alias("hyp_speaker"), F.col("a").alias("ms")))
+    facts = facts.unionByName(shared.select("file_id", F.lit("p").alias("side"), "ref_speaker", "hyp_speaker", F.col("overlap_ms").alias("ms")))
+    kind = dict(ref.dtypes)["file_id"]
+
+    def mapped(pdf):
+        import pandas as pd
+
+        time = {s: dict(zip(g[c], g["ms"], strict=True)) for s, c in (("r", "ref_speaker"), ("h", "hyp_speaker")) for g in [pdf[pdf["side"] == s].sort_values(c)]}
+        pairs = {(a, b): m for s, a, b, m in zip(pdf["side"], pdf["ref_speaker"], pdf["hyp_speaker"], pdf["ms"], strict=True) if s == "p"}
+        rows, columns = list(time["r"]), list(time["h"])
+        chosen = {rows[i]: columns[j] for i, j in best_assignment([[pairs.get((a, b), 0) for b in columns] for a in rows]) if pairs.get((rows[i], columns[j]))}
+        right = sum(pairs[x] for x in chosen.items())
+        errors = [1 - pairs[a, chosen[a]] / (time["r"][a] + time["h"][chosen[a]] - pairs[a, chosen[a]]) if a in chosen else 1.0 for a in rows]
+        return pd.DataFrame({"file": [str(pdf["file"].iloc[0])], "right_ms": [int(right)], "jaccard": [sum(errors) / len(errors) if errors else None]})
+
+    found = facts.withColumn("file", F.col("file_id").cast("string")).drop("file_id").groupBy("file").applyInPandas(mapped, "file string, right_ms long, jaccard double")
+    out = both.join(found.select(F.col("file").cast(kind).alias("file_id"), "right_ms", "jaccard"), "file_id", "left")
+    out = out.withColumn("confused_ms", F.greatest(F.lit(0), F.col("both_ms") - F.coalesce("right_ms", F.lit(0))))
+    rate = (F.col("missed_ms") + F.col("false_ms") + F.col("confused_ms")) / F.when(F.col("total_ms") > 0, F.col("total_ms"))
+    return out.select("file_id", "total_ms", "missed_ms", "false_ms", "confused_ms", F.round(rate, 6).alias("der"), F.round("jaccard", 6).alias("jer"))
+
+
+def turn_accuracy(ref: DataFrame, hyp: DataFrame, least: int = 50) -> DataFrame:
+    """Per file of ``ref``: share of its matched segments with the right speaker, and of the others.
+
+    Speakers are mapped greedily, one to one, by the overlap of matches (ties by name).  Both are null for a file
+    without a match.
+    """
+    named = lambda d: d.withColumn("speaker", F.coalesce("speaker", F.lit("UNKNOWN")))
+    best = best_match(ref, named(hyp), least, "r_speaker")
+    matches = named(ref).join(best, ["file_id", "seg_idx"]).select("file_id", F.col("speaker").alias("ref_speaker"), F.col("m.r_speaker").alias("hyp_speaker"), F.col("m.overlap").alias("overlap_ms"))
+    chosen = greedy_pairs(matches.groupBy("file_id", "hyp_speaker", "ref_speaker").agg(F.sum("overlap_ms").alias("overlap_ms")))
+    right = F.coalesce("mapped", "hyp_speaker") == F.col("ref_speaker")
+    rates = matches.join(chosen, ["file_id", "hyp_speaker"], "left").groupBy("file_id").agg(F.round(F.avg(right.cast("double")), 6).alias("speaker_turn_accuracy"))
+    out = ref.select("file_id").distinct().join(rates, "file_id", "left")
+    return out.withColumn("speaker_confusion_rate", F.round(1 - F.col("speaker_turn_accuracy"), 6))

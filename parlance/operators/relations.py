@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,11 +26,12 @@ def first_utterances(segments: DataFrame, n: int = 10) -> DataFrame:
 
 
 def speaker_labels(segments: DataFrame) -> DataFrame:
-    """A to Z, then S1 on, by first appearance; unknown speakers last."""
-    seen = segments.groupBy("file_id", "speaker").agg(F.min(F.struct("start_ms", "seg_idx")).alias("first"))
-    unknown = F.upper("speaker").contains("UNKNOWN").cast("int")
-    k = F.row_number().over(W.partitionBy("file_id").orderBy(unknown, "first"))
-    return seen.withColumn("k", k).select("file_id", "speaker", F.when(F.col("k") <= 26, F.char(F.col("k") + 64)).otherwise(F.concat(F.lit("S"), F.col("k") - 26)).alias("label"))
+    """A to Z, then S1 on, by first appearance; unknown speakers keep that name and take no letter, nameless ones have none."""
+    named = segments.where("speaker <> ''").groupBy("file_id", "speaker").agg(F.min_by("start_ms", "seg_idx").alias("start"), F.min("seg_idx").alias("first"))
+    unknown = F.upper("speaker").contains("UNKNOWN")
+    k = F.row_number().over(W.partitionBy("file_id", unknown).orderBy("start", "first"))
+    letter = F.when(F.col("k") <= 26, F.char(F.col("k") + 64)).otherwise(F.concat(F.lit("S"), F.col("k") - 26))
+    return named.withColumn("k", k).select("file_id", "speaker", F.when(unknown, "UNKNOWN").otherwise(letter).alias("label"))
 
 
 def speaker_choices(segments: DataFrame) -> DataFrame:
@@ -71,11 +72,34 @@ def pending(files: DataFrame, done: DataFrame, key: str = "file_id") -> DataFram
     return files.join(done.select(key).distinct(), key, "left_anti")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, replace: bool = True) -> DataFrame:
-    """One row a key: the incoming one, or with ``replace`` off the existing one."""
+def upsert(existing: DataFrame, incoming: DataFrame, key: str | list[str], replace: bool = True) -> DataFrame:
+    """One row a key: the incoming one, or with ``replace`` off the existing one.
+
+    Of several rows of one side and key the one whose values come last (as text) wins, so the outcome
+    does not hang on the order of rows.
+    """
+    keys = [key] if isinstance(key, str) else key
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    order = F.col("_new").desc() if replace else F.col("_new").asc()
-    return both.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k", "_new")
+    side = F.col("_new").desc() if replace else F.col("_new").asc()
+    values = F.to_json(F.struct(*(c for c in both.columns if c != "_new" and c not in keys)))
+    return both.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(side, values.desc()))).where("_k = 1").drop("_k", "_new")
+
+
+def path_key(path: Column) -> Column:
+    """A file's key whatever the case, the slashes and the dots in its path."""
+    low = F.regexp_replace(F.lower(T.strip(path)), r"[\\/]+", "/")
+    return F.regexp_replace(F.regexp_replace(low, r"/\.(?=/|$)", ""), r"/[^/]+/\.\.(?=/|$)", "")
+
+
+def union_results(*results: DataFrame) -> DataFrame:
+    """Results of several folders, the earlier ones first: a file counts once, by :func:`path_key`."""
+    both = None
+    for place, part in enumerate(results):
+        part = part.withColumn("_place", F.lit(place))
+        both = part if both is None else both.unionByName(part, allowMissingColumns=True)
+    values = F.to_json(F.struct(*(c for c in both.columns if c != "_place")))
+    order = W.partitionBy(path_key(F.col("file"))).orderBy("_place", values)
+    return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_place")
 
 
 def rename_speaker(segments: DataFrame, source: str, target: str, file_id=None) -> DataFrame:
@@ -111,11 +135,21 @@ def timing_rollup(chunks: DataFrame) -> DataFrame:
 
 
 def fallback_decision(turns: DataFrame, source: DataFrame) -> DataFrame:
-    """Per file whether word-level turns are so bad that segments are used instead, and why."""
-    dur, n = (F.col("end_ms") - F.col("start_ms")) / 1000.0, F.length("text")
-    severe = (dur <= 0) | ((n >= 12) & (n / F.when(dur > 0, dur) > 18)) | ((n <= 1) & (dur > 3)) | ((n <= 2) & (dur > 4))
-    a = turns.groupBy("file_id").agg(F.count("*").alias("checked"), F.count_if(severe).alias("severe"), F.sum(n).alias("chars"), F.sum(F.greatest(dur, F.lit(0.0))).alias("dur"))
-    b = source.groupBy("file_id").agg(F.sum(F.length("text")).alias("source_chars"))
+    """Per file whether word-level turns are so bad that segments are used instead, and why.
+
+    ``checked`` are the turns with text and a length; those with text and no length count as severe.
+    """
+    text = T.strip(F.coalesce("text", F.lit("")))
+    said = turns.withColumn("n", F.length(text)).withColumn("d", F.greatest(F.lit(0.0), (F.col("end_ms") - F.col("start_ms")) / 1000.0)).where("n > 0")
+    severe = F.expr("d <= 0 or (n >= 12 and n / d > 18) or (n <= 1 and d > 3) or (n <= 2 and d > 4)")
+    timed = F.col("d") > 0
+    a = said.groupBy("file_id").agg(F.count_if(timed).alias("checked"), F.count_if(severe).alias("severe"), F.sum(F.when(timed, F.col("n"))).alias("chars"), F.sum("d").alias("dur"))
+    b = source.groupBy("file_id").agg(F.sum(F.length(text)).alias("source_chars"))
     both = b.join(a, "file_id", "left").withColumn("checked", F.coalesce("checked", F.lit(0)))
-    reason = F.when(F.col("checked") == 0, "no turns").when((F.col("source_chars") >= 20) & (F.col("chars") / F.col("source_chars") < 0.45), "low coverage").when((F.col("severe") >= 5) & (F.col("severe") / F.col("checked") >= 0.30), "severe turns").when((F.col("chars") >= 80) & (F.col("chars") / F.when(F.col("dur") > 0, F.col("dur")) > 22), "too dense")
-    return both.withColumn("reason", F.coalesce(reason, F.lit("ok"))).select("file_id", "checked", (F.col("reason") != "ok").alias("fallback"), "reason")
+    coverage = F.col("chars") / F.greatest("source_chars", F.lit(1))
+    reason = F.when(F.col("checked") == 0, "no valid word-level turns")
+    reason = reason.when((F.col("source_chars") >= 20) & (coverage < 0.45), F.format_string("low aligned text coverage %d%%", F.rint(coverage * 100).cast("int")))
+    reason = reason.when((F.col("severe") >= 5) & (F.col("severe") / F.col("checked") >= 0.30), F.format_string("many implausible word turns %d/%d", "severe", "checked"))
+    reason = reason.when((F.col("chars") >= 80) & (F.col("chars") / F.when(F.col("dur") > 0, F.col("dur")) > 22), "global word timing is too compressed")
+    fine = "word-level alignment accepted"
+    return both.withColumn("reason", F.coalesce(reason, F.lit(fine))).select("file_id", "checked", (F.col("reason") != fine).alias("fallback"), "reason")

@@ -36,10 +36,40 @@ def hash_postings(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
 
 def hash_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """doc_id, vector as a sparse map, of length one."""
+    """doc_id, vector (array of float, of length one) of hashed token counts; texts without tokens have none."""
     p = hash_postings(docs, dim)
-    norm = p.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return norm.select("doc_id", F.transform_values("m", lambda k, v: v / F.col("norm")).alias("vector"))
+    rows = p.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float"))
+    return rows.select("doc_id", value.alias("vector"))
+
+
+def model_encoding(docs: DataFrame, make, special: tuple[int, ...] = (0, 1, 2), name: str = "encoder") -> DataFrame:
+    """doc_id, vector (of length one), weights (token id to weight) by a model's ``encode(texts)``.
+
+    The model gives dense rows and, per text, (token id, weight) pairs; special tokens and weights of
+    zero or less are left out, of several weights of a token the greatest counts.
+    """
+    from parlance.models.clients import held
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            dense, sparse = held(name, make).encode([t or "" for t in pdf["text"]])
+            dense = np.asarray(dense, np.float32)
+            dense = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+            weights = []
+            for pairs in sparse:
+                best: dict[str, float] = {}
+                for token, weight in pairs:
+                    if token not in special and weight > 0:
+                        best[str(token)] = max(float(weight), best.get(str(token), 0.0))
+                weights.append(best)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "vector": list(dense), "weights": weights})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, vector array<float>, weights map<string,double>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def token_postings(docs: DataFrame) -> DataFrame:
@@ -180,8 +210,9 @@ def substring_topk(docs: DataFrame, query: str, k: int) -> DataFrame:
 def in_order(docs: DataFrame, condition=None, k: int | None = None) -> DataFrame:
     """A structured dimension's list: matching documents in index order, not by score."""
     found = docs if condition is None else docs.where(condition)
-    out = found.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
-    return ranked(out, k or 2**31 - 1, "doc_id")
+    placed = positions(found)
+    placed = placed if k is None else placed.where(F.col("rank") <= k)
+    return placed.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(1.0).alias("score"), "rank")
 
 
 def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
@@ -203,19 +234,98 @@ def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None) -
     return wide.withColumn("score", score).withColumn("rank", F.row_number().over(w)).drop("first")
 
 
+def in_index_order(docs: DataFrame, queries: DataFrame, name: str, k: int | None = None) -> DataFrame:
+    """A structured dimension's list for each query that asks for it: every document in index order.
+
+    Rank is a document's place in the index, so it is computed once (:func:`positions`) and joined to
+    the queries that use it; with ``k`` only the first k places.
+    """
+    placed = positions(docs)
+    placed = placed if k is None else placed.where(F.col("rank") <= k)
+    return queries.where(F.col(name).isNotNull()).select("query_id").join(placed, F.lit(True))
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, rank (from 1) in order of id: ranges are counted first, so no task ranks the whole corpus."""
+    ordered = docs.select("doc_id").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    own = ordered.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy("doc_id")))
+    counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    return own.join(F.broadcast(before.select("part", "before")), "part").select("doc_id", (F.col("own") + F.col("before")).cast("int").alias("rank"))
+
+
+def variants_of(rewritten: DataFrame) -> DataFrame:
+    """query_id, variant (0 for the query itself), query of a rewritten batch."""
+    return rewritten.select("query_id", F.posexplode("variants").alias("variant", "query"))
+
+
+def keyword_lists(rewritten: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """The keyword list of each query: the best weighted score over its variants (first 1.0, others 0.90)."""
+    each = variants_of(rewritten).withColumn("_of", F.struct("query_id", "variant"))
+    lists = sparse_topk(each.select(F.col("_of").alias("query_id"), "query"), postings, k)
+    return multi_query_merge(lists.select(F.col("query_id.variant").alias("variant"), F.col("query_id.query_id").alias("query_id"), "doc_id", F.col("score").cast("double").alias("score")), k, 0.90)
+
+
+def semantic_lists(rewritten: DataFrame, vectors: DataFrame, k: int, encode=hash_vectors) -> DataFrame:
+    """The semantic list of each query over its variants (first 1.0, others 0.92)."""
+    each = variants_of(rewritten).withColumn("_n", F.xxhash64("query_id", "variant"))
+    asked = encode(each.select(F.col("_n").alias("doc_id"), F.col("query").alias("text"))).select(F.col("doc_id").alias("query_id"), "vector")
+    lists = dense_topk(asked, vectors, k).withColumnRenamed("query_id", "_n").join(each.select("_n", "query_id", "variant"), "_n")
+    return multi_query_merge(lists.select("query_id", "variant", "doc_id", "score"), k)
+
+
+def search_batch(queries: DataFrame, segments: DataFrame, postings: DataFrame, vectors: DataFrame, top_k: int = 20, weights: dict[str, float] | None = None, encode=hash_vectors) -> DataFrame:
+    """Searches of a table of queries over an index, as one job.
+
+    ``queries``: query_id, query and, where given, speaker, start_s, end_s, intent, which go before what the query
+    itself says.  ``segments``: doc_id, text, speaker, start_ms, end_ms, intent.  Lists of the first 2 ``top_k`` by
+    meaning and by keyword are fused with the structured ones; constraints then act on the fused list, so fewer
+    than ``top_k`` may return.  Adds score, rank, rank_<list> and the rewritten query.
+
+    A structured list holds every document, so for constrained queries only the documents that meet the
+    constraint are fused: others cannot be returned.  Their places in the index are those in the whole of it.
+    """
+    from parlance.functions.rewriting import rewrite_batch
+
+    given = {c: F.col(c) if c in queries.columns else F.lit(None).cast(t) for c, t in (("speaker", "string"), ("start_s", "double"), ("end_s", "double"), ("intent", "array<string>"))}
+    named = queries.select("query_id", "query", *(v.alias(f"given_{c}") for c, v in given.items()))
+    said = rewrite_batch(named)
+    timed = F.col("given_start_s").isNotNull() & F.col("given_end_s").isNotNull()
+    intent = F.when(F.size("given_intent") > 0, F.col("given_intent")).when(F.size("intent") > 0, F.col("intent"))
+    asked = said.select("query_id", "query", "variants", F.coalesce(F.nullif("given_speaker", F.lit("")), "speaker").alias("speaker"), F.when(timed, F.col("given_start_s")).otherwise(F.col("start_s")).alias("start_s"), F.when(timed, F.col("given_end_s")).otherwise(F.col("end_s")).alias("end_s"), intent.alias("intent"))
+    lists = {"semantic": semantic_lists(asked, vectors, 2 * top_k, encode), "keyword": keyword_lists(asked, postings, 2 * top_k)}
+    limits = asked.select("query_id", F.col("speaker").alias("q_speaker"), (F.col("start_s") * 1000).alias("q_start"), (F.col("end_s") * 1000).alias("q_end"), F.transform("intent", T.intent_name).alias("q_intent"))
+    meets = F.coalesce(F.col("speaker") == F.col("q_speaker"), F.col("q_speaker").isNull()) & F.coalesce(F.least("end_ms", "q_end") > F.greatest("start_ms", "q_start"), F.col("q_start").isNull())
+    has = F.coalesce(F.arrays_overlap(F.transform("intent", T.intent_name), F.col("q_intent")), F.lit(False))
+    meets = meets & (F.col("q_intent").isNull() | has)
+    free = limits.where("q_speaker is null and q_start is null and q_intent is null").select("query_id")
+    tied = limits.join(free, "query_id", "left_anti")
+    place = positions(segments)
+    # the documents that a constrained query may return, with their place in the index
+    facts = segments.select("doc_id", "speaker", "start_ms", "end_ms", "intent")
+    allowed = facts.join(tied, meets).select("query_id", "doc_id", "q_speaker", "q_start", "q_intent").join(place, "doc_id")
+    for name, column in (("speaker", "q_speaker"), ("time", "q_start"), ("intent", "q_intent")):
+        lists[name] = allowed.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank")
+    fused = fuse(lists, weights)
+    kept = fused.join(free, "query_id", "left_semi").unionByName(fused.join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")).withColumnRenamed("rank", "fused_rank")
+    found = ranked(kept, top_k, "fused_rank").drop("fused_rank")
+    return found.withColumn("score", F.round("score", 4)).join(segments, "doc_id").join(asked.select("query_id", "query", F.col("variants").alias("query_variants")), "query_id")
+
+
 def search(docs: DataFrame, semantic: DataFrame, keyword: DataFrame, top_k: int, speaker=None, time_range=None, intent=None) -> DataFrame:
-    """Fused and post-filtered: constraints act after ranking, so fewer than top_k may return."""
-    lists = {"semantic": semantic, "keyword": keyword}
-    keep = F.lit(True)
-    if speaker is not None:
-        lists["speaker"] = in_order(docs, k=2 * top_k)
-        keep = keep & (F.col("speaker") == speaker)
-    if time_range is not None:
-        lists["time"] = in_order(docs, F.least("end_ms", F.lit(time_range[1])) > F.greatest("start_ms", F.lit(time_range[0])), 2 * top_k)
-        keep = keep & (F.least("end_ms", F.lit(time_range[1])) > F.greatest("start_ms", F.lit(time_range[0])))
-    if intent is not None:
-        lists["intent"] = in_order(docs, F.arrays_overlap("intent", F.array(*map(F.lit, intent))), 2 * top_k)
-        keep = keep & F.arrays_overlap("intent", F.array(*map(F.lit, intent)))
+    """Fused and post-filtered: constraints act after ranking, so fewer than top_k may return.
+
+    ``time_range`` in ms; a missing speaker or intent meets no constraint.  Intents are compared by their
+    normalised names.
+    """
+    from parlance.operators.predicates import intent_any, is_speaker, overlaps_range
+
+    lists, keep = {"semantic": semantic, "keyword": keyword}, F.lit(True)
+    queries = semantic.select("query_id").union(keyword.select("query_id")).distinct().withColumn("one", F.lit(1))
+    for name, given, condition in (("speaker", speaker, is_speaker), ("time", time_range, lambda r: overlaps_range(*r)), ("intent", intent, intent_any)):
+        if given is not None:
+            keep = keep & condition(given)
+            lists[name] = in_index_order(docs, queries, "one")
     fused = fuse(lists).withColumnRenamed("rank", "fused_rank")
     found = fused.join(docs, "doc_id").where(keep)
     return ranked(found.withColumn("score", F.round("score", 6)), top_k, "fused_rank").drop("fused_rank")
@@ -236,14 +346,114 @@ def sample_stable(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def build_index(segments: DataFrame, path: str, least: int = 4) -> None:
-    """Segments, hashed vectors and postings as three Parquet tables and a manifest."""
+def build_index(segments: DataFrame, path: str, least: int = 4, encode=hash_vectors) -> int:
+    """Segments, vectors and postings as three Parquet tables and a manifest; gives the number of segments.
+
+    ``segments`` have doc_id and text.  ValueError if none is long enough to index.
+    """
     from parlance.operators.predicates import indexable
 
     kept = segments.where(indexable(F.col("text"), least))
     if kept.isEmpty():
         raise ValueError("nothing to index")
     kept.write.mode("overwrite").parquet(f"{path}/segments")
-    hash_vectors(kept).write.mode("overwrite").parquet(f"{path}/vectors")
+    kept = segments.sparkSession.read.parquet(f"{path}/segments")
+    encode(kept).write.mode("overwrite").parquet(f"{path}/vectors")
     token_postings(kept).write.mode("overwrite").parquet(f"{path}/postings")
-    kept.agg(F.count("*").alias("num_segments"), F.lit(DIM).alias("dim")).write.mode("overwrite").json(f"{path}/manifest")
+    n = kept.count()
+    kept.sparkSession.createDataFrame([(n, DIM)], "num_segments long, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return n
+
+
+class Index:
+    """An index on disk, its tables bound at first use.  FileNotFoundError if its vectors are missing."""
+
+    def __init__(self, spark, path: str, weights: dict[str, float] | None = None, encode=hash_vectors):
+        self.spark, self.path, self.weights, self.encode, self._tables = spark, path.rstrip("/"), weights, encode, None
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        if self._tables is None:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/vectors")
+            if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                raise FileNotFoundError(f"no index at {self.path}")
+            self._tables = {n: self.spark.read.parquet(f"{self.path}/{n}") for n in ("segments", "vectors", "postings")}
+        return self._tables
+
+    def search(self, queries: DataFrame, top_k: int = 20) -> DataFrame:
+        t = self.tables
+        return search_batch(queries, t["segments"], t["postings"], t["vectors"], top_k, self.weights, self.encode)
+
+
+def search_or_fall_back(segments: DataFrame, path: str, query: str, top_k: int, encode=hash_vectors) -> tuple[str, DataFrame]:
+    """How a search was answered, and its rows for display.
+
+    By the index if it matches the segments, else by one built anew, else (nothing to index, or it fails) by
+    substrings.  ``segments``: doc_id, file_id, seg_idx, text, speaker, start_ms, end_ms, intent.
+    """
+    from parlance.operators.predicates import indexable
+    from parlance.operators.relations import index_is_fresh
+
+    spark = segments.sparkSession
+    queries = spark.createDataFrame([(0, query)], "query_id long, query string")
+    wanted = segments.where(indexable(F.col("text")))
+    try:
+        index, how = Index(spark, path, encode=encode), "index"
+        try:
+            fresh = index_is_fresh(index.tables["segments"], wanted).first()["is_fresh"]
+        except Exception:  # noqa: BLE001  a missing or broken index is built anew
+            fresh = False
+        if not fresh:
+            build_index(segments, path, encode=encode)
+            index, how = Index(spark, path, encode=encode), "rebuilt"
+        found = index.search(queries, max(4 * top_k, 10))
+        return how, display_selection(found, query, top_k)
+    except Exception:  # noqa: BLE001  whatever the index or the encoder raises
+        return "substring", substring_topk(segments, query, top_k).join(segments, "doc_id")
+
+
+def probe_queries(segments: DataFrame) -> DataFrame:
+    """Queries that a corpus asks of itself: its first text's beginning, its first speakers and intents (three each)."""
+    first = segments.orderBy("doc_id").limit(1).select(F.lit("semantic").alias("type"), F.substring("text", 1, 20).alias("query"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("array<string>").alias("intent"))
+    voices = segments.where("speaker <> ''").select("speaker").distinct().orderBy("speaker").limit(3).select(F.lit("speaker").alias("type"), F.lit("发言").alias("query"), "speaker", F.lit(None).cast("array<string>").alias("intent"))
+    intents = segments.select(F.explode("intent").alias("i")).distinct().orderBy("i").limit(3).select(F.lit("intent").alias("type"), F.col("i").alias("query"), F.lit(None).cast("string").alias("speaker"), F.array("i").alias("intent"))
+    both = first.unionByName(voices).unionByName(intents)
+    return both.withColumn("query_id", F.xxhash64("type", "query", "speaker"))
+
+
+def probe(segments: DataFrame, path: str, top_k: int = 5, encode=hash_vectors) -> DataFrame:
+    """type, query, hits of each probe query over an index built at ``path``."""
+    build_index(segments, path, encode=encode)
+    queries = probe_queries(segments)
+    hits = Index(segments.sparkSession, path, encode=encode).search(queries, top_k).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return queries.join(hits, "query_id", "left").select("type", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def self_retrieval_cases(segments: DataFrame, n: int, seed: int = 42, language: str = "en") -> DataFrame:
+    """query_id, mode (exact or partial), query, dataset, doc_id, text of a reproducible sample of segments."""
+    chosen = sample_stable(segments.select("doc_id"), n, seed).join(segments, "doc_id")
+    both = [chosen.select("doc_id", F.col("dataset"), "text", F.lit(mode).alias("mode"), query.alias("query")) for mode, query in (("exact", F.col("text")), ("partial", T.partial_query(F.col("text"), language)))]
+    return both[0].unionByName(both[1]).withColumn("query_id", F.xxhash64("doc_id", "mode"))
+
+
+def self_retrieval_outcomes(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per case: dataset, mode, rank of the first hit that is the segment itself or has its text; null if none is."""
+    right = hits.select("query_id", F.col("doc_id").alias("hit_id"), F.col("text").alias("hit_text"), "rank").join(cases.select("query_id", "doc_id", "text"), "query_id")
+    rank = right.where((F.col("hit_id") == F.col("doc_id")) | (F.col("hit_text") == F.col("text"))).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return cases.select("query_id", "dataset", "mode").join(rank, "query_id", "left")
+
+
+def case_outcomes(cases: list[dict], segments: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per hand-written case (query_id, dimension, dataset, constraints, any_term_groups): rank of the first relevant hit.
+
+    Cases that no segment of the corpus answers are left out.
+    """
+    from parlance.operators.predicates import relevant_to
+
+    out = None
+    for case in cases:  # a case is a filter; there are a few dozen
+        answered = segments.where(relevant_to(case)).limit(1).select(F.lit(case["query_id"]).cast("long").alias("query_id"), F.lit(case["dimension"]).alias("dimension"), F.lit(case["dataset"]).alias("dataset"))
+        rank = hits.where((F.col("query_id") == case["query_id"]) & relevant_to(case)).agg(F.min("rank").alias("rank")).withColumn("query_id", F.lit(case["query_id"]).cast("long"))
+        part = answered.join(rank, "query_id", "left")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.text import strip
+
 SEGMENT = (
     "start DOUBLE, `end` DOUBLE, speaker STRING, text STRING, speaker_original STRING, text_before_llm STRING, correction_note STRING, intent ARRAY<STRING>, phase STRING, avg_logprob DOUBLE, no_speech_prob DOUBLE,"
     " playback_start DOUBLE, playback_end DOUBLE, start_asr_raw DOUBLE, low_confidence BOOLEAN, low_confidence_reasons ARRAY<STRING>, manual_edited BOOLEAN, manual_speaker_edited BOOLEAN"
@@ -36,15 +38,23 @@ def explode_segments(results: DataFrame, dataset: str = "") -> DataFrame:
     return rows.withColumn("start", start).withColumn("end", F.coalesce("end", start)).withColumn("uid", F.concat(F.lit(f"{dataset}/"), "file_id", F.lit("#"), "seg_idx"))
 
 
+def corpus_segments(results: DataFrame, dataset: str, least: int = 4) -> DataFrame:
+    """The retrieval corpus of a folder of results: segments of at least ``least`` characters, with
+    their dataset and file, and uid numbered by place in the file."""
+    rows = explode_segments(results, dataset).where(F.length(strip(F.coalesce("text", F.lit("")))) >= least)
+    return rows.withColumn("dataset", F.lit(dataset)).withColumn("file", F.col("file_id"))
+
+
 def clip_to(segments: DataFrame, duration: float) -> DataFrame:
     """Segments that start before ``duration``, ended there, in order; empty ones go."""
     return segments.where(F.col("start") < duration).withColumn("end", F.least("end", F.lit(duration))).where("`end` > start").orderBy("start", "end")
 
 
-def read_plain_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of ``id text``."""
+def read_plain_transcripts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Lines of ``id text`` of the files at or below a path, or of those of a name pattern."""
     found = F.split(F.trim("value"), r"\s+", 2)
-    return spark.read.option("recursiveFileLookup", True).text(path).where("trim(value) <> ''").select(found[0].alias("utt_id"), F.coalesce(F.get(found, F.lit(1)), F.lit("")).alias("text"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path).where("trim(value) <> ''").select(found[0].alias("utt_id"), F.coalesce(F.get(found, F.lit(1)), F.lit("")).alias("text"))
 
 
 def parse_textgrid(text: str) -> Iterator[tuple[str, float, float, str]]:
@@ -76,7 +86,7 @@ def read_textgrids(spark: SparkSession, path: str, duration: float | None = None
 
 def reference_name(file_name):
     """File name without .json and one audio suffix, as the key of its reference."""
-    return F.regexp_replace(F.regexp_replace(file_name, r"\.json$", ""), rf"\.({'|'.join(AUDIO)})$", "")
+    return F.regexp_replace(F.regexp_replace(file_name, r"\.json$", ""), rf"(?i)\.({'|'.join(AUDIO)})$", "")
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
@@ -118,6 +128,15 @@ def energy_regions(samples: np.ndarray, rate: int, frame: float = 0.08, hop: flo
     return out
 
 
+def write_corrected(results: DataFrame, path: str) -> None:
+    """All results as one row ``{"files": [...]}``, replacing what was written there before.
+
+    For the hand-edited results of a session, which one person has gone through.
+    """
+    files = results.agg(F.array_sort(F.collect_list(F.struct(*results.columns)), lambda a, b: F.when(a["file"] < b["file"], -1).when(a["file"] > b["file"], 1).otherwise(0)).alias("files"))
+    files.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results by file; a file written again replaces its own partition only."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
