@@ -18,7 +18,7 @@ DATASETS = {"aishell1": ".wav", "librispeech": ".flac"}
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, length, modified of the files at or below a path; FileNotFoundError if there is no such path.
+    """path, name, length, modified of the files at or below a path that are not empty; FileNotFoundError if there is no such path.
 
     Contents are not read: Spark prunes the column.
     """

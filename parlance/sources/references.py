@@ -31,7 +31,7 @@ def read_reference_json(spark: SparkSession, path: str, language: str = "en", du
 
     A missing start is 0, a missing end the start, a missing speaker ``REF``.  Files that are no JSON give nothing.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     files = files.select(F.col("_metadata.file_name").alias("file_id"), "value")
     bare = F.from_json("value", f"array<struct<{ROW}>>")
     inside = F.from_json("value", f"struct<segments: array<struct<{ROW}>>>")["segments"]
@@ -64,7 +64,7 @@ def textgrid_intervals(text: str) -> Iterator[tuple[str, float, float, str]]:
 
 def read_textgrid_references(spark: SparkSession, path: str, language: str = "zh", duration: float | None = None, speaker: str | None = None) -> DataFrame:
     """file_id (without suffix), start, end, speaker (the tier's name, or one for all), text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path, wholetext=True)
     files = files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.TextGrid$", "").alias("file_id"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -74,7 +74,7 @@ def parse_textgrid(text: str) -> Iterator[tuple[str, float, float, str]]:
 
 
 def read_textgrids(spark: SparkSession, path: str, duration: float | None = None) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path).select(F.col("_metadata.file_name").alias("file_id"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_id"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
