@@ -31,8 +31,7 @@ LEAST_GROUP = 50
 SPREADS = 6
 #: ratio -> least spread in its own unit; small enough that each fence can be reached by a document that passes the base rules
 LEAST_SPREAD = {"word_length": 25, "symbol_share": 15, "dup_line_share": 60, "repeat_share": 50}
-#: the least spreads of the SQL in queries.py, which still has the 95 % and 5 % quantiles
-FLOOR = {"word_length": 150, "symbol_share": 40, "dup_line_share": 100, "repeat_share": 100}
+MIDDLE, UPPER, LOWER = 50, 75, 25  # quantiles, in per cent
 #: ratios that fail on either side of their fence
 TWO_SIDED = ("word_length",)
 SCALE = 1000
@@ -113,7 +112,7 @@ def fences(measured_docs: DataFrame) -> DataFrame:
         return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")), step)["at"]
 
     floor = F.element_at(F.create_map(*(y for k, v in LEAST_SPREAD.items() for y in (F.lit(k), F.lit(v)))), F.col("ratio"))
-    cut = histogram.select("g", "ratio", "total", quantile(50).alias("mid"), quantile(75).alias("up"), quantile(25).alias("down"))
+    cut = histogram.select("g", "ratio", "total", quantile(MIDDLE).alias("mid"), quantile(UPPER).alias("up"), quantile(LOWER).alias("down"))
     cut = cut.select("g", "ratio", "total", (F.col("mid") + SPREADS * F.greatest(F.col("up") - F.col("mid"), floor)).alias("high"), F.when(F.col("ratio").isin(*TWO_SIDED), F.col("mid") - SPREADS * F.greatest(F.col("mid") - F.col("down"), floor)).alias("low"))
     wide = cut.groupBy("g").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{k}_{side}") for k in LEAST_SPREAD for side in ("low", "high")))
     names = [f"{k}_{side}" for k in LEAST_SPREAD for side in ("low", "high")]
@@ -127,17 +126,42 @@ def fences(measured_docs: DataFrame) -> DataFrame:
     return joined.select(F.col("x.lang").alias("lang"), F.col("x.source").alias("source"), chosen.alias("fence")).select("lang", "source", *(F.col("fence")[n].alias(n) for n in names))
 
 
+def beyond_fences() -> dict[str, Column]:
+    """Per ratio whether it lies beyond its fence; an unknown fence holds nothing off."""
+    fence = F.col("_fence")
+    out = {}
+    for name, value in ratios().items():
+        out[name] = F.coalesce(value > fence[f"{name}_high"], F.lit(False)) | F.coalesce(value < fence[f"{name}_low"], F.lit(False))
+    return out
+
+
+def fenced(measured_docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """``measured_docs`` with their group's fences in a struct ``_fence``.
+
+    A row a language and source joins; a hot source's rows are many only on the side of the documents,
+    which a broadcast leaves in place and a sort-merge join splits (adaptive execution).
+    """
+    limits = limits.select(F.struct(*limits.columns).alias("_fence"))
+    same = F.col("lang").eqNullSafe(F.col("_fence")["lang"]) & F.col("source").eqNullSafe(F.col("_fence")["source"])
+    return measured_docs.join(limits, same, "left")
+
+
 def judged(measured_docs: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured_docs`` with booleans ``base_failed`` and ``kept``."""
-    limits = limits.select(F.struct(*limits.columns).alias("_fence"))
     beyond = F.lit(False)
-    for name, value in ratios().items():
-        beyond = beyond | F.coalesce(value > F.col("_fence")[f"{name}_high"], F.lit(False)) | F.coalesce(value < F.col("_fence")[f"{name}_low"], F.lit(False))
-    same = F.col("lang").eqNullSafe(F.col("_fence")["lang"]) & F.col("source").eqNullSafe(F.col("_fence")["source"])
-    out = measured_docs.join(limits, same, "left").withColumn("base_failed", base_failed())
+    for each in beyond_fences().values():
+        beyond = beyond | each
+    out = fenced(measured_docs, limits).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_fence")
 
 
+def rejects(docs: DataFrame) -> DataFrame:
+    """One row: documents, those that pass the base rules, and how many of these lie beyond each ratio's fence."""
+    counted = materialize(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
+    passed = ~base_failed()
+    return fenced(counted, fences(counted)).agg(F.count("*").alias("n"), F.count_if(passed).alias("passed"), *(F.count_if(passed & b).alias(name) for name, b in beyond_fences().items()))
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, the base counts, base_failed, kept, the ratios."""
     counted = measured(docs.select("doc_id", "text", "lang", "source")).drop("text")

@@ -78,17 +78,17 @@ m AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
 q AS (SELECT *, (n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words) AS base_failed,
              100 * word_chars // greatest(n_words, 1) AS word_length, {quality_rules.SCALE} * n_symbols // greatest(word_chars, 1) AS symbol_share,
              {quality_rules.SCALE} * n_dup_lines // greatest(n_lines, 1) AS dup_line_share, {quality_rules.SCALE} * n_repeat_words // greatest(n_words, 1) AS repeat_share FROM m),
-v AS (SELECT lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.FLOOR)}]) AS u FROM q WHERE NOT base_failed),
+v AS (SELECT lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.LEAST_SPREAD)}]) AS u FROM q WHERE NOT base_failed),
 b AS (SELECT lang, source, u.ratio AS ratio, u.x - u.x % CAST(pow(2, greatest(length(bin(u.x)) - {quality_rules.SKETCH_BITS}, 0)) AS BIGINT) AS x FROM v),
 l AS (SELECT 0 AS level, lang, source, ratio, x FROM b UNION ALL SELECT 1, lang, NULL, ratio, x FROM b UNION ALL SELECT 2, NULL, NULL, ratio, x FROM b),
 c AS (SELECT level, lang, source, ratio, x, count(*) AS n FROM l GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY x) AS seen, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM c),
-z AS (SELECT level, lang, source, ratio, any_value(total) AS total, min(x) FILTER (100 * seen >= 50 * total) AS mid, min(x) FILTER (100 * seen >= 95 * total) AS up, min(x) FILTER (100 * seen >= 5 * total) AS down
+z AS (SELECT level, lang, source, ratio, any_value(total) AS total, min(x) FILTER (100 * seen >= {quality_rules.MIDDLE} * total) AS mid, min(x) FILTER (100 * seen >= {quality_rules.UPPER} * total) AS up, min(x) FILTER (100 * seen >= {quality_rules.LOWER} * total) AS down
       FROM s GROUP BY level, lang, source, ratio),
-f AS (SELECT *, CASE ratio {' '.join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.FLOOR.items())} END AS least FROM z),
+f AS (SELECT *, CASE ratio {' '.join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.LEAST_SPREAD.items())} END AS least FROM z),
 h AS (SELECT level, lang, source, ratio, total, mid + {quality_rules.SPREADS} * greatest(up - mid, least) AS high,
              CASE WHEN ratio = 'word_length' THEN mid - {quality_rules.SPREADS} * greatest(mid - down, least) END AS low FROM f),
-k AS (SELECT q.r, q.lang, q.source, u.ratio AS ratio, u.x AS x FROM (SELECT r, lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.FLOOR)}]) AS u FROM q) q),
+k AS (SELECT q.r, q.lang, q.source, u.ratio AS ratio, u.x AS x FROM (SELECT r, lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.LEAST_SPREAD)}]) AS u FROM q) q),
 j AS (SELECT k.r, bool_or(coalesce(k.x > CASE WHEN o.total >= {quality_rules.LEAST_GROUP} THEN o.high WHEN p.total >= {quality_rules.LEAST_GROUP} THEN p.high ELSE a.high END, false)
                        OR coalesce(k.x < CASE WHEN o.total >= {quality_rules.LEAST_GROUP} THEN o.low WHEN p.total >= {quality_rules.LEAST_GROUP} THEN p.low ELSE a.low END, false)) AS beyond
       FROM k LEFT JOIN h o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM k.lang AND o.source IS NOT DISTINCT FROM k.source AND o.ratio = k.ratio
@@ -109,6 +109,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN k ON k.r = d.r
 """
 
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM d),
+n AS (SELECT r, doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT r, unnest(sh) AS g FROM s WHERE doc_id IS NOT NULL),
+c AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x.doc_id AS u, y.doc_id AS v FROM c JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * c >= 80 * (x.n + y.n - c)),
+k AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach AS (SELECT doc_id AS d, doc_id AS m FROM n WHERE doc_id IS NOT NULL UNION SELECT k.v, reach.m FROM reach JOIN k ON k.u = reach.d),
+o AS (SELECT d, min(m) AS m FROM reach GROUP BY d)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(o.m, n.doc_id) AS component_id, coalesce(n.doc_id = o.m, true) AS kept FROM n LEFT JOIN o ON o.d = n.doc_id
+"""
+
 OP9 = f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= {warc.LEAST_REVISIT} GROUP BY h)
@@ -132,4 +145,4 @@ def oracle_sql() -> dict[str, str]:
     rest = f"n % {warc.CHUNK}"
     block = f"({head} + n + (n // {warc.CHUNK}) * {len('%x' % warc.CHUNK) + 4} + CASE WHEN {rest} > 0 THEN length(format('{{:x}}', {rest})) + 4 ELSE 0 END + 5)"
     segments = f"CAST(ceil({block} / {warc.SEGMENT}.0) AS INTEGER)"
-    return {"op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op9_warc": OP9.replace("{segments}", segments), "op10_line_dedup": OP10}
+    return {"op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op6_minhash": OP6, "op9_warc": OP9.replace("{segments}", segments), "op10_line_dedup": OP10}

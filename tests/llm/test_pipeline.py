@@ -42,10 +42,10 @@ def kept_by_rules(rows):
 
     def beyond(lang, source, ratios):
         key = next((k for k in ((0, lang, source), (1, lang)) if len(groups[k]) >= quality_rules.LEAST_GROUP), (2,))
-        for i, (name, floor) in enumerate(quality_rules.FLOOR.items()):
+        for i, (name, floor) in enumerate(quality_rules.LEAST_SPREAD.items()):
             if groups[key]:
                 values = [r[i] for r in groups[key]]
-                mid, up, down = (quantile(values, p) for p in (50, 95, 5))
+                mid, up, down = (quantile(values, p) for p in (50, 75, 25))
                 if ratios[i] > mid + quality_rules.SPREADS * max(up - mid, floor):
                     return True
                 if name in quality_rules.TWO_SIDED and ratios[i] < mid - quality_rules.SPREADS * max(mid - down, floor):

@@ -24,3 +24,6 @@ def test_junk_leaves_its_group(spark):
     assert not any(x["base_failed"] for x in got.values())
     assert {d for d, x in got.items() if x["kept"]} == {d for d, *_ in clean}
     assert got[602]["repeat_share"] < 500 and got[600]["word_length"] < 350
+    counts = quality_rules.rejects(spark.createDataFrame(rows, SCHEMA)).first()
+    assert counts["n"] == counts["passed"] == len(rows)
+    assert counts["symbol_share"] == 50 and counts["word_length"] >= 2 and counts["repeat_share"] >= 1 and counts["dup_line_share"] == 1
