@@ -246,10 +246,10 @@ def score_documents(docs: DataFrame, held_out=None, block_chars: int = BLOCK_CHA
 
     by_block = laid.groupBy("block")
     asked = by_block.applyInPandas(ask, PART)
-    # laid out like the text at once, so that both uses read the same exchange
-    answered = asked.repartition(2 * shards, "shard").groupBy("shard").applyInPandas(answer, ANSWER).repartition(blocks, "block")
+    # laid out like the text at once, so that both uses read the same exchange; four partitions a shard, so few shards share one
+    answered = asked.repartition(8 * shards, "shard").groupBy("shard").applyInPandas(answer, ANSWER).repartition(blocks, "block")
     shared = by_block.cogroup(answered.groupBy("block")).applyInPandas(spread, PART)
-    stats = shared.repartition(shards, "shard").groupBy("shard").applyInPandas(summed, ANSWER).repartition(blocks, "block")
+    stats = shared.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(summed, ANSWER).repartition(blocks, "block")
     answers = answered.unionByName(stats)
     # one row of sums for each of the three kinds of shard, given to every block
     share = answers.groupBy("shard").agg(F.first("totals").alias("totals")).select(F.coalesce(F.floor(F.col("shard") / shards), F.lit(0)).alias("kind"), F.posexplode("totals"))

@@ -163,8 +163,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, bl
 
     written = materialize(docs.select(id_text(), "text").mapInPandas(split, row), "pretokens")
     words = written.where("shard is not null").select("shard", "block", "words", "places")
-    # each exchange has as many partitions as it has shards or blocks, whatever the session's number is
-    answers = words.repartition(shards, "shard").groupBy("shard").applyInPandas(answer, "block long, n long, places binary, pieces binary").repartition(blocks, "block")
+    # each exchange has its own number of partitions, whatever the session's is; several a shard, so few shards share one
+    answers = words.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(answer, "block long, n long, places binary, pieces binary").repartition(blocks, "block")
     frequencies = written.where("shard is null").select("block", "doc_id", "n_bytes", "n_special", "places", "counts", "n_distinct").repartition(blocks, "block")
     out = frequencies.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total_up, "doc_id string, n_bytes long, n_tokens long, over_limit boolean")
     return id_again(out, kind)
