@@ -638,3 +638,72 @@ def self_retrieval(spark, d):
     cases = V.self_retrieval_cases(docs, 20)
     hits = V.search_batch(cases.select("query_id", "query"), docs, V.token_postings(docs), V.hash_vectors(docs), 5)
     return E.ranking_report(V.self_retrieval_outcomes(cases, hits), ["dataset", "mode"])
+
+
+CALL_OUT = """((regexp_replace({x}, '[^0-9]', '', 'g') <> '' AND length(regexp_replace({x}, '[^0-9]', '', 'g')) >= 3 AND length(regexp_replace(regexp_replace({x}, '[\\s]+', '', 'g'), '[0-9A-Za-z,，.。:：;；、/\\-_\\[\\]()（）号第零一二三四五六七八九十百千万]+', '', 'g')) <= greatest(1.0, 0.2 * length(regexp_replace({x}, '[\\s]+', '', 'g'))))
+  OR (length(regexp_replace({x}, '[^零一二三四五六七八九十百千万]', '', 'g')) >= 4 AND length({x}) <= 30))"""
+SAID = "trim(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g'))"
+
+
+@query(f""", t AS (SELECT *, {SAID} AS x FROM segments)
+SELECT file_id, seg_idx, length(x) >= 4 AS indexable, length(regexp_replace(text, '[^一-鿿]', '', 'g')) >= 8 OR len(regexp_extract_all(text, '[A-Za-z]+')) >= 4 AS informative, {CALL_OUT.format(x='x')} AS call_out,
+  coalesce(speaker = 'user', false) AS is_user, seg_idx % 3 = 0 AS asks, contains(lower(text), 'the') AND contains(lower(text), 'is') OR contains(lower(text), 'zqj') AS relevant FROM t""", "segments")
+def segment_predicates(spark, d):
+    seg = segments(spark, d).withColumn("intent", F.when(F.col("seg_idx") % 3 == 0, F.array(F.lit(" Question "))).otherwise(F.array(F.lit("陈述"))))
+    groups = F.array(F.array(F.lit("THE"), F.lit("is")), F.array(F.lit("zqj")))
+    return seg.select("file_id", "seg_idx", P.indexable(F.col("text")).alias("indexable"), P.informative("a query that is long", F.col("text")).alias("informative"), P.call_out(F.col("text")).alias("call_out"), P.is_speaker("user").alias("is_user"), P.intent_any(["ask"]).alias("asks"), P.relevant(groups, F.col("text")).alias("relevant"))
+
+
+@query(f""", t AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\s]+'), lambda w: w <> '') AS w, lead(text, 1, '') OVER (PARTITION BY file_id ORDER BY seg_idx) AS nx, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[0-9]+') AS k FROM segments)
+SELECT file_id, seg_idx, array_to_string(w[1:least(8, greatest(3, len(w) // 2))], ' ') AS partial_en, substring(text, 1, least(18, greatest(6, length(text) // 2))) AS partial_zh, {JOINED.format(a='text', b='nx')} AS joined,
+  lpad(CAST(start_ms // 60000 AS VARCHAR), greatest(2, length(CAST(start_ms // 60000 AS VARCHAR)))::INT, '0') || ':' || lpad(CAST(start_ms % 60000 // 1000 AS VARCHAR), 2, '0') AS stamp,
+  coalesce(list_min(list_filter(range(0, len(k) - 1), lambda i: k[i + 1] = k[len(k) - 1] AND k[i + 2] = k[len(k)])), -1) AS place, len(list_distinct(k)) AS n_distinct FROM t""", "segments")
+def segment_scalars(spark, d):
+    nx = F.lead("text", 1, "").over(W.partitionBy("file_id").orderBy("seg_idx"))
+    seg = segments(spark, d).withColumn("nx", nx).withColumn("k", T.english_tokens(F.col("text")))
+    last = F.slice("k", F.greatest(F.size("k") - 1, F.lit(1)), 2)
+    place = F.when(F.size("k") >= 2, T.subsequence_at(F.col("k"), last)).otherwise(-1)
+    return seg.select("file_id", "seg_idx", T.partial_query(F.col("text")).alias("partial_en"), T.partial_query(F.col("text"), "zh").alias("partial_zh"), T.concat_turn_text(F.col("text"), F.col("nx")).alias("joined"), T.stamp(F.col("start_ms") / 1000).alias("stamp"), place.alias("place"), F.size(T.ordered_distinct(F.col("k"))).alias("n_distinct"))
+
+
+@query(f""", c AS (SELECT *, CASE WHEN seg_idx % 3 = 0 THEN regexp_replace(text, '[0-9]', '7', 'g') WHEN seg_idx % 3 = 1 THEN upper(text) ELSE '' END AS said FROM segments),
+t AS (SELECT *, {SAID} AS x, {SAID.replace('text', 'said')} AS y FROM c)
+SELECT file_id, seg_idx, y <> '' AND CASE WHEN {CALL_OUT.format(x='x')} THEN regexp_replace(x, '[\\s,，.。;；:：、]+', '', 'g') = regexp_replace(y, '[\\s,，.。;；:：、]+', '', 'g')
+  ELSE len(list_filter(regexp_extract_all(x, '[A-Za-z]?[0-9]+(?:[-_][0-9]+)?'), lambda k: NOT list_contains(regexp_extract_all(y, '[A-Za-z]?[0-9]+(?:[-_][0-9]+)?'), k))) = 0 END AS accepted FROM t""", "segments")
+def accepted_corrections(spark, d):
+    said = F.when(F.col("seg_idx") % 3 == 0, F.regexp_replace("text", "[0-9]", "7")).when(F.col("seg_idx") % 3 == 1, F.upper("text")).otherwise("")
+    return segments(spark, d).select("file_id", "seg_idx", P.accept_correction(F.col("text"), said).alias("accepted"))
+
+
+@query(""", r AS (SELECT file_id, seg_idx, CASE WHEN seg_idx % 4 = 0 THEN text || '!' ELSE text END AS text, speaker, start_ms + 30 AS start_ms FROM segments),
+c AS (SELECT text, speaker, round(start_ms / 100.0) AS t, max((file_id, seg_idx)) AS m FROM segments GROUP BY ALL)
+SELECT r.file_id, r.seg_idx, m[1] AS found_file, m[2] AS found_idx FROM r LEFT JOIN c ON c.text = r.text AND c.speaker = r.speaker AND c.t = round(r.start_ms / 100.0)""", "segments")
+def lookup_results(spark, d):
+    seg = segments(spark, d)
+    results = seg.withColumn("text", F.when(F.col("seg_idx") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("start_ms", F.col("start_ms") + 30)
+    return R.lookup_results(results, seg).select("file_id", "seg_idx", "found_file", "found_idx")
+
+
+@query(""", l AS (SELECT *, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS line FROM segments)
+SELECT file_id, seg_idx, CASE WHEN seg_idx % 5 = 0 AND line <> 'edited text' THEN 'edited text' ELSE text END AS text, CASE WHEN seg_idx % 5 = 1 THEN 'Guest' ELSE speaker END AS speaker, CASE WHEN seg_idx % 5 = 0 AND line <> 'edited text' THEN true END AS manual_edited,
+  CASE WHEN seg_idx % 5 = 0 AND line <> 'edited text' THEN text END AS text_original_asr, CASE WHEN seg_idx % 5 = 1 THEN speaker END AS speaker_original_manual FROM l""", "segments")
+def manual_edits(spark, d):
+    seg = segments(spark, d)
+    text = F.when(F.col("seg_idx") % 5 == 0, "edited text").otherwise(F.col("text"))
+    edited = seg.withColumn("text", text).withColumn("speaker", F.when(F.col("seg_idx") % 5 == 1, "Guest").otherwise(F.col("speaker")))
+    out = R.apply_edits(seg, R.edit_lines(edited).select("line"))
+    return out.select("file_id", "seg_idx", "text", "speaker", "manual_edited", "text_original_asr", "speaker_original_manual")
+
+
+@query(""", f AS (SELECT *, CASE WHEN seg_idx % 3 = 0 THEN 'same' ELSE text END AS t FROM segments), g AS (SELECT *, length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 8 OR len(regexp_extract_all(t, '[A-Za-z]+')) >= 4 AS good FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY good, file_id, t, round(start_ms / 1000000.0) ORDER BY seg_idx) AS n FROM g)
+SELECT * FROM (SELECT file_id AS query_id, seg_idx, row_number() OVER (PARTITION BY file_id ORDER BY good DESC, seg_idx) AS place FROM k WHERE good OR n = 1) x WHERE place <= 4""", "segments")
+def display_selection(spark, d):
+    seg = segments(spark, d).withColumn("query_id", F.col("file_id")).withColumn("rank", F.col("seg_idx") + 1).withColumn("text", F.when(F.col("seg_idx") % 3 == 0, "same").otherwise(F.col("text")))
+    # starts to the nearest 1,000 s, so that repeats are there to drop
+    return V.display_selection(seg.withColumn("start_ms", F.round(F.col("start_ms") / 1000000.0).cast("long") * 1000000), "a query that is long", 4).select("query_id", "seg_idx", "place")
+
+
+@query(""" SELECT seg_idx + 1000 * file_id AS doc_id, row_number() OVER (ORDER BY 1000 * file_id + seg_idx) AS rank FROM segments WHERE least(end_ms, 60000) > greatest(start_ms, 20000)""", "segments")
+def time_list(spark, d):
+    return V.in_order(indexed(spark, d), P.overlaps_range(20_000, 60_000)).select("doc_id", "rank")

@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import strip
 
-SEGMENT = (
-    "start DOUBLE, `end` DOUBLE, speaker STRING, text STRING, speaker_original STRING, text_before_llm STRING, correction_note STRING, intent ARRAY<STRING>, phase STRING, avg_logprob DOUBLE, no_speech_prob DOUBLE,"
-    " playback_start DOUBLE, playback_end DOUBLE, start_asr_raw DOUBLE, low_confidence BOOLEAN, low_confidence_reasons ARRAY<STRING>, manual_edited BOOLEAN, manual_speaker_edited BOOLEAN"
-)
-RESULT = f"file STRING, num_speakers INT, timing MAP<STRING, DOUBLE>, segments ARRAY<STRUCT<{', '.join(c.strip().replace(' ', ': ', 1) for c in re.split(r',(?![^<]*>)', SEGMENT))}>>"
+#: columns of a segment, name -> type
+SEGMENT = {
+    "start": "double", "end": "double", "speaker": "string", "text": "string", "speaker_original": "string", "text_before_llm": "string", "correction_note": "string", "intent": "array<string>", "phase": "string",
+    "avg_logprob": "double", "no_speech_prob": "double", "speech_overlap_s": "double", "speech_overlap_ratio": "double", "playback_start": "double", "playback_end": "double", "start_asr_raw": "double", "start_alignment_raw": "double",
+    "low_confidence": "boolean", "low_confidence_reasons": "array<string>", "consistency_note": "string", "boundary_prefix_repaired": "boolean", "boundary_prefix_source": "struct<window_start:double,window_end:double,text:string>",
+    "manual_edited": "boolean", "manual_speaker_edited": "boolean", "speaker_original_manual": "string", "text_original_asr": "string",
+}
+SUMMARY = "struct<topic:string,summary:string,key_points:array<string>,decisions:array<string>,action_items:array<string>,participants:array<string>>"
+RESULT = {"file": "string", "num_speakers": "int", "timing": "map<string,double>", "meeting_summary": SUMMARY, "segments": f"array<struct<{','.join(f'`{k}`:{v}' for k, v in SEGMENT.items())}>>"}
 AUDIO = ("wav", "flac", "mp3", "m4a", "ogg")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Saved results, bare or wrapped in ``files``, one row a file; unreadable ones are skipped."""
-    schema = f"{RESULT}, files ARRAY<STRUCT<{RESULT.replace('file STRING', 'file: STRING').replace('num_speakers INT', 'num_speakers: INT').replace('timing MAP', 'timing: MAP').replace('segments ARRAY', 'segments: ARRAY')}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    whole = ", ".join(f"`{k}` {v}" for k, v in RESULT.items()) + f", files array<struct<{','.join(f'`{k}`:{v}' for k, v in RESULT.items())}>>"
+    raw = spark.read.schema(whole).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     raw = raw.where(~F.col("_metadata.file_name").startswith("manual_corrected"))
-    own = F.struct("file", "num_speakers", "timing", "segments")
-    return raw.select(F.explode(F.coalesce("files", F.array(own))).alias("r")).select("r.*").where(F.size("segments") > 0)
+    return raw.select(F.explode(F.coalesce("files", F.array(F.struct(*RESULT)))).alias("r")).select("r.*").where(F.size("segments") > 0)
 
 
 def explode_segments(results: DataFrame, dataset: str = "") -> DataFrame:
@@ -137,6 +140,15 @@ def write_corrected(results: DataFrame, path: str) -> None:
     files.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_results_json(results: DataFrame, path: str) -> None:
+    """Results as JSON, a folder a file name; a file written again replaces its own folder only.
+
+    The file's name stands in the JSON too, so a folder can be read by :func:`read_results`.
+    """
+    named = results.withColumn("name", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"[^\w.-]", "_"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results by file; a file written again replaces its own partition only."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)

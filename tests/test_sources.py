@@ -208,3 +208,38 @@ def test_textgrids_by_line(spark, tmp_path):
     (tmp_path / "a.TextGrid").write_text(LONG)
     got = sorted(tuple(r) for r in transcripts.read_textgrids(spark, f"file://{tmp_path}").collect())
     assert [(f, s, e) for f, _, s, e, _ in got] == [("a.TextGrid", 0.0, 1.5), ("a.TextGrid", 1.5, 4.0), ("a.TextGrid", 2.0, 3.5)]
+
+
+def test_saved_results(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    result = {"file": "a b.wav", "num_speakers": 1, "timing": {"asr": 1.5}, "meeting_summary": {"topic": "t", "key_points": ["k"]}, "segments": [{"start": 0.0, "end": 1.0, "text": "one two", "boundary_prefix_source": {"window_start": 0.5, "text": "x"}}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps({"files": [result]}))
+    read = transcripts.read_results(spark, f"{path}/in")
+    transcripts.write_results_json(read, f"{path}/out")
+    transcripts.write_results_json(read.withColumn("num_speakers", F.lit(2)), f"{path}/out")
+    again = transcripts.read_results(spark, f"{path}/out").collect()
+    assert len(again) == 1 and again[0]["num_speakers"] == 2 and again[0]["meeting_summary"]["topic"] == "t" and again[0]["segments"][0]["boundary_prefix_source"]["text"] == "x"
+
+
+def test_batches(spark, tmp_path):
+    from parlance.operators import batch
+
+    path = f"file://{tmp_path}/state"
+    files = spark.createDataFrame([(f"f{k}",) for k in range(5)], "file_id string")
+    none = spark.createDataFrame([], batch.STATE)
+    outputs = spark.createDataFrame([("f1",)], "file_id string")
+    first = batch.next_batch(files, none, outputs, "d", 2)
+    assert [r["file_id"] for r in first.orderBy("file_id").collect()] == ["f0", "f2"]
+    written = []
+    process = lambda b: b.withColumn("problem", F.when(F.col("file_id") == "f2", "bad"))
+    batch.run_batch(spark, first, "d", process, lambda done: written.extend(r["file_id"] for r in done.collect()), path)
+    state = spark.read.parquet(path)
+    assert written == ["f0"] and {(r["file_id"], r["failed"], r["error"]) for r in state.collect()} == {("f0", False, None), ("f2", True, "bad")}
+    assert [r["file_id"] for r in batch.next_batch(files, state, outputs, "d", 9).orderBy("file_id").collect()] == ["f2", "f3", "f4"]
+
+    def broken(b):
+        raise RuntimeError("no model")
+
+    batch.run_batch(spark, files.where("file_id = 'f3'"), "d", broken, lambda done: None, path)
+    assert ("f3", True, "no model") in {(r["file_id"], r["failed"], r["error"]) for r in spark.read.parquet(path).collect()}
