@@ -83,9 +83,16 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
+    for_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def for_session(spark: SparkSession, path: str) -> None:
+    """A written folder that is still to be read goes with the driver, if nothing has deleted it before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def id_text(column: str = "doc_id") -> Column:
     """The id as a string: pandas would turn whole numbers beside a null into floats and round them."""
     return F.col(column).cast("string").alias(column)

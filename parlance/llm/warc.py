@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import id_again, id_text, shared_path
+from parlance.llm.common import for_session, id_again, id_text, shared_path
 
 LEAST_REVISIT = 100
 SEGMENT = 32_768
@@ -220,4 +220,5 @@ def archive_and_read(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back."""
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages.select("page_id", "url", "html"), path, segment)
+    for_session(pages.sparkSession, path)
     return read_archives(pages.sparkSession, path)
