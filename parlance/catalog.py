@@ -320,7 +320,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 @query("WITH " + SPARSE + " SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10")
 def sparse_topk(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return V.sparse_topk(q, V.token_postings(table(spark, d, "documents")), 10).select("query_id", "doc_id", "score", "rank")
+    # a common token joins a query with nearly every document: tasks keep their own best instead of sending all pairs
+    return V.whole_text_topk(q, table(spark, d, "documents"), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("""SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'the apache license') THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END AS score FROM documents) x
