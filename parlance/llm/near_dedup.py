@@ -235,7 +235,8 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, bands: int, rows:
     own = F.xxhash64("node")
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.bit_xor(own).alias("x"), F.count("*").alias("k")).where("k > 1")
     shared = shared.groupBy("hub", "x", "k").agg(F.min("bucket").alias("bucket")).select("bucket", "hub")
-    placed = materialize(placed.join(shared, "bucket"), "buckets")
+    # merged whatever the sizes, as in full_sets: the plan is the same for every input
+    placed = materialize(placed.join(shared.hint("merge"), "bucket"), "buckets")
     met = materialize(classes.drop("bands").join(placed.select("node").distinct(), "node", "left_semi"), "met")
 
     sets = full_sets(docs, met, size)
