@@ -234,17 +234,6 @@ def fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None) -
     return wide.withColumn("score", score).withColumn("rank", F.row_number().over(w)).drop("first")
 
 
-def in_index_order(docs: DataFrame, queries: DataFrame, name: str, k: int | None = None) -> DataFrame:
-    """A structured dimension's list for each query that asks for it: every document in index order.
-
-    Rank is a document's place in the index, so it is computed once (:func:`positions`) and joined to
-    the queries that use it; with ``k`` only the first k places.
-    """
-    placed = positions(docs)
-    placed = placed if k is None else placed.where(F.col("rank") <= k)
-    return queries.where(F.col(name).isNotNull()).select("query_id").join(placed, F.lit(True))
-
-
 def positions(docs: DataFrame) -> DataFrame:
     """doc_id, rank (from 1) in order of id: ranges are counted first, so no task ranks the whole corpus."""
     ordered = docs.select("doc_id").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
@@ -254,6 +243,16 @@ def positions(docs: DataFrame) -> DataFrame:
     return own.join(F.broadcast(before.select("part", "before")), "part").select("doc_id", (F.col("own") + F.col("before")).cast("int").alias("rank"))
 
 
+#: the two other lists hold 2 top_k each, so so many times top_k leave top_k documents that are in neither
+BEYOND = 5
+SMALL_QUERIES = 100_000
+
+
+def small(queries: DataFrame) -> bool:
+    """Whether a table of queries may be sent to every task."""
+    return queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+
+
 def variants_of(rewritten: DataFrame) -> DataFrame:
     """query_id, variant (0 for the query itself), query of a rewritten batch."""
     return rewritten.select("query_id", F.posexplode("variants").alias("variant", "query"))
@@ -282,8 +281,9 @@ def search_batch(queries: DataFrame, segments: DataFrame, postings: DataFrame, v
     meaning and by keyword are fused with the structured ones; constraints then act on the fused list, so fewer
     than ``top_k`` may return.  Adds score, rank, rank_<list> and the rewritten query.
 
-    A structured list holds every document, so for constrained queries only the documents that meet the
-    constraint are fused: others cannot be returned.  Their places in the index are those in the whole of it.
+    A structured list holds every document in index order, so of the documents that meet a query's constraints
+    and stand in no other list the earliest score best: those within the first ``BEYOND * top_k`` places that
+    meet them, and those in the other lists, hold all that can be returned.
     """
     from parlance.functions.rewriting import rewrite_batch
 
@@ -300,12 +300,15 @@ def search_batch(queries: DataFrame, segments: DataFrame, postings: DataFrame, v
     meets = meets & (F.col("q_intent").isNull() | has)
     free = limits.where("q_speaker is null and q_start is null and q_intent is null").select("query_id")
     tied = limits.join(free, "query_id", "left_anti")
-    place = positions(segments)
-    # the documents that a constrained query may return, with their place in the index
-    facts = segments.select("doc_id", "speaker", "start_ms", "end_ms", "intent")
-    allowed = facts.join(tied, meets).select("query_id", "doc_id", "q_speaker", "q_start", "q_intent").join(place, "doc_id")
+    facts = segments.select("doc_id", "speaker", "start_ms", "end_ms", "intent").join(positions(segments).withColumnRenamed("rank", "place"), "doc_id")
+    wanted = ["query_id", "doc_id", "place", "q_speaker", "q_start", "q_intent"]
+    listed = lists["semantic"].select("query_id", "doc_id").union(lists["keyword"].select("query_id", "doc_id")).distinct()
+    by_list = listed.join(tied, "query_id").join(facts, "doc_id").where(meets).select(*wanted)
+    # a task keeps the first places a query before the shuffle (window group limit)
+    by_place = ranked(facts.join(F.broadcast(tied) if small(tied) else tied, meets), BEYOND * top_k, "place").select(*wanted)
+    allowed = by_list.union(by_place).distinct()
     for name, column in (("speaker", "q_speaker"), ("time", "q_start"), ("intent", "q_intent")):
-        lists[name] = allowed.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.lit(1.0).alias("score"), "rank")
+        lists[name] = allowed.where(F.col(column).isNotNull()).select("query_id", "doc_id", F.lit(1.0).alias("score"), F.col("place").alias("rank"))
     fused = fuse(lists, weights)
     kept = fused.join(free, "query_id", "left_semi").unionByName(fused.join(allowed.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")).withColumnRenamed("rank", "fused_rank")
     found = ranked(kept, top_k, "fused_rank").drop("fused_rank")
@@ -320,12 +323,16 @@ def search(docs: DataFrame, semantic: DataFrame, keyword: DataFrame, top_k: int,
     """
     from parlance.operators.predicates import intent_any, is_speaker, overlaps_range
 
-    lists, keep = {"semantic": semantic, "keyword": keyword}, F.lit(True)
-    queries = semantic.select("query_id").union(keyword.select("query_id")).distinct().withColumn("one", F.lit(1))
+    lists, keep, names = {"semantic": semantic, "keyword": keyword}, F.lit(True), []
     for name, given, condition in (("speaker", speaker, is_speaker), ("time", time_range, lambda r: overlaps_range(*r)), ("intent", intent, intent_any)):
         if given is not None:
-            keep = keep & condition(given)
-            lists[name] = in_index_order(docs, queries, "one")
+            keep, names = keep & condition(given), [*names, name]
+    if names:
+        listed = semantic.select("query_id", "doc_id").union(keyword.select("query_id", "doc_id")).distinct()
+        allowed = positions(docs).join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
+        first = allowed.orderBy("rank").limit(BEYOND * top_k)  # see search_batch
+        both = listed.join(allowed, "doc_id").select("query_id", "doc_id", "rank").union(listed.select("query_id").distinct().crossJoin(F.broadcast(first)).select("query_id", "doc_id", "rank")).distinct()
+        lists |= {name: both.withColumn("score", F.lit(1.0)) for name in names}
     fused = fuse(lists).withColumnRenamed("rank", "fused_rank")
     found = fused.join(docs, "doc_id").where(keep)
     return ranked(found.withColumn("score", F.round("score", 6)), top_k, "fused_rank").drop("fused_rank")

@@ -149,3 +149,18 @@ def test_relevance(spark):
     docs = spark.createDataFrame(corpus(8), DOC)
     case = {"dataset": "d", "speaker": "SPEAKER_00", "time_range": (0, 3500), "intent": ["提问"], "any_term_groups": [[""]]}
     assert [r["doc_id"] for r in docs.where(predicates.relevant_to(case)).collect()] == [0]
+
+
+def test_search_with_constraints(spark, index):
+    docs, path = index
+    rows, tables = corpus(), retrieval.Index(spark, path).tables
+    asked = spark.createDataFrame([(0, "rent budget room")], "query_id long, query string")
+    keyword = retrieval.sparse_topk(asked, tables["postings"], 8)
+    semantic = retrieval.dense_topk(retrieval.hash_vectors(asked.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))).withColumnRenamed("doc_id", "query_id"), tables["vectors"], 8)
+    ranks = [{r["doc_id"]: r["rank"] for r in x.collect()} for x in (semantic, keyword)] + [{r[0]: k for k, r in enumerate(rows, 1)}] * 2
+    score = {d: sum(w / (60 + r[d]) for w, r in zip((1.0, 1.0, 1.5, 1.2), ranks, strict=True) if d in r) for d in range(60)}
+    right = [d for d in sorted(score, key=lambda d: (-score[d], d not in ranks[0], d not in ranks[1], d)) if rows[d][4] == "SPEAKER_01" and rows[d][7] == ["disagree"]]
+    got = retrieval.search(docs, semantic, keyword, 4, speaker="SPEAKER_01", intent=["反对"]).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == right[:4]
+    free = retrieval.search(docs, semantic, keyword, 4).orderBy("rank").collect()
+    assert len(free) == 4 and {r["doc_id"] for r in free} <= set(ranks[0]) | set(ranks[1])
