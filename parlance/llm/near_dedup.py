@@ -367,4 +367,5 @@ def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without an id stay."""
     gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # merged whatever the sizes, as in full_sets
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
