@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import byte_bpe, decontaminate, line_dedup, lm_scoring, near_dedup, pii, quality_rules, substring_dedup, token_counts, warc
+from parlance.llm import byte_bpe, decontaminate, line_dedup, lm_scoring, near_dedup, pii, prefix_trie, quality_rules, resampling, substring_dedup, token_counts, toxicity, warc
 from parlance.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op2_pii, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_minhash, op7_token_counts, op8_lm_scoring, op9_warc, op10_line_dedup)
+    found = (op1_quality_rules, op2_pii, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_minhash, op7_token_counts, op8_lm_scoring, op9_warc, op10_line_dedup, op11_conversation_trie, op12_importance_resampling, op13_toxicity)
     return {q.__name__: q for q in found}
 
 
@@ -139,10 +151,48 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 """
 
 
+#: unsigned CRC-32 of a text's UTF-8 bytes, by a table made of eight steps a byte
+CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || [CAST(k AS BIGINT) FOR k IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 1 + octet_length(encode({x}))), lambda i: ('0x' || substring(hex(encode({x})), CAST(2 * i - 1 AS BIGINT), 2))::BIGINT), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"
+
+OP11 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'l': label, 'c': chars}} ORDER BY turn NULLS FIRST, label) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, {CRC.format(x='CAST(conv_id AS VARCHAR)')} % 6 AS h FROM o, crc),
+p AS (SELECT h.conv_id, coalesce(f.own[1:h.h], []) || h.own[h.h + 1:] AS path FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % {prefix_trie.FAMILY}),
+b AS (SELECT conv_id, len(path) AS size, unnest(range(len(path) + 1)) AS depth, path FROM p),
+k AS (SELECT conv_id, size, depth, array_to_string(list_transform(path[1:depth], lambda x: x.l), ' ') AS prefix, array_to_string(list_transform(path[1:depth - 1], lambda x: x.l), ' ') AS above, CASE WHEN depth > 0 THEN path[depth].c ELSE 0 END AS chars FROM b),
+n AS (SELECT depth, prefix, CASE WHEN depth > 0 THEN any_value(above) END AS above, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends FROM k GROUP BY depth, prefix),
+c AS (SELECT above, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(c.n, 0) AS kids FROM n LEFT JOIN c ON c.above = n.prefix AND c.depth = n.depth),
+s AS (SELECT a.depth, a.prefix, count(*) FILTER (d.kids = 0) AS leaves, sum((d.n - 1) * d.chars) AS saved FROM m a JOIN m d ON d.depth >= a.depth AND (a.depth = 0 OR d.prefix = a.prefix OR starts_with(d.prefix, a.prefix || ' ')) GROUP BY ALL)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN s ON s.depth = m.depth AND s.prefix = m.prefix LEFT JOIN n u ON u.depth = m.depth - 1 AND u.prefix = m.above
+"""
+
+OP12 = f"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+x AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
+f AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+g AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM x) GROUP BY ALL),
+v AS (SELECT w, {CRC.format(x='w')} % {resampling.BUCKETS} AS b FROM (SELECT w FROM f UNION SELECT w FROM g) u, crc),
+s AS (SELECT b, sum(n) AS n FROM f JOIN v USING (w) GROUP BY b), t AS (SELECT b, sum(n) AS n FROM g JOIN v USING (w) GROUP BY b),
+z AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS s, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS t),
+k AS (SELECT s.b, floor(1000.0::DOUBLE * ln(((coalesce(t.n, 0)::DOUBLE + 1) * (z.s + {resampling.BUCKETS})) / ((s.n::DOUBLE + 1) * (z.t + {resampling.BUCKETS})))) AS gain FROM s LEFT JOIN t ON t.b = s.b, z),
+q AS (SELECT r, sum(n) AS n, sum(n * gain) AS gain FROM f JOIN v USING (w) JOIN k USING (b) GROUP BY r),
+w AS (SELECT d.r, doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(gain / n), 0) AS BIGINT) AS weight, CAST('0x' || substring(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN q ON q.r = d.r),
+e AS (SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM w),
+y AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM e WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= floor({resampling.PERCENT} * (SELECT count(*) FROM y) / 100) THEN rank END AS rank FROM e LEFT JOIN y USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     head = len(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n")
     # a block: head, per chunk its length in hexadecimal digits and two line breaks, the last chunk
     rest = f"n % {warc.CHUNK}"
     block = f"({head} + n + (n // {warc.CHUNK}) * {len('%x' % warc.CHUNK) + 4} + CASE WHEN {rest} > 0 THEN length(format('{{:x}}', {rest})) + 4 ELSE 0 END + 5)"
     segments = f"CAST(ceil({block} / {warc.SEGMENT}.0) AS INTEGER)"
-    return {"op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op6_minhash": OP6, "op9_warc": OP9.replace("{segments}", segments), "op10_line_dedup": OP10}
+    return {"op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op6_minhash": OP6, "op9_warc": OP9.replace("{segments}", segments), "op10_line_dedup": OP10, "op11_conversation_trie": OP11, "op12_importance_resampling": OP12}
