@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -44,24 +45,25 @@ class Scratch:
     """Tables written to the shared folder inside a ``with`` go at its end, but for those kept.
 
     What is kept goes at the end of the block around it, if there is one.  The tables that go must
-    not be part of a plan that is still to run.
+    not be part of a plan that is still to run.  Blocks nest within a thread; those of other threads are their own.
     """
 
-    open_: list[Scratch] = []
+    innermost: ContextVar[Scratch | None] = ContextVar("innermost", default=None)
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.kept = spark, [], []
 
     def __enter__(self) -> Scratch:
-        Scratch.open_.append(self)
+        self._before = Scratch.innermost.set(self)
         return self
 
     def __exit__(self, *_) -> None:
-        Scratch.open_.remove(self)
+        Scratch.innermost.reset(self._before)
         for path in self.paths:
             discard(self.spark, path)
-        if Scratch.open_:
-            Scratch.open_[-1].paths += self.kept
+        around = Scratch.innermost.get()
+        if around:
+            around.paths += self.kept
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -73,8 +75,9 @@ def discard(spark: SparkSession, path: str) -> None:
 def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder; ``keep``: it outlives the innermost :class:`Scratch`."""
     path = f"{shared_root(spark)}/parlance/{name}-{uuid.uuid4().hex}"
-    if Scratch.open_:
-        (Scratch.open_[-1].kept if keep else Scratch.open_[-1].paths).append(path)
+    block = Scratch.innermost.get()
+    if block:
+        (block.kept if keep else block.paths).append(path)
     return path
 
 

@@ -10,9 +10,11 @@ order of merging (a task that runs twice gives the same cut-offs) and can be wri
 Sketches of small groups (under ``LEAST_GROUP`` documents) merge into their language's, and small
 languages' into the corpus's.
 
-A document fails if a base rule fails or a ratio lies beyond its fence, median + ``SPREADS`` times
-the spread from the median to the 75 % quantile (25 % for a low fence; at least ``LEAST_SPREAD``): far
-outside what its own source usually has.  A quarter of a group may be junk before the spread takes it in.  A hot source is no burden: sketches are summed before the shuffle, and the
+A group's fence stands where its own tail parts from its body: between the first two neighbouring whole
+percentiles above the 75 % quantile (below the 25 % quantile for a low fence) whose ratio exceeds ``SPREADS``
+times, in logarithms, the spread from the median to that quantile, or one step of the sketch where they
+coincide.  A group whose tail does not part has no such fence.  A document fails if a base rule fails or a
+ratio lies beyond its fence.  A hot source is no burden: sketches are summed before the shuffle, and the
 fences join to per-document numbers, not texts.
 
 Nulls: a null text has no words and fails; null language or source form groups of their own.
@@ -21,6 +23,7 @@ Nulls: a null text has no words and fails; null language or source form groups o
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.llm.common import WORD_BREAK, materialize, text_or_empty
@@ -28,9 +31,8 @@ from parlance.llm.common import WORD_BREAK, materialize, text_or_empty
 SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 7
 LEAST_GROUP = 50
-SPREADS = 6
-#: ratio -> least spread in its own unit; small enough that each fence can be reached by a document that passes the base rules
-LEAST_SPREAD = {"word_length": 25, "symbol_share": 15, "dup_line_share": 60, "repeat_share": 50}
+SPREADS = 5
+RATIOS = ("word_length", "symbol_share", "dup_line_rate", "repeat_share")
 MIDDLE, UPPER, LOWER = 50, 75, 25  # quantiles, in per cent
 #: ratios that fail on either side of their fence
 TWO_SIDED = ("word_length",)
@@ -80,7 +82,7 @@ def ratios(prefix: str = "quality") -> dict[str, Column]:
     return {
         "word_length": (100 * q["word_chars"] / F.greatest(q["words"]["n_words"], F.lit(1))).cast("long"),
         "symbol_share": share(q["n_symbols"], q["word_chars"]),
-        "dup_line_share": share(q["lines"]["n_dup_lines"], q["lines"]["n_lines"]),
+        "dup_line_rate": share(q["lines"]["n_dup_lines"], q["words"]["n_words"]),  # by words: of few lines one is a large share
         "repeat_share": share(q["words"]["n_repeat_words"], q["words"]["n_words"]),
     }
 
@@ -90,32 +92,48 @@ def base_failed(prefix: str = "quality") -> Column:
     return (q["n_words"] < LEAST_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED * q["n_words"])
 
 
+def step(x: Column) -> Column:
+    """The width of the value's cell in the sketch."""
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(x)) - SKETCH_BITS, F.lit(0))).cast("long")
+
+
 def leading_digits(x: Column) -> Column:
     """The value with all but its leading SKETCH_BITS binary digits set to zero."""
-    low = F.greatest(F.length(F.bin(x)) - SKETCH_BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), low).cast("long")
-    return (F.floor(x / unit) * unit).cast("long")
+    return (F.floor(x / step(x)) * step(x)).cast("long")
+
+
+def parted(histogram: DataFrame) -> DataFrame:
+    """g, ratio, total, low, high from a histogram (g, ratio, value, n): where the tails part from the body."""
+    whole = W.partitionBy("g", "ratio")
+    up_to = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    counted = histogram.withColumn("seen", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(whole))
+    # the percentiles that fall into a cell: those over ``before`` up to ``at``
+    counted = counted.withColumn("at", F.floor(100 * F.col("seen") / F.col("total"))).withColumn("before", F.floor(100 * (F.col("seen") - F.col("n")) / F.col("total")))
+    quantile = lambda p: F.min(F.when(F.col("at") >= p, F.col("value"))).over(whole)
+    cut = counted.withColumn("mid", quantile(MIDDLE)).withColumn("up", quantile(UPPER)).withColumn("down", quantile(LOWER))
+    # neighbouring percentiles; where several share a cell it stands once
+    held = cut.where((F.col("at") > F.col("before")) | (F.col("seen") == F.col("n")))
+    ordered = whole.orderBy("value")
+    held = held.withColumn("next", F.lead("value").over(ordered)).withColumn("last", F.lag("value").over(ordered))
+    power = lambda r: r * r * r * r * r  # noqa: E731  SPREADS times
+    ratio = lambda a, b: (1.0 + a) / (1.0 + b)
+    value, mid = F.col("value"), F.col("mid")
+    rises = (F.col("at") >= UPPER) & (1.0 + F.col("next") > (1.0 + value) * power(ratio(F.greatest("up", mid + step(mid)), mid)))
+    falls = (F.col("before") < LOWER) & (value <= F.col("down")) & (1.0 + value > (1.0 + F.col("last")) * power(ratio(mid, F.least("down", F.greatest(mid - step(mid), F.lit(0))))))
+    found = held.groupBy("g", "ratio").agg(F.max("total").alias("total"), F.min_by(F.floor((value + F.col("next")) / 2), F.when(rises, value)).alias("high"), F.max_by(F.floor((value + F.col("last")) / 2), F.when(falls, value)).alias("low"))
+    return found.withColumn("low", F.when(F.col("ratio").isin(*TWO_SIDED), F.col("low")))
 
 
 def fences(measured_docs: DataFrame) -> DataFrame:
-    """lang, source, and per ratio ``<ratio>_low`` and ``<ratio>_high``; every group of the input."""
+    """lang, source, and per ratio ``<ratio>_low`` and ``<ratio>_high`` (null: none); every group of the input."""
     values = F.array(*(F.struct(F.lit(k).alias("ratio"), leading_digits(v).alias("value")) for k, v in ratios().items()))
     sketch = measured_docs.where(~base_failed()).select("lang", "source", F.explode(values).alias("x")).groupBy("lang", "source", "x.ratio", "x.value").agg(F.count("*").alias("n"))
     # merged sketches stand beside their parts, so that small groups have somewhere to turn to
     levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), "lang", "source"), F.struct(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))))
     merged = sketch.select(levels.alias("g"), "ratio", "value", "n").groupBy("g", "ratio", "value").agg(F.sum("n").alias("n"))
-    histogram = merged.groupBy("g", "ratio").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("total"))
-
-    def quantile(percent: int) -> Column:
-        # the least value with at least percent of a hundred of the count at or below it
-        step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNotNull(), acc["at"]).when(100 * (acc["seen"] + x["n"]) >= percent * F.col("total"), x["value"]).alias("at"))
-        return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")), step)["at"]
-
-    floor = F.element_at(F.create_map(*(y for k, v in LEAST_SPREAD.items() for y in (F.lit(k), F.lit(v)))), F.col("ratio"))
-    cut = histogram.select("g", "ratio", "total", quantile(MIDDLE).alias("mid"), quantile(UPPER).alias("up"), quantile(LOWER).alias("down"))
-    cut = cut.select("g", "ratio", "total", (F.col("mid") + SPREADS * F.greatest(F.col("up") - F.col("mid"), floor)).alias("high"), F.when(F.col("ratio").isin(*TWO_SIDED), F.col("mid") - SPREADS * F.greatest(F.col("mid") - F.col("down"), floor)).alias("low"))
-    wide = cut.groupBy("g").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{k}_{side}") for k in LEAST_SPREAD for side in ("low", "high")))
-    names = [f"{k}_{side}" for k in LEAST_SPREAD for side in ("low", "high")]
+    cut = parted(merged)
+    names = [f"{k}_{side}" for k in RATIOS for side in ("low", "high")]
+    wide = cut.groupBy("g").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("ratio") == k, F.col(side))).alias(f"{k}_{side}") for k in RATIOS for side in ("low", "high")))
     whole = F.struct("total", *names)
     at = lambda level, name: wide.where(F.col("g.level") == level).select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), whole.alias(name))
     groups = measured_docs.groupBy("lang", "source").agg(F.count("*").alias("n_group"))

@@ -89,24 +89,25 @@ m AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
       FROM w LEFT JOIN rep ON rep.r = w.r),
 q AS (SELECT *, (n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words) AS base_failed,
              100 * word_chars // greatest(n_words, 1) AS word_length, {quality_rules.SCALE} * n_symbols // greatest(word_chars, 1) AS symbol_share,
-             {quality_rules.SCALE} * n_dup_lines // greatest(n_lines, 1) AS dup_line_share, {quality_rules.SCALE} * n_repeat_words // greatest(n_words, 1) AS repeat_share FROM m),
-v AS (SELECT lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.LEAST_SPREAD)}]) AS u FROM q WHERE NOT base_failed),
+             {quality_rules.SCALE} * n_dup_lines // greatest(n_words, 1) AS dup_line_rate, {quality_rules.SCALE} * n_repeat_words // greatest(n_words, 1) AS repeat_share FROM m),
+v AS (SELECT lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.RATIOS)}]) AS u FROM q WHERE NOT base_failed),
 b AS (SELECT lang, source, u.ratio AS ratio, u.x - u.x % CAST(pow(2, greatest(length(bin(u.x)) - {quality_rules.SKETCH_BITS}, 0)) AS BIGINT) AS x FROM v),
 l AS (SELECT 0 AS level, lang, source, ratio, x FROM b UNION ALL SELECT 1, lang, NULL, ratio, x FROM b UNION ALL SELECT 2, NULL, NULL, ratio, x FROM b),
 c AS (SELECT level, lang, source, ratio, x, count(*) AS n FROM l GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY x) AS seen, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM c),
-z AS (SELECT level, lang, source, ratio, any_value(total) AS total, min(x) FILTER (100 * seen >= {quality_rules.MIDDLE} * total) AS mid, min(x) FILTER (100 * seen >= {quality_rules.UPPER} * total) AS up, min(x) FILTER (100 * seen >= {quality_rules.LOWER} * total) AS down
-      FROM s GROUP BY level, lang, source, ratio),
-f AS (SELECT *, CASE ratio {' '.join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.LEAST_SPREAD.items())} END AS least FROM z),
-h AS (SELECT level, lang, source, ratio, total, mid + {quality_rules.SPREADS} * greatest(up - mid, least) AS high,
-             CASE WHEN ratio = 'word_length' THEN mid - {quality_rules.SPREADS} * greatest(mid - down, least) END AS low FROM f),
-k AS (SELECT q.r, q.lang, q.source, u.ratio AS ratio, u.x AS x FROM (SELECT r, lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.LEAST_SPREAD)}]) AS u FROM q) q),
+a AS (SELECT *, 100 * seen // total AS upto, 100 * (seen - n) // total AS before, CAST(pow(2, greatest(length(bin(x)) - {quality_rules.SKETCH_BITS}, 0)) AS BIGINT) AS step FROM s),
+z AS (SELECT *, min(x) FILTER (upto >= {quality_rules.MIDDLE}) OVER g AS mid, min(x) FILTER (upto >= {quality_rules.UPPER}) OVER g AS up, min(x) FILTER (upto >= {quality_rules.LOWER}) OVER g AS down FROM a WINDOW g AS (PARTITION BY level, lang, source, ratio)),
+y AS (SELECT *, CAST(pow(2, greatest(length(bin(mid)) - {quality_rules.SKETCH_BITS}, 0)) AS BIGINT) AS unit, lead(x) OVER g AS nxt, lag(x) OVER g AS lst FROM z WHERE upto > before OR seen = n WINDOW g AS (PARTITION BY level, lang, source, ratio ORDER BY x)),
+f AS (SELECT *, (1.0::DOUBLE + greatest(up, mid + unit)) / (1.0::DOUBLE + mid) AS ru, (1.0::DOUBLE + mid) / (1.0::DOUBLE + least(down, greatest(mid - unit, 0))) AS rd FROM y),
+h AS (SELECT level, lang, source, ratio, max(total) AS total, arg_min((x + nxt) // 2, x) FILTER (upto >= {quality_rules.UPPER} AND 1.0::DOUBLE + nxt > (1.0::DOUBLE + x) * (ru * ru * ru * ru * ru)) AS high,
+             CASE WHEN ratio = 'word_length' THEN arg_max((x + lst) // 2, x) FILTER (before < {quality_rules.LOWER} AND x <= down AND 1.0::DOUBLE + x > (1.0::DOUBLE + lst) * (rd * rd * rd * rd * rd)) END AS low FROM f GROUP BY level, lang, source, ratio),
+k AS (SELECT q.r, q.lang, q.source, u.ratio AS ratio, u.x AS x FROM (SELECT r, lang, source, unnest([{', '.join(f"{{'ratio': '{k}', 'x': {k}}}" for k in quality_rules.RATIOS)}]) AS u FROM q) q),
 j AS (SELECT k.r, bool_or(coalesce(k.x > CASE WHEN o.total >= {quality_rules.LEAST_GROUP} THEN o.high WHEN p.total >= {quality_rules.LEAST_GROUP} THEN p.high ELSE a.high END, false)
                        OR coalesce(k.x < CASE WHEN o.total >= {quality_rules.LEAST_GROUP} THEN o.low WHEN p.total >= {quality_rules.LEAST_GROUP} THEN p.low ELSE a.low END, false)) AS beyond
       FROM k LEFT JOIN h o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM k.lang AND o.source IS NOT DISTINCT FROM k.source AND o.ratio = k.ratio
              LEFT JOIN h p ON p.level = 1 AND p.lang IS NOT DISTINCT FROM k.lang AND p.ratio = k.ratio
              LEFT JOIN h a ON a.level = 2 AND a.ratio = k.ratio GROUP BY k.r)
-SELECT q.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT beyond) AS kept, word_length, symbol_share, dup_line_share, repeat_share
+SELECT q.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT beyond) AS kept, word_length, symbol_share, dup_line_rate, repeat_share
 FROM q JOIN j ON j.r = q.r
 """
 

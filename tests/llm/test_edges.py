@@ -1,6 +1,7 @@
 """Ids beside nulls, clashing columns, long spans, short items, common q-grams, recall on real rows."""
 
 import random
+import time
 import re
 import time
 from collections import Counter, defaultdict
@@ -178,3 +179,20 @@ def test_components_of_repeated_rows(spark):
     rows = [(5, text, None, None, None)] * 40 + [(3, text, None, None, None)] * 40 + [(9, text + " end", None, None, None)]
     got = Counter(tuple(x) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == components(rows, 5)
+
+
+def test_two_runs_in_one_driver_keep_their_tables(spark):
+    """The one that ends first must not delete what the other still reads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from parlance.llm.common import Scratch, materialize
+
+    def job(rows: int, wait: float) -> int:
+        with Scratch(spark):
+            df = materialize(spark.range(rows), "two-runs")
+            time.sleep(wait)
+            return df.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        slow, fast = pool.submit(job, 1000, 3), pool.submit(job, 10, 0.5)
+        assert (fast.result(), slow.result()) == (10, 1000)

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -24,7 +25,7 @@ def kept_by_rules(rows):
         times = Counter(zip(w, w[1:], w[2:], strict=False))
         again = len({p for i in range(len(w) - 2) if times[w[i], w[i + 1], w[i + 2]] > 1 for p in (i, i + 1, i + 2)})
         chars, symbols = sum(map(len, w)), sum(c in quality_rules.SYMBOLS for c in text)
-        ratios = (100 * chars // max(len(w), 1), 1000 * symbols // max(chars, 1), 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1), 1000 * again // max(len(w), 1))
+        ratios = (100 * chars // max(len(w), 1), 1000 * symbols // max(chars, 1), 1000 * (len(lines) - len(set(lines))) // max(len(w), 1), 1000 * again // max(len(w), 1))
         facts.append((lang, source, ratios, len(w) < 50 or 100 * again > 50 * len(w)))
     groups = defaultdict(list)
     for lang, source, ratios, failed in facts:
@@ -37,19 +38,25 @@ def kept_by_rules(rows):
         return x - x % low
 
     def quantile(values, percent):
-        values = sorted(map(rounded, values))
         return next(x for i, x in enumerate(values, 1) if 100 * i >= percent * len(values))
 
+    def fences(values):
+        values = sorted(map(rounded, values))
+        mid, up, down = (quantile(values, p) for p in (50, 75, 25))
+        step = 1 << max(0, mid.bit_length() - quality_rules.SKETCH_BITS)
+        marks = sorted({quantile(values, p) for p in range(101)})
+        far = lambda high, low: ((1.0 + high) / (1.0 + low)) ** quality_rules.SPREADS
+        rises = [(a + b) // 2 for a, b in pairwise(marks) if a >= up and 1 + b > (1 + a) * far(max(up, mid + step), mid)]
+        falls = [(a + b) // 2 for a, b in pairwise(marks) if b <= down and 1 + b > (1 + a) * far(mid, min(down, max(mid - step, 0)))]
+        return min(rises, default=None), max(falls, default=None)
+
+    limits = {k: [fences([r[i] for r in v]) for i in range(4)] for k, v in groups.items()}
+
     def beyond(lang, source, ratios):
         key = next((k for k in ((0, lang, source), (1, lang)) if len(groups[k]) >= quality_rules.LEAST_GROUP), (2,))
-        for i, (name, floor) in enumerate(quality_rules.LEAST_SPREAD.items()):
-            if groups[key]:
-                values = [r[i] for r in groups[key]]
-                mid, up, down = (quantile(values, p) for p in (50, 75, 25))
-                if ratios[i] > mid + quality_rules.SPREADS * max(up - mid, floor):
-                    return True
-                if name in quality_rules.TWO_SIDED and ratios[i] < mid - quality_rules.SPREADS * max(mid - down, floor):
-                    return True
+        for name, x, (high, low) in zip(quality_rules.RATIOS, ratios, limits.get(key, [(None, None)] * 4), strict=True):
+            if high is not None and x > high or name in quality_rules.TWO_SIDED and low is not None and x < low:
+                return True
         return False
 
     return [i for i, (lang, source, ratios, failed) in enumerate(facts) if not failed and not beyond(lang, source, ratios)]
