@@ -1,9 +1,7 @@
 """Interval joins and what is computed from overlaps.
 
 All times are in one unit (the views use milliseconds).  Every join has an equality key
-(``file_id``) and, on top of it, a time bucket: both sides are dealt to the buckets they touch and a
-pair is kept only in the first bucket that the two share, so a very long file is cut into pieces
-and no pair is doubled.
+(``file_id``) and, on top of it, a time bucket, so a very long file is cut into pieces (``sweep``).
 """
 
 from __future__ import annotations
@@ -12,29 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-UNKNOWN = "SPEAKER_UNKNOWN"
-BUCKET = 600_000
-
-
-def overlap(a_start, a_end, b_start, b_end) -> Column:
-    return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-
+from parlance.operators.sweep import overlap_join
 
-def overlap_join(left: DataFrame, right: DataFrame, pad: int = 0, bucket: int = BUCKET, right_names: dict[str, str] | None = None) -> DataFrame:
-    """Pairs of one file whose intervals overlap by more than nothing, with column ``overlap``.
-
-    ``pad`` widens the right side (its start not below zero).  Right columns other than the key get
-    the prefix ``r_`` unless ``right_names`` says otherwise.
-    """
-    names = {c: f"r_{c}" for c in right.columns if c != "file_id"} | (right_names or {})
-    right = right.select("file_id", *(F.col(c).alias(n) for c, n in names.items()))
-    rs, re = F.greatest(F.col("r_start_ms") - pad, F.lit(0)) if pad else F.col("r_start_ms"), F.col("r_end_ms") + pad
-    touched = lambda s, e: F.sequence(F.floor(s / bucket), F.floor(F.greatest(s, e) / bucket))
-    a = left.withColumn("_bucket", F.explode(touched(F.col("start_ms"), F.col("end_ms"))))
-    b = right.withColumn("_rs", rs).withColumn("_re", re).withColumn("_bucket", F.explode(touched(F.col("_rs"), F.col("_re"))))
-    both = a.join(b, ["file_id", "_bucket"]).withColumn("overlap", overlap(F.col("start_ms"), F.col("end_ms"), F.col("_rs"), F.col("_re")))
-    first = F.greatest(F.floor(F.col("start_ms") / bucket), F.floor(F.col("_rs") / bucket))
-    return both.where((F.col("overlap") > 0) & (F.col("_bucket") == first)).drop("_bucket", "_rs", "_re")
+UNKNOWN = "SPEAKER_UNKNOWN"
 
 
 def best_speaker(overlaps: DataFrame, key: list[str]) -> DataFrame:

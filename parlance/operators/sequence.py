@@ -1,9 +1,7 @@
 """Ordered operators on the segments of a file.
 
 Operators whose rule looks only at neighbours are windows.  Folds, where a row depends on the
-previous *output*, run over the sorted array of an island: files are first cut wherever the fold
-is certain to start afresh (speaker or gap), which keeps islands small, and the fold itself is a
-Catalyst ``aggregate`` over structs.
+previous *output*, are streaming passes with a constant state (``folds``).
 """
 
 from __future__ import annotations
@@ -12,78 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions.text import concat_turn_text, strip, strip_filler_prefix
-
-ORDER = ("start_ms", "end_ms", "seg_idx")
+from parlance.functions.text import strip, strip_filler_prefix
+from parlance.operators.folds import ORDER, Apart, Boundaries, Turns, linear_fold, reach_afresh, turns_afresh
 
 
 def by_file(*more: str):
     return W.partitionBy("file_id", *more).orderBy(*ORDER)
 
 
-def islands(df: DataFrame, breaks: Column, name: str = "island") -> DataFrame:
-    """Numbers runs of rows: a row starts a run where ``breaks`` holds (or is unknown: the first)."""
-    marked = df.withColumn("_new", F.coalesce(breaks, F.lit(True)).cast("int"))
-    return marked.withColumn(name, F.sum("_new").over(by_file().rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-
-
-def fold(df: DataFrame, keys: list[str], fields: list[str], step) -> DataFrame:
-    """Folds each group in order; ``step(kept, x)`` gives the new array of kept structs."""
-    row = F.struct(*(F.col(c) for c in (*ORDER, *(f for f in fields if f not in ORDER))))
-    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = groups.schema["rows"].dataType.simpleString()
-    folded = groups.select(*keys, F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("x"))
-    return folded.select("file_id", *(F.col(f"x.{c}").alias(c) for c in (*ORDER, *(f for f in fields if f not in ORDER))))
-
-
-def replaced(x: Column, **values: Column) -> Column:
-    for k, v in values.items():
-        x = x.withField(k, v)
-    return x
-
-
-def with_last(kept: Column, last: Column) -> Column:
-    return F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(last))
-
-
 # Limits of turns by language (gap, duration, characters of a turn; the same of merged turns), in ms
 TURN_LIMITS = {"en": ((800, 36_000, 420), (1_200, 40_000, 560)), "zh": ((500, 15_000, 80), (1_600, 15_000, 70))}
 
 
-def merge_turns(segments: DataFrame, max_gap: int = 1_600, max_dur: int = 15_000, max_chars: int = 80, joiner=concat_turn_text) -> DataFrame:
+def merge_turns(segments: DataFrame, max_gap: int = 1_600, max_dur: int = 15_000, max_chars: int = 80) -> DataFrame:
     """Neighbours of one speaker merge while gap, duration and length of the joined text allow.
 
     A single character that lasted over a second, followed by a pause over half a second, is noise
     before speech: the merged turn then starts shortly before the second.  A merged turn ends where its
-    last one does, so a gap between neighbours is the gap to the merged turn, and files are cut there.
+    last one does, so a gap between neighbours is the gap to the merged turn, and the fold starts afresh there.
+    Rows without a speaker or a time merge with none.
     """
-    gap = F.col("start_ms") - F.lag("end_ms").over(by_file())
-    runs = islands(segments, (F.lag("speaker").over(by_file()) != F.col("speaker")) | (gap > max_gap))
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        gap = x["start_ms"] - last["end_ms"]
-        text = joiner(last["text"], x["text"])
-        fits = (F.size(kept) > 0) & last["speaker"].eqNullSafe(x["speaker"]) & (gap <= max_gap) & (x["end_ms"] - last["start_ms"] <= max_dur) & (F.length(text) <= max_chars)
-        noise = (F.length(strip(last["text"])) <= 1) & (last["end_ms"] - last["start_ms"] > 1_000) & (gap > 500)
-        start = F.when(noise, F.greatest(last["start_ms"], x["start_ms"] - 350)).otherwise(last["start_ms"])
-        merged = replaced(last, start_ms=start, end_ms=x["end_ms"], text=text)
-        return F.when(F.coalesce(fits, F.lit(False)), with_last(kept, merged)).otherwise(F.concat(kept, F.array(x)))
-
-    return fold(runs, ["file_id", "island"], ["speaker", "text"], step)
+    return linear_fold(segments, ["file_id"], ["speaker", "text"], lambda: Turns(max_gap, max_dur, max_chars, True, lambda a, b, both: len(both)), turns_afresh(max_gap))
 
 
 def dedupe_boundaries(segments: DataFrame, gap: int = 40) -> DataFrame:
-    """A segment that starts before the kept one's end starts ``gap`` after it, and goes if nothing is left."""
+    """A segment that starts before the kept one's end starts ``gap`` after it, and goes if nothing is left.
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        start = F.when((F.size(kept) > 0) & (x["start_ms"] < last["end_ms"]), last["end_ms"] + gap).otherwise(x["start_ms"])
-        return F.when(x["end_ms"] > start, F.concat(kept, F.array(replaced(x, start_ms=start)))).otherwise(kept)
-
-    # a gap to everything before it ends an overlap for good, so files are cut there
-    reach = F.max("end_ms").over(by_file().rowsBetween(W.unboundedPreceding, -1))
-    return fold(islands(segments, F.col("start_ms") > reach + gap), ["file_id", "island"], ["speaker", "text"], step)
+    A gap to everything before it ends an overlap for good.  Rows without a time go.
+    """
+    return linear_fold(segments, ["file_id"], ["speaker", "text"], lambda: Boundaries(gap), reach_afresh(gap), by_reach=True)
 
 
 def reattach_fragments(segments: DataFrame) -> DataFrame:
@@ -141,14 +96,12 @@ def chunk_windows(files: DataFrame, size: int = 30_000, step: int = 25_000) -> D
 
 
 def chunk_dedupe(segments: DataFrame) -> DataFrame:
-    """Drops a segment that overlaps a kept one with the same stripped text; folds per text."""
-    key = segments.withColumn("_text", strip(F.col("text")))
+    """Drops a segment that overlaps a kept one with the same stripped text.
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: F.least(k["end_ms"], x["end_ms"]) > F.greatest(k["start_ms"], x["start_ms"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return fold(key, ["file_id", "_text"], ["speaker", "text"], step)
+    In order of start the kept segment that reaches furthest decides.  Segments without a length, or a time, stay.
+    """
+    keyed = segments.withColumn("_text", strip(F.col("text")))
+    return linear_fold(keyed, ["file_id", "_text"], ["speaker", "text"], Apart, reach_afresh(0), by_reach=True)
 
 
 def merge_regions(regions: DataFrame, gap: int = 1_500, pad: int = 0) -> DataFrame:
@@ -199,14 +152,9 @@ def words_to_turns(words: DataFrame, max_gap: int = 500, max_dur: int = 15_000,
     split = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.substring("word", i + 1, F.lit(1)).alias("text"), (F.col("start_ms") + i * share).cast("double").alias("s"), (F.col("start_ms") + (i + 1) * share).cast("double").alias("e")))
     flat = timed.select("file_id", "speaker", F.col("word_idx"), F.posexplode(F.when(long & (n > 2), split).otherwise(whole)).alias("p", "x")).select("file_id", "speaker", (F.col("word_idx") * 1000 + F.col("p")).alias("seg_idx"), F.col("x.text").alias("text"), F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))
     flat = flat.where(strip("text") != "")
-    runs = islands(flat, (F.lag("speaker").over(by_file()) != F.col("speaker")) | (F.col("start_ms") - F.lag("end_ms").over(by_file()) > max_gap))
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        fits = (F.size(kept) > 0) & (x["end_ms"] - last["start_ms"] <= max_dur) & (F.length(last["text"]) + F.length(x["text"]) <= max_chars)
-        return F.when(F.coalesce(fits, F.lit(False)), with_last(kept, replaced(last, end_ms=x["end_ms"], text=concat_turn_text(last["text"], x["text"])))).otherwise(F.concat(kept, F.array(x)))
-
-    return fold(runs, ["file_id", "island"], ["speaker", "text"], step).where((strip("text") != "") & (F.col("end_ms") - F.col("start_ms") >= 50))
+    # the two texts count, not the space between them
+    turns = linear_fold(flat, ["file_id"], ["speaker", "text"], lambda: Turns(max_gap, max_dur, max_chars, False, lambda a, b, both: len(a) + len(b)), turns_afresh(max_gap))
+    return turns.where((strip("text") != "") & (F.col("end_ms") - F.col("start_ms") >= 50))
 
 
 def refine_playback(segments: DataFrame, rewind: int = 350, first_rewind: int = 1_200, tail: int = 650) -> DataFrame:
