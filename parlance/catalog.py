@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import rewriting as Q
 from parlance.functions import text as T
 from parlance.operators import evaluate as E
+from parlance.operators import indexes as X
 from parlance.operators import intervals as I
 from parlance.operators import predicates as P
 from parlance.operators import relations as R
@@ -324,6 +325,18 @@ def sparse_topk(spark, d):
     return V.whole_text_topk(q, table(spark, d, "documents"), 10).select("query_id", "doc_id", "score", "rank")
 
 
+@query("WITH " + SPARSE + " SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 10")
+def impact_topk(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return X.ImpactIndex.of(table(spark, d, "documents")).topk(q, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) x WHERE rank <= 10")
+def cluster_topk(spark, d):
+    v = vectors(spark, d)
+    return X.ClusterIndex.of(v).search(v.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 10)[0].select("query_id", "doc_id", "score", "rank")
+
+
 @query("""SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'the apache license') THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END AS score FROM documents) x
   WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50""")
 def substring_search(spark, d):
