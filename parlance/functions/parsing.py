@@ -13,109 +13,86 @@ from pyspark.sql import functions as F
 
 from parlance.functions.rewriting import parse_time_range, rewrite  # noqa: F401
 
-KEYS = ("segments", "corrections", "results", "items")
-INDEX_KEYS, TEXT_KEYS, NOTE_KEYS = ("index", "id"), ("text", "corrected_text", "correction"), ("note", "reason")
-QUOTES = {0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"}
-FENCE = re.compile(r"```(?:json|JSON)?\s*(.*?)```", re.DOTALL)
-
-
-def bare(text: str) -> str:
-    """Without byte-order mark, smart quotes and the fence around it."""
-    text = text.strip().lstrip("\ufeff").translate(QUOTES).strip()
-    text = re.sub(r"^```(?:json|JSON)?\s*", "", text)
-    return re.sub(r"\s*```$", "", text).strip()
-
-
-def balanced(text: str, opening: str, closing: str) -> Iterator[str]:
-    """Outermost bracketed pieces, brackets inside strings aside."""
-    depth, start, quoted, escaped = 0, 0, False, False
-    for at, c in enumerate(text):
-        if quoted:
-            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
-        elif c == '"':
-            quoted = True
-        elif c == opening:
-            start = start if depth else at
-            depth += 1
-        elif c == closing and depth:
-            depth -= 1
-            if not depth:
-                yield text[start : at + 1]
-
-
-def candidates(answer: str) -> list[str]:
-    """What may be JSON in an answer: the whole, fenced blocks, objects, arrays; each once."""
-    found = [answer, *FENCE.findall(answer), *balanced(answer, "{", "}"), *balanced(answer, "[", "]")]
-    return list(dict.fromkeys(b for b in map(bare, found) if b))
-
-
-def loose_value(text: str):
-    """Strict JSON, else without trailing commas and a leading ``json:``, else a Python literal; ValueError if none."""
-    mended = re.sub(r"^(?:json|JSON)\s*[:：]\s*", "", re.sub(r",\s*([}\]])", r"\1", text))
-    for read in (json.loads, ast.literal_eval):
-        for form in dict.fromkeys((text, mended)):
+# Names under which models give corrections
+LISTS = ("segments", "corrections", "results", "items")
+FIELDS = {"index": ("index", "id"), "text": ("text", "corrected_text", "correction"), "note": ("note", "reason")}
+PLAIN_QUOTES = str.maketrans("\u201c\u201d\u2018\u2019", "\"\"''")
+DANGLING = re.compile(r",(?=\s*[\]}])")
+DECODER = json.JSONDecoder()
+LITERALS = 20
+
+
+def decoded(text: str) -> Iterator:
+    """Every JSON value of a text that starts at a bracket and lies in no other."""
+    at = 0
+    while at < len(text):
+        if text[at] in "{[":
             try:
-                return read(form)
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                value, at = DECODER.raw_decode(text, at)
+                yield value
                 continue
-    raise ValueError("no value can be read")
+            except ValueError:
+                pass
+        at += 1
 
 
-def loose_json(answer: str | None):
-    """The first value that can be read from an answer, or None."""
-    for piece in candidates(answer or ""):
+def literals(text: str) -> Iterator:
+    """The longest Python literal from a text's first bracket, if a closing one of the last ``LITERALS`` ends it."""
+    starts = [k for k in (text.find("{"), text.find("[")) if k >= 0]
+    ends = [m.end() for m in re.finditer(r"[\]}]", text)]
+    for end in reversed(ends[-LITERALS:] if starts else []):
         try:
-            return loose_value(piece)
-        except ValueError:
+            yield ast.literal_eval(text[min(starts) : end])
+            return
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
             continue
-    return None
-
-
-def items_of(value) -> list:
-    """The list of corrections in any of the usual shapes."""
-    if isinstance(value, list):
-        return value
-    if not isinstance(value, dict):
-        return []
-    for key in KEYS:
-        if isinstance(value.get(key), list):
-            return value[key]
-    if value and all(str(k).isdigit() for k in value):
-        return [{"index": int(k), **v} if isinstance(v, dict) else {"index": int(k), "text": v} for k, v in value.items()]
-    return []
 
 
-def first_of(item: dict, keys: tuple[str, ...], default=None):
-    """The value of the first key that is there."""
-    return next((item[k] for k in keys if k in item), default)
+def values(answer: str | None) -> Iterator:
+    """What can be read from an answer, the strictest readings first: as it is, without commas before a closing
+    bracket, with plain quotes, and as a Python literal."""
+    text = answer or ""
+    quoted = text.translate(PLAIN_QUOTES)
+    for form in dict.fromkeys((text, DANGLING.sub("", text), quoted, DANGLING.sub("", quoted))):
+        yield from decoded(form)
+    yield from literals(quoted)
+
+
+def loose_json(answer: str | None):
+    """The first value that can be read from an answer, or None."""
+    return next(values(answer), None)
+
+
+def entries(value) -> list[dict]:
+    """Corrections in the shapes that models give: a list, a list under a known name, or numbered entries."""
+    if isinstance(value, dict):
+        named = [value[name] for name in LISTS if isinstance(value.get(name), list)]
+        if named:
+            value = named[0]
+        elif all(isinstance(k, str) and k.isdigit() for k in value):
+            value = [{"index": int(k)} | (v if isinstance(v, dict) else {"text": v}) for k, v in value.items()]
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def correction(entry: dict) -> tuple[int, str, str | None] | None:
+    """(index, text, note) of an entry; None without a whole-number index of zero or more, or without text."""
+    given = {field: [entry[n] for n in names if entry.get(n) is not None] for field, names in FIELDS.items()}
+    index, text, notes = given["index"][:1], str(given["text"][0]).strip() if given["text"] else "", [n for n in given["note"] if n]
+    if not text or not index or isinstance(index[0], bool) or not re.fullmatch(r"\d+", str(index[0])):
+        return None
+    return int(index[0]), text, str(notes[0]) if notes else None
 
 
 def corrections(answer: str | None, count: int | None = None) -> list[tuple[int, str, str | None]]:
-    """(index, text, note) of each correction; of several for one index the last.
+    """(index, text, note) of each correction below ``count``; of several for one index the last.
 
-    The first candidate with a list of corrections counts.  Items without a whole-number index below
-    ``count`` or without text are left out.
+    The first value that holds a correction counts.
     """
-    listed: list = []
-    for piece in candidates(answer or ""):
-        try:
-            listed = items_of(loose_value(piece))
-        except ValueError:
-            continue
-        if listed:
-            break
-    out: dict[int, tuple[int, str, str | None]] = {}
-    for item in listed:
-        if not isinstance(item, dict):
-            continue
-        index = first_of(item, INDEX_KEYS)
-        index = int(index) if isinstance(index, str) and index.isdigit() else index
-        text = first_of(item, TEXT_KEYS, "")
-        text = "" if text is None else str(text).strip()
-        note = next((item[k] for k in NOTE_KEYS if item.get(k)), None)
-        if isinstance(index, int) and not isinstance(index, bool) and 0 <= index and (count is None or index < count) and text:
-            out[index] = (index, text, None if note is None else str(note))
-    return [out[k] for k in sorted(out)]
+    for value in values(answer):
+        found = {c[0]: c for c in map(correction, entries(value)) if c}
+        if found:
+            return [found[k] for k in sorted(found) if count is None or k < count]
+    return []
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:

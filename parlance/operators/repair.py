@@ -15,27 +15,33 @@ from parlance.operators.sequence import by_file
 MOST_REPAIRS = 8
 
 
-def place_of(tokens: list[str], part: list[str], start: int = 0) -> int:
-    """First place from ``start`` where ``part`` stands in ``tokens``, or -1."""
-    last = len(tokens) - len(part)
-    return next((k for k in range(max(0, start), last + 1) if tokens[k : k + len(part)] == part), -1) if part else -1
+#: words that must and may match on either side of a gap, and words of a gap
+TAIL, HEAD, GAP = (3, 8), (3, 7), (2, 10)
+
+
+def agreeing(one: list[str], other: list[str], most: int) -> int:
+    """How many words two lists have in common from their start, ``most`` at most."""
+    n = 0
+    while n < min(most, len(one), len(other)) and one[n] == other[n]:
+        n += 1
+    return n
 
 
 def missing_phrase(before: list[str], after: list[str], heard: list[str]) -> list[str]:
-    """What ``heard`` has between the end of ``before`` and the start of ``after``, if it is two to ten words
-    that neither has: longest tails (8 to 3 words), then longest heads (7 to 3) first."""
-    if len(heard) < 6:
+    """What ``heard`` has between the end of ``before`` and the start of ``after``, if it is two to ten words that
+    neither has.
+
+    Every place of ``heard`` is held against both: how much of ``before`` ends there, how much of ``after`` begins there.
+    Of the gaps between two such places that with the longest match before it wins, then after it, then the first.
+    """
+    ends = [agreeing(before[::-1], heard[:k][::-1], TAIL[1]) for k in range(len(heard) + 1)]
+    begins = [agreeing(after, heard[k:], HEAD[1]) for k in range(len(heard) + 1)]
+    gaps = [(ends[i], begins[j], -i, -j) for i in range(len(heard)) if ends[i] >= TAIL[0] for j in range(i + GAP[0], min(i + GAP[1], len(heard)) + 1) if begins[j] >= HEAD[0]]
+    if not gaps:
         return []
-    for tail in range(min(8, len(before)), 2, -1):
-        at = place_of(heard, before[-tail:])
-        if at < 0:
-            continue
-        for head in range(min(7, len(after)), 2, -1):
-            to = place_of(heard, after[:head], at + tail)
-            if to > at + tail and 2 <= to - at - tail <= 10:
-                found = heard[at + tail : to]
-                return [] if place_of(before + after, found) >= 0 else found
-    return []
+    _, _, i, j = max(gaps)
+    found, known = heard[-i:-j], before + after
+    return [] if any(known[k : k + len(found)] == found for k in range(len(known))) else found
 
 
 def boundary_windows(segments: DataFrame, total: str = "total_ms") -> DataFrame:
