@@ -1,7 +1,11 @@
 """The model boundary with scripted doubles, and the live path."""
 
 import base64
+import datetime
 import json
+import os
+import pathlib
+import random
 import re
 
 import numpy as np
@@ -200,8 +204,11 @@ def test_live_rules():
 
 
 def drained(spark, frame, name, tmp_path):
+    # timers of processing time would call for batches without data for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     run = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
+    assert run.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return spark.table(name).collect()
 
 
@@ -231,6 +238,42 @@ def test_live_path(spark, tmp_path):
     assert sorted(a["type"] for a in answers) == ["duplicate"] + ["queued"] * 6 + ["ready"]
 
 
+def chunk_stream(spark, tmp_path, name, batches):
+    """A stream of (session, chunk, second, value) that comes in so many files, one a micro-batch."""
+    schema = "session_id long, chunk_id long, ts timestamp, pcm binary"
+    path = tmp_path / f"{name}-in"
+    for k, rows in enumerate(batches):
+        whole = [(s, c, datetime.datetime.fromtimestamp(1_700_000_000 + t, datetime.UTC).replace(tzinfo=None), bytearray(np.full(8_000, v, "<i2").tobytes())) for s, c, t, v in rows]
+        spark.createDataFrame(whole, schema).coalesce(1).write.mode("append").parquet(f"file://{path}/{k}")
+    files = [f"{path}/{k}" for k in range(len(batches))]
+    for k, f in enumerate(files):
+        for part in pathlib.Path(f).glob("part*"):
+            os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{path}")
+
+
+def test_chunks_in_any_order(spark, tmp_path):
+    sent = [(s, c, c, 10 * s + c) for s in (1, 2) for c in range(8)]
+    mixed = sent[:]
+    random.Random(2).shuffle(mixed)
+    want = None
+    for name, rows in (("straight", sent), ("mixed", mixed + mixed[:3])):  # chunks sent twice, too
+        stream = chunk_stream(spark, tmp_path, name, [rows[:7], rows[7:12], rows[12:]])
+        got = sorted((r["session_id"], r["chunk_id"], r["window_start"], r["available_end"], r["missed"], bytes(r["pcm"])) for r in drained(spark, live.sliding_windows(stream, 1.5), name, tmp_path))
+        assert len(got) == 16 and all(r[4] == 0 for r in got)
+        want = want or got
+        assert got == want
+
+
+def test_gaps_are_given_up_and_sessions_forgotten(spark, tmp_path):
+    # chunk 1 of session 1 never comes in time; every batch is later than all patience
+    batches = [[(1, 0, 0, 1), (1, 2, 2, 3)], [(2, 0, 60, 5)], [(1, 1, 61, 2), (2, 1, 62, 6), (1, 3, 62, 4)], [(3, 0, 9_000, 7)], [(1, 0, 9_001, 8)], [(1, 1, 9_030, 9)]]
+    stream = chunk_stream(spark, tmp_path, "gaps", batches)
+    moment = "1 millisecond"
+    got = [(r["session_id"], r["chunk_id"], r["missed"], r["available_end"]) for r in drained(spark, live.sliding_windows(stream, patience=moment, idle=moment), "gaps", tmp_path)]
+    assert sorted(got) == [(1, 0, 0, 0.5), (1, 0, 0, 0.5), (1, 1, 0, 1.0), (1, 2, 1, 1.0), (1, 3, 0, 1.5), (2, 0, 0, 0.5), (2, 1, 0, 1.0), (3, 0, 0, 0.5)]
+
+
 def test_fixed_chunks(spark):
     x = np.arange(10_000, dtype="<i2")
     blocks = [(1, k, bytearray(x[3_200 * k : 3_200 * (k + 1)].tobytes())) for k in range(4)]
