@@ -17,6 +17,7 @@ from parlance.operators import predicates as P
 from parlance.operators import relations as R
 from parlance.operators import retrieval as V
 from parlance.operators import sequence as S
+from parlance.operators import turns as UDTF
 from parlance.sources.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +509,14 @@ def words_to_turns(spark, d):
     return S.words_to_turns(words(spark, d)).select("file_id", "start_ms", "end_ms", "speaker", "text")
 
 
+@query()
+def turns_in_sql(spark, d):
+    # the table function called from SQL; a test holds it against words_to_turns
+    UDTF.register(spark)
+    words(spark, d).createOrReplaceTempView("parlance_words")
+    return spark.sql("SELECT file_id, start_ms, end_ms, speaker, text FROM turns(TABLE(parlance_words))")
+
+
 WORDS = """, wl AS (SELECT file_id, seg_idx, speaker, start_ms AS s, end_ms AS e, list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '') AS w FROM segments),
 words AS (SELECT file_id, speaker, CAST(seg_idx AS BIGINT) * 100000 + i AS word_idx, w[i + 1] AS word, CAST(floor(s + i * ((e - s) / len(w))) AS BIGINT) AS start_ms, CAST(floor(s + (i + 1) * ((e - s) / len(w))) AS BIGINT) AS end_ms FROM (SELECT *, unnest(range(len(w))) AS i FROM wl))"""
 

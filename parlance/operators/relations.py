@@ -109,24 +109,66 @@ def rename_speaker(segments: DataFrame, source: str, target: str, file_id=None)
     return segments.withColumn("speaker_original_manual", F.when(mine, F.col("speaker"))).withColumn("manual_speaker_edited", F.when(mine, True)).withColumn("speaker", F.when(mine, F.lit(target)).otherwise(F.col("speaker")))
 
 
-EDIT = r"^\[(\d+):(\d+)\] (\S+) ([\d.]+)-([\d.]+) ([^:]+): ?(.*)$"
+#: [file:segment] name from-to, then speaker and text; without a file the first is meant
+EDIT = r"^\s*\[(?:(\d+):)?(\d+)\]\s+.+?\s+\d{2,}:\d{2}\.\d-\d{2,}:\d{2}\.\d\s(.*)$"
+SPOKEN = r"^\s*([^:]*?)\s*:\s*(.*)$"
+
+
+def one_line(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]+", " ")
+
+
+def numbered_files(segments: DataFrame) -> DataFrame:
+    """file_id and its number in a table of results, from 0 in order of id."""
+    from parlance.operators.retrieval import positions
+
+    return positions(segments.where("file_id is not null").select(F.col("file_id").alias("doc_id")).distinct()).select(F.col("doc_id").alias("file_id"), (F.col("rank") - 1).cast("long").alias("_file"))
+
+
+def heads(segments: DataFrame) -> DataFrame:
+    """``segments`` with the number of their file, the line before the speaker, and the speaker as shown."""
+    span = F.concat(T.fmt_time(F.col("start_ms") / 1000.0), F.lit("-"), T.fmt_time(F.col("end_ms") / 1000.0))
+    head = F.concat(F.lit("["), "_file", F.lit(":"), "seg_idx", F.lit("] "), one_line(F.col("file_id").cast("string")), F.lit(" "), span, F.lit(" "))
+    return segments.join(numbered_files(segments), "file_id", "left").withColumn("_head", head).withColumn("_shown", one_line(F.coalesce("speaker", F.lit("?"))))
 
 
 def edit_lines(segments: DataFrame) -> DataFrame:
-    """One line of text a segment, for editing by hand."""
-    line = F.format_string("[%d:%d] %s %.2f-%.2f %s: %s", F.col("file_id"), F.col("seg_idx"), F.concat(F.lit("file"), F.col("file_id")), F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, F.col("speaker"), F.regexp_replace("text", r"[\r\n]+", " "))
-    return segments.select(*KEY, line.alias("line"))
+    """One line of text a segment, for editing by hand: ``[file:segment] name mm:ss.s-mm:ss.s speaker: text``."""
+    return heads(segments).where("_file is not null").select(*KEY, F.concat("_head", "_shown", F.lit(": "), one_line(F.col("text"))).alias("line"))
 
 
 def apply_edits(segments: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edited lines laid over the segments: changed fields keep the original and set a flag."""
+    """Edited lines laid over the segments: changed fields keep the original and set a flag.
+
+    A line that still begins with its segment's own speaker changes the text alone, whatever signs are in the name; else
+    the speaker ends at the first colon.  Lines of another form, or of no segment, and lines with an empty text change
+    nothing.  Of several lines for a segment the greatest counts.
+    """
     part = lambda k: F.regexp_extract("line", EDIT, k)
-    edits = lines.where(F.col("line").rlike(EDIT)).select(part(1).cast("long").alias("file_id"), part(2).cast("int").alias("seg_idx"), F.trim(part(6)).alias("_speaker"), part(7).alias("_text"))
-    out = segments.join(edits, KEY, "left")
-    told, said = F.coalesce(F.col("_text") != F.regexp_replace("text", r"[\r\n]+", " "), F.lit(False)), F.coalesce((F.col("_speaker") != F.col("speaker")) & (F.col("_speaker") != ""), F.lit(False))
-    out = out.withColumn("_told", told).withColumn("_said", said)
-    out = out.withColumn("manual_edited", F.when(F.col("_told"), True)).withColumn("text_original_asr", F.when(F.col("_told"), F.col("text"))).withColumn("manual_speaker_edited", F.when(F.col("_said"), True)).withColumn("speaker_original_manual", F.when(F.col("_said"), F.col("speaker")))
-    return out.withColumn("text", F.when(F.col("_told"), F.col("_text")).otherwise(F.col("text"))).withColumn("speaker", F.when(F.col("_said"), F.col("_speaker")).otherwise(F.col("speaker"))).drop("_told", "_said", "_text", "_speaker")
+    edits = lines.where(F.col("line").rlike(EDIT)).select(F.coalesce(F.nullif(part(1), F.lit("")), F.lit("0")).cast("long").alias("_file"), part(2).cast("int").alias("seg_idx"), F.col("line").alias("_line"), part(3).alias("_rest"))
+    edits = edits.groupBy("_file", "seg_idx").agg(F.max(F.struct("_line", "_rest")).alias("_e"))
+    out = heads(segments).join(edits, ["_file", "seg_idx"], "left")
+    # a name may look like a time: the rest follows the segment's own head where that stands
+    rest = F.when(F.col("_e._line").startswith(F.col("_head")), F.expr("substring(_e._line, length(_head) + 1)")).otherwise(F.col("_e._rest"))
+    out = out.withColumn("_rest", rest)
+    own = F.col("_rest").startswith(F.concat("_shown", F.lit(":")))
+    said = F.when(own, F.expr("substring(_rest, length(_shown) + 2)")).otherwise(F.regexp_extract("_rest", SPOKEN, 2))
+    named = F.when(own, F.col("_shown")).otherwise(F.regexp_extract("_rest", SPOKEN, 1))
+    out = out.withColumn("_text", T.strip(said)).withColumn("_name", named)
+    valid = F.coalesce(F.col("_text") != "", F.lit(False))
+    told = valid & (F.col("_text") != T.strip(one_line(F.col("text"))))
+    renamed = valid & (F.col("_name") != "") & (F.col("_name") != F.col("_shown"))
+    out = out.withColumn("_told", told).withColumn("_renamed", renamed)
+    out = out.withColumn("manual_edited", F.when(F.col("_told"), True)).withColumn("text_original_asr", F.when(F.col("_told"), F.col("text")))
+    out = out.withColumn("manual_speaker_edited", F.when(F.col("_renamed"), True)).withColumn("speaker_original_manual", F.when(F.col("_renamed"), F.col("speaker")))
+    out = out.withColumn("text", F.when(F.col("_told"), F.col("_text")).otherwise(F.col("text"))).withColumn("speaker", F.when(F.col("_renamed"), F.col("_name")).otherwise(F.col("speaker")))
+    new = ["manual_edited", "text_original_asr", "manual_speaker_edited", "speaker_original_manual"]
+    return out.select(*(c for c in segments.columns if c not in new), *new)
+
+
+def edit_changes(edited: DataFrame) -> DataFrame:
+    """One row, n_changes: texts and speakers that :func:`apply_edits` changed."""
+    return edited.agg((F.count("manual_edited") + F.count("manual_speaker_edited")).alias("n_changes"))
 
 
 def timing_rollup(chunks: DataFrame) -> DataFrame:
