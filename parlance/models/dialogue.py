@@ -14,12 +14,16 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parlance.functions import parsing
 from parlance.functions import text as T
+from parlance.models.answers import AnswerLog, each_answered
 from parlance.models.clients import ChatClient
 from parlance.operators.predicates import accept_correction
 from parlance.operators.relations import first_utterances, merge_speakers
@@ -55,26 +59,24 @@ def language_of(table: dict, language: str):
     return table["en" if language == "en" else "zh"]
 
 
-def asked(calls: DataFrame, make: Callable[[], ChatClient], system: str, temperature: float, max_tokens: int) -> DataFrame:
-    """``calls`` with ``answer`` in place of ``prompt``: one chat a row; null where the client fails.
+def asked(calls: DataFrame, make: Callable[[], ChatClient], system: str, temperature: float, max_tokens: int, log: str | None = None) -> DataFrame:
+    """``calls`` with ``answer`` and ``call_error`` in place of ``prompt``: one chat a row, answer null where the client fails.
 
-    Rows are known by their file_id and batch.
+    With ``log``, a folder that all machines share, answers are kept there before they are used (``answers.AnswerLog``), so
+    a task that runs again asks only what has no answer.
     """
+    rest = [f for f in calls.schema.fields if f.name != "prompt"]
+    schema = StructType([*rest, StructField("answer", StringType()), StructField("call_error", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
-        for pdf in batches:
-            out = []
-            for prompt in pdf["prompt"]:
-                try:
-                    out.append(client.chat([{"role": "system", "content": system}, {"role": "user", "content": prompt}], temperature=temperature, max_tokens=max_tokens))
-                except Exception:  # noqa: BLE001  whatever a client raises: no answer, nothing changes
-                    out.append(None)
-            yield pd.DataFrame({"key": pdf["key"], "answer": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, kept = make(), AnswerLog(log) if log else None
+        kind = to_arrow_schema(schema)
+        for batch in batches:
+            both = list(each_answered(batch.column("prompt").to_pylist(), client, system, kept, temperature=temperature, max_tokens=max_tokens))
+            columns = [batch.column(f.name) for f in rest] + [pa.array([x[k] for x in both], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kind.types, strict=True)], schema=kind)
 
-    keyed = calls.withColumn("key", F.to_json(F.struct(*(c for c in calls.columns if c in ("file_id", "batch")))))
-    answers = keyed.select("key", "prompt").mapInPandas(run, "key string, answer string")
-    return keyed.join(answers, "key").drop("key", "prompt")
+    return calls.mapInArrow(run, schema)
 
 
 def numbered(segments: DataFrame, size: int) -> DataFrame:
@@ -101,12 +103,12 @@ def correction_calls(segments: DataFrame, language: str = "zh") -> DataFrame:
     return lines(cleaned, transcript_line(), language_of(CORRECT, language)[1], ["file_id", "batch"])
 
 
-def correct(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh") -> DataFrame:
+def correct(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh", log: str | None = None) -> DataFrame:
     """``segments`` with corrected ``text``, ``text_before_llm`` and ``correction_note``.
 
     A correction that loses a number, or rewrites a call-out, is turned down (Chinese only); so is an empty one.
     """
-    answers = asked(correction_calls(segments, language), make, language_of(CORRECT, language)[0], 0.1, 4096)
+    answers = asked(correction_calls(segments, language), make, language_of(CORRECT, language)[0], 0.1, 4096, log)
     parsed = parsing.parse_answers(answers.select(F.to_json(F.struct("file_id", "batch")).alias("answer_id"), "answer", "count"))
     key = F.from_json("answer_id", answers.select("file_id", "batch").schema)
     said = parsed.select(key.alias("k"), "index", F.col("text").alias("_new"), F.col("note").alias("_note")).select("k.file_id", "k.batch", "index", "_new", "_note")
@@ -136,13 +138,13 @@ def intents_of(answer: str | None, count: int, default: list[str], allowed: tupl
     return out
 
 
-def tag_intents(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh", labels: tuple[str, ...] | None = None) -> DataFrame:
+def tag_intents(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh", labels: tuple[str, ...] | None = None, log: str | None = None) -> DataFrame:
     """``segments`` with ``intent``: their labels, 20 segments a call."""
     labels = labels or language_of(LABELS, language)
     default = [language_of(LABELS, language)[0]]
     mine = numbered(segments, TAGGED_A_CALL)
     line = F.format_string("[%d] %s: %s", F.col("index"), F.coalesce("speaker", F.lit("UNKNOWN")), T.strip("text"))
-    answers = asked(lines(mine, line, "", ["file_id", "batch"]), make, language_of(TAG, language).format(labels=", ".join(labels)), 0.0, 2048)
+    answers = asked(lines(mine, line, "", ["file_id", "batch"]), make, language_of(TAG, language).format(labels=", ".join(labels)), 0.0, 2048, log)
 
     @F.udf("array<struct<index:int,intent:array<string>>>")
     def parsed(answer, count):
@@ -172,9 +174,9 @@ def consistency_calls(segments: DataFrame, language: str = "zh") -> DataFrame:
     return prompts.join(segments.groupBy("file_id").agg(F.count("*").alias("n")).where("n >= 4").select("file_id"), "file_id", "left_semi")
 
 
-def unify_speakers(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh") -> DataFrame:
+def unify_speakers(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh", log: str | None = None) -> DataFrame:
     """``segments`` with speakers merged as a model suggests and ``consistency_note``; one pass, the last mapping of a speaker wins."""
-    answers = asked(consistency_calls(segments, language), make, language_of(CONSISTENT, language)[0], 0.1, 2048)
+    answers = asked(consistency_calls(segments, language), make, language_of(CONSISTENT, language)[0], 0.1, 2048, log)
 
     @F.udf("array<struct<from_speaker:string,to_speaker:string>>")
     def parsed(answer):
@@ -202,13 +204,13 @@ def summary_of(answer: str | None, speakers: list[str]) -> dict:
     return out | {"participants": listed(value["participants"]) if "participants" in value else speakers}
 
 
-def summarize(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh") -> DataFrame:
+def summarize(segments: DataFrame, make: Callable[[], ChatClient], language: str = "zh", log: str | None = None) -> DataFrame:
     """file_id and the six parts; a file without segments has no row, one without texts empty parts."""
     rows = segments.withColumn("index", (F.row_number().over(W.partitionBy("file_id").orderBy("seg_idx")) - 1).cast("int"))
     line = F.format_string("[%d] %s: %s", F.col("index"), F.coalesce("speaker", F.lit("?")), F.col("text"))
     speakers = segments.where(T.strip(F.coalesce("text", F.lit(""))) != "").groupBy("file_id").agg(F.sort_array(F.collect_set(F.coalesce("speaker", F.lit("?")))).alias("speakers"))
     calls = lines(rows, line, language_of(SUMMARIZE, language)[1], ["file_id"]).join(speakers, "file_id", "left").withColumn("speakers", F.coalesce("speakers", F.array().cast("array<string>")))
-    answers = asked(calls, make, language_of(SUMMARIZE, language)[0], 0.3, 2048)
+    answers = asked(calls, make, language_of(SUMMARIZE, language)[0], 0.3, 2048, log)
 
     @F.udf("topic string, summary string, key_points array<string>, decisions array<string>, action_items array<string>, participants array<string>")
     def parsed(answer, speakers):

@@ -10,9 +10,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from parlance.models import clients, dialogue
+from parlance.models.answers import AnswerLog
 from parlance.sources import audio
 from parlance.streaming import live
 
@@ -281,18 +283,77 @@ def test_fixed_chunks(spark):
     assert [len(r["pcm"]) for r in got] == [8_000, 8_000, 4_000] and b"".join(bytes(r["pcm"]) for r in got) == x.tobytes()
 
 
-def test_versioned_table_and_refinement(spark, tmp_path):
+def test_merged_table_and_refinement(spark, tmp_path):
     schema = "session_id long, seg_idx int, phase string, text string, end double"
-    table = live.VersionedTable(spark, f"file://{tmp_path}/t", ["session_id", "seg_idx"], schema)
+    table = live.MergedTable(spark, f"file://{tmp_path}/t", ["session_id", "seg_idx"], schema)
     make = lambda rows: spark.createDataFrame(rows, schema)
     assert table.read().count() == 0
     table.apply(make([(1, 0, "asr", "a", 1.0), (1, 1, "asr", "b", 2.0)]), 0)
     late = make([(1, 0, "corrected", "A", 1.0), (1, 0, "asr", "z", 9.0), (2, 0, "asr", "c", 1.0)])
     table.apply(late, 1)
     table.apply(late, 1)  # a batch that runs again
-    assert sorted((r["session_id"], r["seg_idx"], r["text"]) for r in table.read().collect()) == [(1, 0, "A"), (1, 1, "b"), (2, 0, "c")] and table.versions() == [0, 1]
+    assert sorted((r["session_id"], r["seg_idx"], r["text"]) for r in table.read().collect()) == [(1, 0, "A"), (1, 1, "b"), (2, 0, "c")] and table.batches() == [0, 1]
     offline = make([(1, 0, "asr", "whole", 5.0)])
     assert sorted((r["session_id"], r["phase"], r["text"]) for r in live.refined(table.read(), offline).collect()) == [(1, "refined", "whole"), (2, "asr", "c")]
     recordings = spark.createDataFrame([(1, bytearray(audio.encode(speech((1, 2)), 16_000))), (2, None), (3, bytearray(b"x"))], "session_id long, content binary")
     got = live.refine_recordings(recordings, Loud).collect()
     assert {r["session_id"] for r in got if r["problem"]} == {2, 3} and any(r["text"] == "word 0" for r in got)
+
+
+def test_batches_write_their_own_rows_and_old_parts_go(spark, tmp_path):
+    schema = "session_id long, seg_idx int, phase string, text string, end double"
+    table = live.MergedTable(spark, f"file://{tmp_path}/m", ["session_id", "seg_idx"], schema, most=3)
+    state = {}
+    for batch in range(9):
+        rows = [(s, batch % 4, "asr", f"{batch}", 1.0) for s in range(3)]
+        table.apply(spark.createDataFrame(rows, schema), batch)
+        state |= {r[:2]: r[3] for r in rows}
+        assert {(r["session_id"], r["seg_idx"]): r["text"] for r in table.read().collect()} == state
+    names = sorted(p.name for p in (tmp_path / "m").iterdir() if "=" in p.name)
+    assert names == ["base=3", "base=7", "delta=4", "delta=5", "delta=6", "delta=7", "delta=8"] and table.batches() == [8]
+    assert spark.read.parquet(f"file://{tmp_path}/m/delta=8").count() == 3
+    # a batch that was cut off before its marker is not seen, and can run again
+    spark.createDataFrame([(9, 9, "asr", "half", 1.0, 9)], schema + ", _batch long").write.parquet(f"file://{tmp_path}/m/delta=9")
+    assert table.read().where("session_id = 9").count() == 0
+    table.apply(spark.createDataFrame([(9, 9, "asr", "whole", 1.0)], schema), 9)
+    table.apply(spark.createDataFrame([(9, 9, "asr", "again", 1.0)], schema), 9)
+    assert [r["text"] for r in table.read().where("session_id = 9").collect()] == ["whole"]
+
+
+def test_a_task_that_runs_again_asks_nobody_twice(spark, tmp_path):
+    """The first attempt fails after its calls; the second takes the answers from the log."""
+    asked_at = tmp_path / "asked"
+    asked_at.mkdir()
+
+    class Counting(Upper):
+        def chat(self, messages, **settings):
+            (asked_at / str(len(list(asked_at.iterdir())))).write_text(messages[1]["content"])
+            if "text 31" in messages[1]["content"]:
+                raise OSError("line is busy")
+            return super().chat(messages)
+
+    log = f"file://{tmp_path}/log"
+    seg = spark.createDataFrame(rows(33), SEG).coalesce(1)
+    calls = dialogue.correction_calls(seg, "en").coalesce(1)
+
+    def once_failing(batches):
+        done = list(batches)
+        if not (tmp_path / "failed").exists():
+            (tmp_path / "failed").write_text("x")
+            raise RuntimeError("lost after the calls")
+        yield from done
+
+    answers = dialogue.asked(calls, Counting, "system", 0.1, 4096, log)
+    failing = answers.mapInArrow(once_failing, answers.schema)
+    with pytest.raises(PythonException, match="lost after the calls"):
+        failing.collect()
+    assert len(list(asked_at.iterdir())) == 3
+    failing = answers.mapInArrow(once_failing, answers.schema)  # a plan that failed stays failed
+    got = {r["batch"]: (r["answer"], r["call_error"]) for r in failing.collect()}
+    assert len(got) == 3 and got[2] == (None, "OSError: line is busy") and "TEXT 3" in got[0][0]
+    prompts = sorted(p.read_text() for p in asked_at.iterdir())
+    assert len(prompts) == 4 and len(set(prompts)) == 3  # only the failed call was made again
+    kept = AnswerLog(log)
+    assert kept.read(spark).count() == 2 and {r["error"] for r in kept.read(spark, "errors").collect()} == {"OSError: line is busy"}
+    again = dialogue.correct(seg, Broken, "en", log)  # another model: nothing of the first one's is taken
+    assert {r["text"] for r in again.collect()} == {r[3] for r in rows(33)}
