@@ -12,18 +12,30 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 
 
+#: texts at least so long are first tried by diagonals, up to this share of edits
+LONG, SHARE = 512, 8
+#: levels between two that are kept for the way back; tokens compared one by one before lengths are found by hashes
+KEPT, STEPS = 128, 6
+
+
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     """(distance, substitutions, insertions, deletions); on equal cost diagonal, insertion, deletion.
 
-    Two rows of numbers are held, whatever the lengths: the distance and the insertions on the way; deletions
-    and substitutions follow from both and the place.
+    Long texts with few edits take time by their length and the square of the edits, others by both lengths.
     """
-    n, m = len(ref), len(hyp)
     names = {t: i for i, t in enumerate({*ref, *hyp})}
-    b, place = np.array([names[t] for t in hyp], np.int64), np.arange(m + 1)
+    a, b = (np.array([names[t] for t in x], np.int64) for x in (ref, hyp))
+    longest = max(len(a), len(b))
+    return (longest >= LONG and counts_by_diagonals(a, b, longest // SHARE)) or counts_by_rows(a, b)
+
+
+def counts_by_rows(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
+    """Row by row: the distance and the insertions on the way; deletions and substitutions follow from both and the place."""
+    n, m = len(a), len(b)
+    place = np.arange(m + 1)
     cost, inserted = place.copy(), place.copy()
     for i in range(1, n + 1):
-        diagonal = np.concatenate([[n + m + 1], cost[:-1] + (b != names[ref[i - 1]])])
+        diagonal = np.concatenate([[n + m + 1], cost[:-1] + (b != a[i - 1])])
         cheapest = np.minimum(diagonal, cost + 1)
         row = np.minimum.accumulate(cheapest - place) + place
         kept = np.where(diagonal == row, np.concatenate([[0], inserted[:-1]]), inserted)
@@ -36,6 +48,113 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     return distance, distance - ins - deleted, ins, deleted
 
 
+class CommonRuns:
+    """How many tokens two texts have in common from given places on, for many pairs of places at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.sums = [self.hashes(x) for x in (a, b)]
+        # powers of an odd number by doubling
+        power = np.ones(1, np.uint64)
+        with np.errstate(over="ignore"):
+            top = self.BASE
+            while len(power) <= max(len(a), len(b)):
+                power, top = np.concatenate([power, power * top]), top * top
+        self.power = power
+
+    def hashes(self, x: np.ndarray) -> np.ndarray:
+        """Hash of every beginning, so that of any run is a difference (modulo 2**64)."""
+        out = np.zeros(len(x) + 1, np.uint64)
+        value = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        value ^= value >> np.uint64(29)
+        h, mask, base = 0, (1 << 64) - 1, int(self.BASE)
+        rows = value.tolist()
+        for i, v in enumerate(rows):
+            h = (h * base + v) & mask
+            rows[i] = h
+        out[1:] = rows
+        return out
+
+    def same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            one = self.sums[0][i + n] - self.sums[0][i] * self.power[n]
+            return one == self.sums[1][j + n] - self.sums[1][j] * self.power[n]
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        room, out = np.minimum(len(self.a) - i, len(self.b) - j), np.zeros(len(i), np.int64)
+        live = np.flatnonzero(room > 0)
+        for _ in range(STEPS):
+            live = live[self.a[i[live] + out[live]] == self.b[j[live] + out[live]]]
+            if not len(live):
+                return out
+            out[live] += 1
+            live = live[out[live] < room[live]]
+        low, high = out[live], room[live]
+        while len(live) and (low < high).any():
+            mid = (low + high + 1) // 2
+            equal = self.same(i[live], j[live], mid)
+            low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        out[live] = low
+        return out
+
+
+def counts_by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int, int, int] | None:
+    """The same counts level by level: how far on each diagonal so many edits reach; None if ``most`` do not suffice.
+
+    Every ``KEPT``-th level is kept; the way back makes those between anew.
+    """
+    n, m = len(a), len(b)
+    if abs(m - n) > most:
+        return None
+    runs, none = CommonRuns(a, b), -(n + m + 2)
+
+    def next_level(reach: np.ndarray, e: int) -> np.ndarray:
+        """Of the diagonals -e to e (hypothesis place less reference place), from those of e - 1."""
+        wide = np.full(2 * e + 3, none, np.int64)
+        wide[2:-2] = reach
+        k = np.arange(-e, e + 1)
+        out = np.maximum(np.maximum(wide[1:-1] + 1, wide[:-2]), wide[2:] + 1)  # substitution, insertion, deletion
+        out = np.minimum(out, np.minimum(n, m - k))
+        live = np.flatnonzero((out >= np.maximum(0, -k)) & (k >= -n) & (k <= m))
+        out[live] += runs.of(out[live], out[live] + k[live])
+        dead = np.ones(len(k), bool)
+        dead[live] = False
+        out[dead] = none
+        return out
+
+    level, e, kept = runs.of(np.zeros(1, np.int64), np.zeros(1, np.int64)), 0, {}
+    while not (abs(m - n) <= e and level[m - n + e] == n):
+        if e % KEPT == 0:
+            kept[e] = level
+        if e == most:
+            return None
+        e += 1
+        level = next_level(level, e)
+    distance, i, j, counts, block = e, n, m, [0, 0, 0], {}
+    one, other = a.tolist(), b.tolist()
+    while e:
+        while i and j and one[i - 1] == other[j - 1]:
+            i, j = i - 1, j - 1
+        e -= 1
+        if e not in block:
+            first = e - e % KEPT
+            block = {first: kept[first]}
+            for x in range(first + 1, e + 1):
+                block[x] = next_level(block[x - 1], x)
+        before, k = block[e], j - i
+        reach = lambda d: before[d + e] if -e <= d <= e else none  # noqa: B023, E731
+        if i and j and i - 1 <= reach(k):
+            i, j, op = i - 1, j - 1, 0
+        elif j and i <= reach(k - 1):
+            j, op = j - 1, 1
+        else:
+            i, op = i - 1, 2
+        counts[op] += 1
+    return distance, *counts
+
+
 def error_rates(pairs: DataFrame, language: str = "en") -> DataFrame:
     """``file_id, ref, hyp`` to n_ref, n_hyp, distance, substitutions, insertions, deletions, rate."""
     clean = T.eval_clean_en if language == "en" else T.eval_clean_zh

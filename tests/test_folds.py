@@ -121,3 +121,36 @@ def test_only_overlapping_pairs_are_formed(spark):
     assert sweep.bucket_width(one, one) == 8 * 9_500
     assert sweep.overlap_join(one, one, bucket=None).count() == n + 2 * sum(n - k for k in range(1, 10))
     assert time.time() - began < 120
+
+
+def test_long_texts_by_diagonals():
+    """The same counts as row by row; a million tokens with one edit in a hundred."""
+    import numpy as np
+
+    from parlance.operators import evaluate
+
+    r = random.Random(11)
+
+    def edited(tokens, share, words):
+        out = []
+        for t in tokens:
+            x = r.random()
+            out += [] if x < share / 3 else [t, r.choice(words)] if x < 2 * share / 3 else [r.choice(words)] if x < share else [t]
+        return out
+
+    for _ in range(150):
+        words = range(r.choice([2, 3, 50]))
+        a = r.choices(words, k=r.randrange(0, 60))
+        b = edited(a, r.choice([0.05, 0.3, 1.0]), words)
+        one, other = np.array(a, np.int64), np.array(b, np.int64)
+        assert evaluate.counts_by_diagonals(one, other, 200) == evaluate.counts_by_rows(one, other), (a, b)
+    a = r.choices(range(300), k=3000)
+    b = edited(a, 0.1, range(300))
+    assert evaluate.counts_by_diagonals(np.array(a), np.array(b), 3000) == evaluate.counts_by_rows(np.array(a), np.array(b))
+    assert evaluate.counts_by_diagonals(np.array(a), np.array(b), 20) is None
+    a = [str(r.randrange(20_000)) for _ in range(1_000_000)]
+    b = edited(a, 0.01, a[:1000])
+    began = time.time()
+    d, *ops = evaluate.edit_counts(a, b)
+    assert sum(ops) == d and 9_000 < d < 10_600 and ops[1] - ops[2] == len(b) - len(a)
+    assert time.time() - began < 120
