@@ -196,3 +196,22 @@ def test_two_runs_in_one_driver_keep_their_tables(spark):
     with ThreadPoolExecutor(2) as pool:
         slow, fast = pool.submit(job, 1000, 3), pool.submit(job, 10, 0.5)
         assert (fast.result(), slow.result()) == (10, 1000)
+
+
+@pytest.mark.parametrize("sites", [line_dedup.SITES, 300])
+def test_lines_near_the_threshold_are_counted_exactly(spark, sites):
+    """Lines on one site fewer, as many, one more, and on so many rows of few sites; a null site is one."""
+    rows, want = [], set()
+    for k in range(30):
+        n = sites + k % 3 - 1
+        line = f"line number {k} of a small print"
+        rows += [(1000 * k + i, f"own {k} {i}\n{line}", None if i == 0 else f"site {i}") for i in range(n)]
+        rows += [(500_000 + 1000 * k + i, line, "site 1") for i in range(40)]  # more rows, no further site
+        want |= {line} if n >= sites else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_dedup.without_spread_lines(docs, sites).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert len(out) == len(rows)
+    for r in out:
+        lines = text[r["doc_id"]].split("\n")
+        assert r["text"] == "\n".join(x for x in lines if x not in want) and r["n_removed"] == sum(x in want for x in lines)
