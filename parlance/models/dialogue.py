@@ -146,7 +146,7 @@ def tag_intents(segments: DataFrame, make: Callable[[], ChatClient], language: s
     line = F.format_string("[%d] %s: %s", F.col("index"), F.coalesce("speaker", F.lit("UNKNOWN")), T.strip("text"))
     answers = asked(lines(mine, line, "", ["file_id", "batch"]), make, language_of(TAG, language).format(labels=", ".join(labels)), 0.0, 2048, log)
 
-    @F.udf("array<struct<index:int,intent:array<string>>>")
+    @F.udf("array<struct<index:int,intent:array<string>>>", useArrow=True)
     def parsed(answer, count):
         return list(enumerate(intents_of(answer, count, default, labels)))
 
@@ -178,7 +178,7 @@ def unify_speakers(segments: DataFrame, make: Callable[[], ChatClient], language
     """``segments`` with speakers merged as a model suggests and ``consistency_note``; one pass, the last mapping of a speaker wins."""
     answers = asked(consistency_calls(segments, language), make, language_of(CONSISTENT, language)[0], 0.1, 2048, log)
 
-    @F.udf("array<struct<from_speaker:string,to_speaker:string>>")
+    @F.udf("array<struct<from_speaker:string,to_speaker:string>>", useArrow=True)
     def parsed(answer):
         return merges_of(answer)
 
@@ -212,7 +212,7 @@ def summarize(segments: DataFrame, make: Callable[[], ChatClient], language: str
     calls = lines(rows, line, language_of(SUMMARIZE, language)[1], ["file_id"]).join(speakers, "file_id", "left").withColumn("speakers", F.coalesce("speakers", F.array().cast("array<string>")))
     answers = asked(calls, make, language_of(SUMMARIZE, language)[0], 0.3, 2048, log)
 
-    @F.udf("topic string, summary string, key_points array<string>, decisions array<string>, action_items array<string>, participants array<string>")
+    @F.udf("topic string, summary string, key_points array<string>, decisions array<string>, action_items array<string>, participants array<string>", useArrow=True)
     def parsed(answer, speakers):
         return summary_of(answer, list(speakers))
 
