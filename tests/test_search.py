@@ -164,3 +164,21 @@ def test_search_with_constraints(spark, index):
     assert [r["doc_id"] for r in got] == right[:4]
     free = retrieval.search(docs, semantic, keyword, 4).orderBy("rank").collect()
     assert len(free) == 4 and {r["doc_id"] for r in free} <= set(ranks[0]) | set(ranks[1])
+
+
+def test_self_retrieval_is_the_plain_search(spark, index):
+    """Ranks of the cases that a corpus asks of itself, from plain_search."""
+    docs, _ = index
+    rows = corpus()
+    cases = retrieval.self_retrieval_cases(docs, 8)
+    asked = {r["query_id"]: r for r in cases.collect()}
+    assert len(asked) == 16 and {r["mode"] for r in asked.values()} == {"exact", "partial"}
+    variants = sorted({v for r in asked.values() for v in rewriting.rewrite_by_rules(r["query"]).semantic})
+    vectors = {r["doc_id"]: r["vector"] for r in retrieval.hash_vectors(docs).collect()}
+    made = {r["doc_id"]: r["vector"] for r in retrieval.hash_vectors(spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")).collect()}
+    query_vectors = {v: made.get(i) for i, v in enumerate(variants)}
+    hits = retrieval.search_batch(cases.select("query_id", "query"), docs, retrieval.token_postings(docs), retrieval.hash_vectors(docs), 5)
+    got = {r["query_id"]: r["rank"] for r in retrieval.self_retrieval_outcomes(cases, hits).collect()}
+    for q, case in asked.items():
+        found = plain_search(rows, vectors, query_vectors, case["query"], None, 5)
+        assert got[q] == next((k for k, (d, _) in enumerate(found, 1) if d == case["doc_id"] or rows[d][3] == case["text"]), None), case
