@@ -47,19 +47,23 @@ def low_confidence(segments: DataFrame) -> DataFrame:
     return found.withColumn("low_confidence", F.when(F.size("_r") > 0, True)).withColumn("low_confidence_reasons", F.when(F.size("_r") > 0, F.col("_r"))).drop("_r")
 
 
-def unreliable() -> Column:
-    """Whether a turn is to be dropped; turns of unknown speakers are held to more."""
-    text = T.strip(F.coalesce(F.col("text"), F.lit("")))
+def unreliable(ends: str = r"\s", blank: str = r"\s", unnamed: bool = False) -> Column:
+    """Whether a turn is to be dropped; turns of unknown speakers are held to more.
+
+    Classes of the characters that do not count at the ends of a text or phrase, and of those that are white space
+    within it; whether a missing speaker is an unknown one.
+    """
+    text = T.strip(F.coalesce(F.col("text"), F.lit("")), ends)
     n, dur = F.length(text), F.greatest(F.lit(0.0), duration())
-    noise = (text == "") | ((dur > 8) & (n <= 4)) | ((dur > 4) & (n <= 8) & text.rlike(r"(?U)[^\s\p{L}\p{N}]"))
-    doubled = text.rlike(rf"(?U)([^{T.DOUBLED}\s])\1")
-    unknown = F.coalesce(F.upper("speaker").contains("UNKNOWN"), F.lit(False))
-    strict = (n <= 2) | ((dur < 1) & (n <= 8)) | ((dur < 2) & (n <= 14)) | ((n < 6) & (dur > 2)) | doubled | T.ngram_repeats(text, 4, 8) | (dur < 0.5) | (n / F.when(dur > 0, dur) > 18) | ((dur > 4) & (n <= 8))
+    noise = (text == "") | ((dur > 8) & (n <= 4)) | ((dur > 4) & (n <= 8) & text.rlike(rf"(?U)[^{blank}\p{{L}}\p{{N}}]"))
+    doubled = text.rlike(rf"(?U)([^{T.DOUBLED}{blank}])\1")
+    unknown = F.coalesce(F.upper("speaker").contains("UNKNOWN"), F.lit(unnamed))
+    strict = (n <= 2) | ((dur < 1) & (n <= 8)) | ((dur < 2) & (n <= 14)) | ((n < 6) & (dur > 2)) | doubled | T.ngram_repeats(text, 4, 8, ends) | (dur < 0.5) | (n / F.when(dur > 0, dur) > 18) | ((dur > 4) & (n <= 8))
     return noise | (unknown & F.coalesce(strict, F.lit(True)))
 
 
-def filter_unreliable(turns: DataFrame) -> DataFrame:
-    return turns.where(~unreliable())
+def filter_unreliable(turns: DataFrame, ends: str = r"\s", blank: str = r"\s", unnamed: bool = False) -> DataFrame:
+    return turns.where(~unreliable(ends, blank, unnamed))
 
 
 def overlaps_range(lo, hi) -> Column:
