@@ -182,3 +182,30 @@ def test_self_retrieval_is_the_plain_search(spark, index):
     for q, case in asked.items():
         found = plain_search(rows, vectors, query_vectors, case["query"], None, 5)
         assert got[q] == next((k for k, (d, _) in enumerate(found, 1) if d == case["doc_id"] or rows[d][3] == case["text"]), None), case
+
+
+def test_search_batch_makes_no_pairs_of_queries_and_documents(spark, monkeypatch):
+    """Lists of few lanes, small blocks and slices agree with the inverted-index join, and constraints that queries share are met once."""
+    import random
+
+    from parlance.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "TEXT_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "LANES", 2)
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+    r = random.Random(3)
+    known = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(r.choices(known, k=r.randint(0, 12))), r.choice(["user", "system"]), 1000 * i, 1000 * i + 900, ["question"]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, speaker string, start_ms long, end_ms long, intent array<string>")
+    asked = docs.where("doc_id % 5 = 0").selectExpr("doc_id AS query_id", "text AS query")
+    postings = retrieval.token_postings(docs)
+    want = {tuple(x) for x in retrieval.sparse_topk(asked, postings, 6).select("query_id", "doc_id", "score", "rank").collect()}
+    assert {tuple(x) for x in retrieval.postings_topk(asked, postings, 6).select("query_id", "doc_id", "score", "rank").collect()} == want
+    called = []
+    monkeypatch.setattr(retrieval, "sparse_topk", lambda *a: called.append(a))
+    made = retrieval.candidates
+    monkeypatch.setattr(retrieval, "candidates", lambda tied, facts: called.append(tied.count()) or made(tied, facts))
+    queries = asked.selectExpr("query_id", "query", "CASE WHEN query_id % 2 = 0 THEN 'user' END AS speaker")
+    found = retrieval.search_batch(queries, docs, postings, retrieval.hash_vectors(docs), 4).collect()
+    assert called == [1] and {x["query_id"] for x in found if x["rank_speaker"]} <= {x[0] for x in rows if x[0] % 10 == 0}
+    assert all(x["speaker"] == "user" for x in found if x["query_id"] % 2 == 0)
