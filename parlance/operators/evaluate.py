@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from parlance.functions import text as T
 
@@ -29,6 +32,40 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     return (longest >= LONG and counts_by_diagonals(a, b, longest // SHARE)) or counts_by_rows(a, b)
 
 
+def edit_distance(ref: Sequence, hyp: Sequence) -> int:
+    """The distance alone, of texts by characters or of lists of tokens: a column a step, its cells as the bits of two whole numbers."""
+    low, high = 0, min(len(ref), len(hyp))
+    while low < high and ref[low] == hyp[low]:
+        low += 1
+    end = 0
+    while end < high - low and ref[-1 - end] == hyp[-1 - end]:
+        end += 1
+    a, b = ref[low : len(ref) - end], hyp[low : len(hyp) - end]
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(a)
+    if not n:
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    at = {}
+    for x, rows in places.items():
+        bits = bytearray(n // 8 + 1)
+        for i in rows:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[x] = int.from_bytes(bits, "little")
+    mask = (1 << n) - 1
+    # cells one more, and one less, than the cell above
+    more, less = mask, 0
+    for same in map(at.get, b, repeat(0)):
+        flat = ((((same & more) + more) ^ more) | same | less) & mask
+        right = ((less | (mask ^ (flat | more))) << 1 | 1) & mask
+        more = ((more & flat) << 1 & mask) | (mask ^ (flat | right))
+        less = right & flat
+    return len(b) + more.bit_count() - less.bit_count()
+
+
 def counts_by_rows(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """Row by row: the distance and the insertions on the way; deletions and substitutions follow from both and the place."""
     n, m = len(a), len(b)
@@ -158,16 +195,21 @@ def counts_by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, i
 def error_rates(pairs: DataFrame, language: str = "en") -> DataFrame:
     """``file_id, ref, hyp`` to n_ref, n_hyp, distance, substitutions, insertions, deletions, rate."""
     clean = T.eval_clean_en if language == "en" else T.eval_clean_zh
-    cut = pairs.select(F.col("file_id").cast("string").alias("file_id"), *(T.tokens(clean(F.coalesce(c, F.lit(""))), language).alias(c) for c in ("ref", "hyp")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(len(r), len(h), *edit_counts(list(r), list(h))) for r, h in zip(pdf["ref"], pdf["hyp"], strict=True)]
-            out = pd.DataFrame(rows, columns=["n_ref", "n_hyp", "distance", "substitutions", "insertions", "deletions"], dtype="int64")
-            out.insert(0, "file_id", pdf["file_id"].to_numpy())
-            yield out.assign(rate=out["distance"] / out["n_ref"].clip(lower=1))
-
-    out = cut.mapInPandas(run, "file_id string, n_ref long, n_hyp long, distance long, substitutions long, insertions long, deletions long, rate double")
+    cut = pairs.select(F.col("file_id").cast("string").alias("file_id"), *(clean(F.coalesce(c, F.lit(""))).alias(c) for c in ("ref", "hyp")))
+    schema = "file_id string, n_ref long, n_hyp long, distance long, substitutions long, insertions long, deletions long, rate double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts are cut one pair at a time, so a batch holds no tokens
+        for batch in batches:
+            rows = []
+            for ref, hyp in zip(batch.column("ref"), batch.column("hyp"), strict=True):
+                r, h = (([t for t in x.as_py().split(" ") if t] if language == "en" else list(x.as_py())) for x in (ref, hyp))
+                rows.append((len(r), len(h), *edit_counts(r, h)))
+            counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
+            rate = pa.array([r[2] / max(r[0], 1) for r in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("file_id").cast(pa.string()), *counts, rate], ["file_id", "n_ref", "n_hyp", "distance", "substitutions", "insertions", "deletions", "rate"])
+
+    out = cut.mapInArrow(run, schema)
     return out.withColumn("file_id", F.col("file_id").cast(dict(pairs.dtypes)["file_id"]))
 
 
@@ -217,19 +259,25 @@ def spoken_rates(ref: DataFrame, hyp: DataFrame) -> DataFrame:
         rates = []
         for a, b in zip(one, other, strict=True):
             x, y = a.split(), b.split()
-            rates.append(float(bool(y)) if not x else edit_counts(x, y)[0] / len(x))
+            rates.append(float(bool(y)) if not x else edit_distance(x, y) / len(x))
         return pd.Series(rates, dtype="float64")
 
     neither, only = (F.col("ref") == "") & (F.col("hyp") == ""), (F.col("ref") == "") | (F.col("hyp") == "")
     rate = lambda value: F.round(F.when(neither, 0.0).when(only, 1.0).otherwise(value), 4)
-    characters = F.levenshtein("ref", "hyp") / F.greatest(F.length("ref"), F.lit(1))
+    characters = characters_apart("ref", "hyp") / F.greatest(F.length("ref"), F.lit(1))
     return both.select("file_id", rate(word_rate("ref", "hyp")).alias("wer"), rate(characters).alias("cer"), F.length("ref").alias("ref_chars"), F.length("hyp").alias("hyp_chars"))
 
 
+@F.pandas_udf(LongType())
+def characters_apart(one: pd.Series, other: pd.Series) -> pd.Series:
+    """Edit distance by characters; the built-in function takes each cell of two texts by itself."""
+    return pd.Series([None if a is None or b is None else edit_distance(a, b) for a, b in zip(one, other, strict=True)], dtype="Int64")
+
+
 def character_distance(pairs: DataFrame) -> DataFrame:
-    """Edit distance by characters with the built-in function: no Python."""
-    d = F.levenshtein("ref", "hyp")
-    return pairs.withColumn("distance", d.cast("long")).withColumn("rate", F.round(d / F.greatest(F.length("ref"), F.lit(1)), 6))
+    """Edit distance by characters, and its share of the reference."""
+    counted = pairs.withColumn("distance", characters_apart("ref", "hyp"))
+    return counted.withColumn("rate", F.round(F.col("distance") / F.greatest(F.length("ref"), F.lit(1)), 6))
 
 
 def joined_text(segments: DataFrame, column: str = "text") -> DataFrame:
