@@ -87,3 +87,14 @@ def test_cluster_index(spark):
     none = indexes.ClusterIndex.of(docs.limit(0)).search(queries, 10)
     assert none[0].count() == 0 and none[1].count() == 0
     assert indexes.ClusterIndex.of(docs).search(queries.limit(0), 10)[0].count() == 0
+
+
+def test_impact_search_shuffles_no_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the w{i % 7} w{i % 11} sea") for i in range(300)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"the sea w{q}") for q in range(5)], "query_id long, query string")
+    called, scores = [], indexes.ImpactIndex.scores
+    monkeypatch.setattr(indexes.ImpactIndex, "scores", lambda *a: called.append(1) or scores(*a))
+    found = indexes.ImpactIndex.of(docs, 16).topk(queries, 4)
+    want = {tuple(r) for r in retrieval.sparse_topk(queries, retrieval.token_postings(docs), 4).select("query_id", "doc_id", "score", "rank").collect()}
+    assert {tuple(r) for r in found.select("query_id", "doc_id", "score", "rank").collect()} == want
+    assert called == [1]  # pairs are made for the few blocks scored first, and for no others
