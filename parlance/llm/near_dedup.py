@@ -15,7 +15,8 @@ span several components:
    chosen by hash;
 3. they meet every class of another component in their bucket, in tiles: a task compares the
    signatures of its tile and the full sets of the pairs that pass, and gives only the links that
-   join components, fewer than its rows.
+   join components, fewer than its rows.  A bucket whose strays fit one tile sends each member of
+   the body once; only the strays stand in several tiles.
 
 Rounds 1 and 2 are linear in the bucket and connect large groups of near copies; round 3 leaves no
 pair across components untried, so no link that a shared bucket shows is lost.  Pairs whose sizes
@@ -278,21 +279,23 @@ def spanning(placed: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFr
     """The members with their components, and the buckets that span components.
 
     A bucket's row has its largest component (``body``), its numbers of members and elements (sum of
-    n), and ``hubs``, ``HUBS`` classes of the body (node, n) chosen by hash.
+    n), those outside the body (``strays``, ``stray_elements``), and ``hubs``, ``HUBS`` classes of
+    the body (node, n) chosen by hash.
     """
     now = in_components(placed, component).select("bucket", "node", "n", "component")
     order = F.xxhash64("node", F.lit(2))
     slots = [F.min(F.when(F.pmod(order, F.lit(HUBS)) == k, F.struct(order.alias("o"), "node", "n"))).alias(f"h{k}") for k in range(HUBS)]
     parts = now.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"), *slots)
-    largest = F.max(F.struct("k", "component", *(f"h{k}" for k in range(HUBS)))).alias("x")
+    largest = F.max(F.struct("k", "component", "e", *(f"h{k}" for k in range(HUBS)))).alias("x")
     whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("members"), F.sum("e").alias("elements"), largest).where("parts > 1")
-    return now, whole.select("bucket", F.col("x.component").alias("body"), "members", "elements", F.array(*(F.col(f"x.h{k}") for k in range(HUBS))).alias("hubs"))
+    outside = ((F.col("members") - F.col("x.k")).alias("strays"), (F.col("elements") - F.col("x.e")).alias("stray_elements"))
+    return now, whole.select("bucket", F.col("x.component").alias("body"), "members", "elements", *outside, F.array(*(F.col(f"x.h{k}") for k in range(HUBS))).alias("hubs"))
 
 
 def members_of(placed: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, node, n, component, stray (outside the body), members, elements of the spanning buckets."""
+    """bucket, node, n, component, stray (outside the body), and the numbers of the spanning buckets."""
     now, whole = spanning(placed, component)
-    return now.join(whole, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"), "members", "elements")
+    return now.join(whole, "bucket").select("bucket", "node", "n", "component", (F.col("component") != F.col("body")).alias("stray"), "members", "elements", "strays", "stray_elements")
 
 
 def as_pairs(df: DataFrame) -> DataFrame:
@@ -312,25 +315,37 @@ def to_bodies(placed: DataFrame, component: DataFrame, percent: int) -> DataFram
     return as_pairs(asked.where(possible("n", "m", percent)))
 
 
+def in_tiles(members: DataFrame, tile: int, elements: int) -> DataFrame:
+    """bucket, row, column, node, component, asks, answers: the places of each member.
+
+    A bucket has a column for about ``tile`` members or ``elements`` shingles, a row for as many of
+    its strays.  A member answers in its column of every row, a stray asks in its row of every
+    column, once where both meet.  So a bucket of m members and s strays gives m * rows +
+    s * (columns - 1) places: m and a few while its strays fit one row.
+    """
+
+    def cut(many: str, large: str) -> Column:
+        return F.ceil(F.greatest(F.col(many) / tile, F.col(large) / elements)).cast("int")
+
+    def place(row: Column, column: Column, asks: Column, answers: bool) -> Column:
+        return F.struct(row.alias("row"), column.alias("column"), asks.alias("asks"), F.lit(answers).alias("answers"))
+
+    cells = members.withColumn("rows", cut("strays", "stray_elements")).withColumn("columns", cut("members", "elements"))
+    row, column = F.pmod(F.xxhash64("node", F.lit(3)), "rows").cast("int"), F.pmod(F.xxhash64("node"), "columns").cast("int")
+    answering = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: place(r, column, F.col("stray") & (r == row), True))
+    asking = F.transform(F.filter(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.col("stray") & (c != column)), lambda c: place(row, c, F.lit(True), False))
+    return cells.select("bucket", "node", "component", F.inline(F.concat(answering, asking))).select("bucket", "row", "column", "node", "component", "asks", "answers")
+
+
 def compared(members: DataFrame, sets: DataFrame, percent: int, tile: int = 1024, elements: int = 1 << 20) -> DataFrame:
     """Links (u, v) between strays and members of other components.
 
-    A bucket is cut into k by k tiles, k such that a k-th of it has about ``tile`` members and
-    ``elements`` shingles; one task compares the strays of a row of tiles with the members of a
+    A bucket is cut into tiles; one task compares the strays of a row of tiles with the members of a
     column, signatures first, then the full sets of the pairs that pass.  A tile gives a link only
     where it joins two components that its earlier links left apart, so it gives fewer links than it
     has rows, and the components are those of all links.
     """
-    k = F.ceil(F.greatest(F.col("members") / tile, F.col("elements") / elements)).cast("int")
-    cells = materialize(members.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).drop("members", "elements"), "cells")
-    # a bucket of one tile has a stray, or it would not span components
-    small = cells.where("k = 1").select("bucket", F.col("own").alias("row"), F.col("own").alias("column"), "node", "component", F.col("stray").alias("asks"), F.lit(True).alias("answers"))
-    rows = cells.where("stray and k > 1").select("bucket", F.col("own").alias("row")).distinct()
-    answering = cells.where("k > 1").join(rows, "bucket").select("bucket", "row", F.col("own").alias("column"), "node", "component", (F.col("stray") & (F.col("row") == F.col("own"))).alias("asks"), F.lit(True).alias("answers"))
-    # a stray is in the tile of its own row and column once, as one that asks and answers
-    asking = cells.where("stray and k > 1").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("column <> own")
-    asking = asking.select("bucket", F.col("own").alias("row"), "column", "node", "component", F.lit(True).alias("asks"), F.lit(False).alias("answers"))
-    placed = small.union(answering).union(asking).join(sets, "node")
+    placed = in_tiles(members, tile, elements).join(sets, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["shingles"].map(len).to_numpy()

@@ -45,3 +45,15 @@ def test_components_for_any_tile(spark, monkeypatch, limits):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2).collect()}
     assert found == brute_force(rows)
+
+
+def test_tiles_of_a_large_bucket(spark):
+    """Few strays in a large bucket do not multiply its members; every stray meets every member once."""
+    n, strays, tile = 600, 6, 20
+    rows = [(7, i, 30, i if i < strays else 100, i < strays, n, 30 * n, strays, 30 * strays) for i in range(n)]
+    members = spark.createDataFrame(rows, "bucket long, node long, n int, component long, stray boolean, members long, elements long, strays long, stray_elements long")
+    found = near_dedup.in_tiles(members, tile, 1 << 20).collect()
+    assert len(found) <= n + strays * n // tile
+    asked = {(x.row, x.column, x.node) for x in found if x.asks}
+    met = sorted((a, y.node) for row, column, a in asked for y in found if y.answers and (y.row, y.column) == (row, column))
+    assert met == [(a, b) for a in range(strays) for b in range(n)]
