@@ -23,13 +23,16 @@ Nulls: a null text is empty (one end token); a null id is a training document.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WordHashes, id_again, id_text, in_blocks, mixed, packed_counts, packed_flags, starts_of, unpacked_counts, unpacked_flags
+from parlance.llm.common import id_again, id_text, in_blocks, mixed, packed_counts, packed_flags, starts_of, unpacked_counts, unpacked_flags
 from parlance.llm.near_dedup import LOWER
 from parlance.llm.substring_dedup import parts
 
@@ -38,29 +41,50 @@ PAIRS_A_SHARD = 1_500_000
 #: words have no spaces, so these stand for no word
 START, END = b" s", b" /s"
 HELD_OUT = (7, 2)
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 PART = "shard int, block int, n int, keys binary, counts binary"
 ANSWER = "block int, shard int, totals array<long>, counts binary, flags binary"
 
 
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return mixed(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8")[::2], 3)
+
+
+def numbered_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The number of words of each text, the words as places in the list of distinct ones, and that list."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)  # a space behind each text
+    space = IS_SPACE[data]
+    turns = np.flatnonzero(np.diff(space, prepend=True))
+    starts, ends = turns[::2], turns[1::2]
+    # the words alone, one after the other, are an Arrow array that Arrow numbers
+    letters = pa.py_buffer(data[~space])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(starts_of(ends - starts)), letters]).dictionary_encode()
+    code = words.indices.to_numpy()
+    # numbers rise as words first stand
+    new = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    whole = data.tobytes()
+    distinct = [whole[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+    counts = np.diff(np.searchsorted(starts, starts_of(np.array([len(r) + 1 for r in raw], np.int64))))
+    return counts, code, distinct
+
+
 class Tokens:
     """The words and word pairs of a block, distinct and in order of shard and hash."""
 
     def __init__(self, pdf: pd.DataFrame, shards: int):
-        table = WordHashes()
-        lists = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in pdf["text"]]
-        self.lengths = np.array([len(w) + 1 for w in lists], np.int64)
+        # each distinct word is hashed and sorted once, however often it stands in the block
+        counts, code, distinct = numbered_words(pdf["text"])
+        self.words, place = np.unique(word_hashes([*distinct, START, END]), return_inverse=True)
+        self.lengths = counts + 1
         # start, words, end of each document
-        flat: list[bytes] = []
-        for words in lists:
-            flat.append(START)
-            flat += words
-            flat.append(END)
-        hashes = mixed(table.of(flat), 3)
-        first = np.zeros(len(flat), bool)
+        first, last = np.zeros((2, int((self.lengths + 1).sum())), bool)
+        last[np.cumsum(self.lengths + 1) - 1] = True
         first[np.cumsum(self.lengths + 1) - self.lengths - 1] = True
+        at = np.empty(len(first), np.int64)
+        at[first], at[last], at[~(first | last)] = place[-2], place[-1], place[code]
         trained = np.repeat(~pdf["held_out"].to_numpy(bool), self.lengths + 1)
-        self.words, at = np.unique(hashes, return_inverse=True)
-        self.left, self.right = at[~np.roll(first, -1)], at[~first]
+        self.left, self.right = at[~last], at[~first]
         self.trained = trained[~first]
         self.word_counts = np.bincount(at, weights=trained, minlength=len(self.words)).astype(np.int64)
         self.word_shard = ((self.words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -155,7 +179,7 @@ def score_documents(docs: DataFrame, held_out=None, block_chars: int = BLOCK_CHA
         pdf = pdf.sort_values("block")
         return pdf, [unpack(k, n) for k, n in zip(pdf["keys"], pdf["n"], strict=True)]
 
-    special = np.array([int(mixed(WordHashes().of([w]), 3)[0]) for w in (START,)], np.uint64)
+    special = word_hashes([START])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
