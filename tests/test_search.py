@@ -209,3 +209,31 @@ def test_search_batch_makes_no_pairs_of_queries_and_documents(spark, monkeypatch
     found = retrieval.search_batch(queries, docs, postings, retrieval.hash_vectors(docs), 4).collect()
     assert called == [1] and {x["query_id"] for x in found if x["rank_speaker"]} <= {x[0] for x in rows if x[0] % 10 == 0}
     assert all(x["speaker"] == "user" for x in found if x["query_id"] % 2 == 0)
+
+
+def test_lanes_are_shared_by_blocks(spark, monkeypatch):
+    """Rows before the last ranking do not grow with the lanes of each block; scores are those of double precision."""
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(25)], k=200 if i < 30 else r.randint(0, 6)))) for i in range(400)] + [(400, "w1 " * 9000), (401, "w1 " * 9000), (7, "w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in (*range(25, 60), 400)], "query_id long, query string")
+    asked = retrieval.hash_vectors(queries.selectExpr("query_id AS doc_id", "query AS text")).withColumnRenamed("doc_id", "query_id")
+    vectors = retrieval.hash_vectors(docs)
+    want = {tuple(x) for x in retrieval.sparse_topk(queries, retrieval.token_postings(docs), 5).select("query_id", "doc_id", "score", "rank").collect()}
+    tasks, ranked = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda scores, *a: tasks.append(scores.rdd.getNumPartitions()) or ranked(scores, *a))
+    monkeypatch.setattr(retrieval, "TEXT_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "DENSE_BYTES", 4 * 8 * 384, raising=False)
+    monkeypatch.setattr(retrieval, "LANES", 6)
+    monkeypatch.setattr(retrieval, "SLICE", 10)
+    for found in (retrieval.whole_text_topk(queries, docs, 5), retrieval.postings_topk(queries, retrieval.token_postings(docs), 5)):
+        assert {tuple(x) for x in found.select("query_id", "doc_id", "score", "rank").collect()} == want
+    dense = {(x[0], x[3]): (x[1], x[2]) for x in retrieval.dense_topk(asked, vectors, 5).select("query_id", "doc_id", "score", "rank").collect()}
+    assert len(tasks) == 3 and max(tasks) <= 20  # nine blocks of two lanes at most, some of no query
+    units = {x[0]: np.array(x[1], np.float64) / np.linalg.norm(np.array(x[1], np.float64)) for x in vectors.collect()}
+    for q in asked.collect():
+        unit = np.array(q[1], np.float64) / np.linalg.norm(np.array(q[1], np.float64))
+        first = sorted((-round(float(unit @ v), 6), i) for i, v in units.items())[:5]
+        assert [dense[q[0], k + 1] for k in range(5)] == [(i, -s) for s, i in first]
