@@ -98,3 +98,28 @@ def test_impact_search_shuffles_no_pairs(spark, monkeypatch):
     want = {tuple(r) for r in retrieval.sparse_topk(queries, retrieval.token_postings(docs), 4).select("query_id", "doc_id", "score", "rank").collect()}
     assert {tuple(r) for r in found.select("query_id", "doc_id", "score", "rank").collect()} == want
     assert called == [1]  # pairs are made for the few blocks scored first, and for no others
+
+
+def test_impact_index_writes_documents_once(spark, monkeypatch):
+    """One table of counted documents, one of blocks: no postings, no second copy of the tokens."""
+    rows = [(i, f"the w{i % 7} w{i % 11} sea sea " * (1 + i % 3)) for i in range(300)] + [(5, "the w5 more"), (5, "more"), (None, "sea"), (900, ""), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    written, once = {}, indexes.written_once
+    monkeypatch.setattr(indexes, "written_once", lambda df, name, *by: written.setdefault(name, once(df, name, *by)))
+    index = indexes.ImpactIndex.of(docs, 16)
+    assert [name for name, df in written.items() if {"token", "tokens"} & set(df.columns)] == ["impact-documents", "impact-blocks"]
+    want = Counter()
+    for i, text in rows:
+        for token in (text or "").split() if i is not None else ():
+            want[i, token] += 1
+    got, most, total = {}, {}, Counter()
+    for r in index.documents.collect():
+        for token, n in zip(r["tokens"], r["times"], strict=True):
+            assert (r["doc_id"], token) not in got
+            got[r["doc_id"], token] = n
+            at = r["class"], r["block"], token
+            most[at] = max(most.get(at, 0), n)
+        total[r["class"], r["block"]] += 1
+    assert got == dict(want)
+    assert Counter({tuple(r)[:3]: r["most"] for r in index.blocks.collect()}) == Counter(most) and index.blocks.count() == len(most)
+    assert {(r["class"], r["block"]): r["n"] for r in index.sizes.collect()} == dict(total)
